@@ -1,0 +1 @@
+"""Intentionally empty: every input is a closed registration year, so all jobs are batch."""
