@@ -59,7 +59,7 @@ def e_open(spark):
 
 
 def method_input(spark, d):
-    return E.method_input(deaths(spark, d, YEARS), population(spark, d, YEARS), *YEARS)
+    return D.ddm_input(deaths(spark, d, YEARS), population(spark, d, YEARS), *YEARS)
 
 
 def age_rows(spark, d):
@@ -125,7 +125,7 @@ def redistribution_mass(spark, d):
 
 
 def population_total(spark, d):
-    return population(spark, d)
+    return T.population_counts(O.raw_population(spark, d, all_ages=True))
 
 
 def reband_80(spark, d):
@@ -213,18 +213,19 @@ def ggb_fit_rms(spark, d):
 
 
 def seg(spark, d):
-    rows = D.seg(D.attach_e_open(method_input(spark, d), e_open(spark)))
+    rows = D.attach_e_open(method_input(spark, d), e_open(spark))
+    rows = D.seg(D.growth_below(D.ggb_points(rows)))
     return _rounded(rows.where(F.col("age_band") == 0).select("geo_code", "sex", "seg"), 6, "seg")
 
 
 def ggb_seg(spark, d):
     rows = D.attach_e_open(method_input(spark, d), e_open(spark))
-    combined = D.ggb_seg(D.ggb(D.ggb_points(rows)))
+    combined = D.ggb_seg(D.ggb(D.growth_below(D.ggb_points(rows))))
     return _rounded(combined.where(F.col("age_band") == 0).select("geo_code", "sex", "ggbseg"), 9, "ggbseg")
 
 
 def e_open_levels(spark, d):
-    read = D.e_open_from_levels(method_input(spark, d), dims.e_open_levels_table(spark, E_OPEN_LEVELS))
+    read = D.e_open_from_levels(D.growth_below(method_input(spark, d)), dims.e_open_levels_table(spark, E_OPEN_LEVELS))
     one = read.where(F.col("age_band") == 0).select("geo_code", "sex", "death_ratio", "e_open")
     return _rounded(one, 6, "death_ratio", "e_open")
 

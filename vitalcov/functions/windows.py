@@ -10,27 +10,43 @@ from pyspark.sql import functions as F
 BY = ("geo_code", "sex")
 
 
-def whole_group(by: Sequence[str] = BY) -> WindowSpec:
-    return Window.partitionBy(*by)
-
-
 def by_age(by: Sequence[str] = BY, age: str = "age_band") -> WindowSpec:
+    """The age rows of one group, youngest first.
+
+    Every window over a group is built on this one ordering, also those that do not need it: Spark
+    merges neighbouring windows of equal partitioning and ordering into one operator and one sort.
+    """
     return Window.partitionBy(*by).orderBy(age)
 
 
+def whole_group(by: Sequence[str] = BY, age: str = "age_band") -> WindowSpec:
+    """All ages of the group."""
+    return by_age(by, age).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def from_age_on(by: Sequence[str] = BY, age: str = "age_band") -> WindowSpec:
     """This age and every older one."""
     return by_age(by, age).rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
+def below_age(by: Sequence[str] = BY, age: str = "age_band") -> WindowSpec:
+    """Every younger age."""
+    return by_age(by, age).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _null_as_nan(col: Column) -> Column:
+    # a NaN summand makes the whole sum NaN, which is how the missing value is carried through
+    return F.coalesce(col.cast("double"), F.lit(float("nan")))
+
+
 def strict_sum(col: Column, window: WindowSpec) -> Column:
     """Window sum that is NULL as soon as one summand is, unlike the built-in one."""
-    return F.when(F.count(col).over(window) == F.count(F.lit(1)).over(window), F.sum(col).over(window))
+    return F.nullif(F.sum(_null_as_nan(col)).over(window), F.lit(float("nan")))
 
 
 def strict_total(col: Column) -> Column:
     """Group sum that is NULL as soon as one summand is."""
-    return F.when(F.count(col) == F.count(F.lit(1)), F.sum(col))
+    return F.nullif(F.sum(_null_as_nan(col)), F.lit(float("nan")))
 
 
 def cum_from_age(

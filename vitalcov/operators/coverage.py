@@ -65,14 +65,23 @@ def birth_coverage(rate: DataFrame, births: DataFrame, years: Sequence[int]) ->
     ``coverage_b`` is expected over registered births: above 1 means under-registration. Its inverse
     is given as ``completeness``. A place without births in a year keeps its row, with NULLs.
     """
-    per_year = rate.withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
-    cbr, expected = F.col("cbr"), F.col("birth_rate_implied")
+    wide = births.groupBy(*BY).agg(
+        *[F.max(F.when(F.col("year") == y, F.col("births"))).alias(f"_births_{y}") for y in years]
+    )
+    # joined on the key the rates are partitioned by already; the years become rows afterwards
+    per_year = F.array(*[F.struct(F.lit(y).alias("year"), F.col(f"_births_{y}").alias("births")) for y in years])
+    cbr, expected = S.ratio(F.col("births"), F.col("pop_cum")), F.col("birth_rate_implied")
     return (
-        per_year.join(births, ["year", *BY], "left")
-        .withColumn("cbr", S.ratio(F.col("births"), F.col("pop_cum")))
-        .withColumn("coverage_b", S.ratio(expected, cbr))
-        .withColumn("completeness", S.ratio(cbr, expected))
-        .select(*BY, "year", "cbr", "birth_rate_implied", "coverage_b", "completeness")
+        rate.join(wide, list(BY), "left")
+        .select(*BY, "pop_cum", "birth_rate_implied", F.inline(per_year))
+        .select(
+            *BY,
+            "year",
+            cbr.alias("cbr"),
+            "birth_rate_implied",
+            S.ratio(expected, cbr).alias("coverage_b"),
+            S.ratio(cbr, expected).alias("completeness"),
+        )
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalcov.functions import scalars as S
-from vitalcov.functions.windows import BY, by_age, cum_from_age, from_age_on, whole_group
+from vitalcov.functions.windows import BY, below_age, by_age, cum_from_age, from_age_on, whole_group
 from vitalcov.operators.tabulate import densify
 
 BANDS = tuple(range(0, 85, 5))
@@ -62,26 +62,49 @@ def deaths_population(
 
 
 def ddm_input(
-    cells: DataFrame, year1: int, year2: int, bands: Sequence[int] = BANDS, by: Sequence[str] = BY
+    deaths: DataFrame,
+    pop: DataFrame,
+    year1: int,
+    year2: int,
+    bands: Sequence[int] = BANDS,
+    by: Sequence[str] = BY,
 ) -> DataFrame:
     """One row per place, sex and band: both counts and the mean yearly deaths of the two years.
 
-    ``cells`` is the output of ``deaths_population``. Bands missing from the data come out as 0.
+    Ages from the last band on are folded into it. Bands missing from the data come out as 0.
+    Deaths count only in cells that have a population, as in ``deaths_population``, and a place
+    without any population gives no rows.
+
+    Both tables are stacked and partitioned once by ``by``. Pairing deaths with population, placing
+    the years side by side, averaging and filling gaps are then one aggregation in that partition,
+    and the age windows of the methods that follow need no further exchange.
     """
-    in_year = {"pop1": F.col("year") == year1, "pop2": F.col("year") == year2}
-    sums = {name: F.when(test, F.col("pop")) for name, test in in_year.items()}
-    dense = densify(
-        cells.where(F.col("year").isin(year1, year2)),
-        {**sums, "deaths": F.col("deaths") / 2},
-        bands,
-        by,
-    )
-    return dense.select(
-        *by,
-        "age_band",
-        F.lit(year1).alias("year1"),
-        F.lit(year2).alias("year2"),
-        *[S.finite(F.col(c)).alias(c) for c in ("pop1", "pop2", "deaths")],
+    band = S.top_code(F.col("age_band"), max(bands)).alias("age_band")
+    none = F.lit(None).cast("double")
+    pop_rows = pop.select("year", *by, band, F.col("pop").cast("double").alias("pop"), none.alias("deaths"))
+    death_rows = deaths.select("year", *by, band, none.alias("pop"), F.col("n").cast("double").alias("deaths"))
+    stacked = pop_rows.unionByName(death_rows).where(F.col("year").isin(year1, year2)).repartition(*by)
+    sums = {}
+    for i, year in ((1, year1), (2, year2)):
+        here = F.col("year") == year
+        sums[f"pop{i}"] = F.when(here, F.col("pop"))
+        sums[f"_deaths{i}"] = F.when(here, F.col("deaths"))
+        sums[f"_cells{i}"] = F.when(here & F.col("pop").isNotNull(), 1.0)
+    dense = densify(stacked, sums, bands, by)
+    counted = [F.when(F.col(f"_cells{i}") > 0, F.col(f"_deaths{i}")).otherwise(0.0) for i in (1, 2)]
+    populated = F.sum(F.col("_cells1") + F.col("_cells2")).over(whole_group(by))
+    return (
+        dense.withColumn("_populated", populated)
+        .where(F.col("_populated") > 0)
+        .select(
+            *by,
+            "age_band",
+            F.lit(year1).alias("year1"),
+            F.lit(year2).alias("year2"),
+            S.finite(F.col("pop1")).alias("pop1"),
+            S.finite(F.col("pop2")).alias("pop2"),
+            S.finite((counted[0] + counted[1]) / 2).alias("deaths"),
+        )
     )
 
 
@@ -89,115 +112,141 @@ def _years_between() -> Column:
     return F.col("year2") - F.col("year1")
 
 
-def _arrivals(pop1: Column, pop2: Column, by: Sequence[str], width: int) -> Column:
-    """N(x); NULL at the first age and where a zero cell leaves nothing to measure."""
-    reached = S.geometric_mean(F.lag(pop1, 1).over(by_age(by)), pop2) / width
-    return F.when(reached > 0, reached)
-
-
 def ggb_points(df: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
-    """Add the growth-balance points: ``arrivals`` N(x), ``exposure`` T(x+), ``ggb_left``, ``ggb_right``."""
+    """Add the growth-balance points: ``arrivals`` N(x), ``exposure`` T(x+), ``ggb_left``, ``ggb_right``.
+
+    N(x) is NULL at the first age and where a zero cell leaves nothing to measure.
+    """
+    summed = cum_from_age(df.withColumn("_before", F.lag("pop1").over(by_age(by))), ["pop1", "pop2", "deaths"], by)
+    reached = S.geometric_mean(F.col("_before"), F.col("pop2")) / width
+    arrivals = F.when(reached > 0, reached)
+    exposure = S.geometric_mean(F.col("pop1_cum"), F.col("pop2_cum"))
     growth = S.annual_log_growth(F.col("pop2_cum"), F.col("pop1_cum"), _years_between())
-    return (
-        cum_from_age(df, ["pop1", "pop2", "deaths"], by)
-        .withColumn("arrivals", _arrivals(F.col("pop1"), F.col("pop2"), by, width))
-        .withColumn("exposure", S.geometric_mean(F.col("pop1_cum"), F.col("pop2_cum")))
-        .withColumn("ggb_left", S.ratio(F.col("arrivals"), F.col("exposure")) - growth)
-        .withColumn("ggb_right", S.ratio(F.col("deaths_cum"), F.col("exposure")))
-        .drop("pop1_cum", "pop2_cum", "deaths_cum")
-    )
+    return summed.withColumns(
+        {
+            "arrivals": arrivals,
+            "exposure": exposure,
+            "ggb_left": S.ratio(arrivals, exposure) - growth,
+            "ggb_right": S.ratio(F.col("deaths_cum"), exposure),
+        }
+    ).drop("_before", "pop1_cum", "pop2_cum", "deaths_cum")
 
 
-def ggb_candidates(search: FitSearch, by: Sequence[str] = BY, width: int = 5) -> Column:
-    """Array of the fits that start at the row's own age, as ``(score, lo, hi, ggb, delta)`` structs.
+def ggb(df: DataFrame, search: FitSearch = FitSearch(), by: Sequence[str] = BY, width: int = 5) -> DataFrame:
+    """Add growth-balance coverage ``ggb``, the relative coverage of the first count ``delta``, and
+    the chosen fit ages ``fit_lo``, ``fit_hi``. Needs the columns of ``ggb_points``.
 
-    A run of k ages starting here is the window frame ``[age, age + width (k - 1)]``, so the
-    candidates need no list to join with. Points that are NULL take no part, and a run needs
-    ``min_ages`` usable points. The lowest score wins.
+    The run of k ages that starts at a row is the window frame ``[age, age + width (k - 1)]``, so
+    the candidate fits are columns of their first row and no candidate list has to be joined.
+    Points that are NULL take no part, and a run needs ``min_ages`` usable points.
     """
-    both = F.col("ggb_left").isNotNull() & F.col("ggb_right").isNotNull()
-    left, right = F.when(both, F.col("ggb_left")), F.when(both, F.col("ggb_right"))
-    lo = F.col("age_band")
+    usable = F.col("ggb_left").isNotNull() & F.col("ggb_right").isNotNull()
+    left, right = F.when(usable, F.col("ggb_left")), F.when(usable, F.col("ggb_right"))
     longest = (search.max_age - search.min_age) // width + 1
-    fits = []
-    for k in range(search.min_ages, longest + 1):
-        reach = width * (k - 1)
+    reaches = [width * (k - 1) for k in range(search.min_ages, longest + 1)]
+    moments, fits = {}, []
+    for reach in reaches:
         run = by_age(by).rangeBetween(Window.currentRow, reach)
-        var_l, var_r = F.var_samp(left).over(run), F.var_samp(right).over(run)
-        cov = F.covar_samp(left, right).over(run)
-        slope = S.ratio(F.sqrt(var_l), F.sqrt(var_r))
-        intercept = F.avg(left).over(run) - slope * F.avg(right).over(run)
-        if search.criterion == "r2":
-            score = -S.ratio(cov * cov, var_l * var_r)
-        else:
-            score = var_l - 2 * slope * cov + slope * slope * var_r
-        usable = (
-            (lo >= search.min_age)
-            & (lo + reach <= search.max_age)
-            & (F.count(left).over(run) >= search.min_ages)
-            & score.isNotNull()
-            & (slope > 0)
-        )
-        fits.append(
-            F.when(
-                usable,
-                F.struct(
-                    F.round(score, 12).alias("score"),
-                    lo.alias("lo"),
-                    (lo + reach).alias("hi"),
-                    (1 / slope).alias("ggb"),
-                    F.exp(intercept * _years_between()).alias("delta"),
-                ),
-            )
-        )
-    return F.array(*fits)
-
-
-def ggb(df: DataFrame, search: FitSearch = FitSearch(), by: Sequence[str] = BY, width: int = 5) -> DataFrame:
-    """Add growth-balance coverage ``ggb``, the relative coverage of the first count ``delta``, and
-    the chosen fit ages ``fit_lo``, ``fit_hi``. Needs the columns of ``ggb_points``."""
-    best = F.min(F.array_min("_fits")).over(whole_group(by))
+        moments |= {
+            f"_n{reach}": F.count(left).over(run),
+            f"_var_l{reach}": F.var_samp(left).over(run),
+            f"_var_r{reach}": F.var_samp(right).over(run),
+            f"_cov{reach}": F.covar_samp(left, right).over(run),
+            f"_avg_l{reach}": F.avg(left).over(run),
+            f"_avg_r{reach}": F.avg(right).over(run),
+        }
+        fits.append(_fit(reach, search))
+    scratch = [*moments, "_fit"]
+    best = F.min("_fit").over(whole_group(by))
     return (
-        df.withColumn("_fits", ggb_candidates(search, by, width))
-        .withColumn("_best", best)
+        df.withColumns(moments)
+        .withColumn("_fit", F.array_min(F.array(*fits)))
+        .withColumn("_fit", best)
         .withColumns(
             {
-                "fit_lo": F.col("_best.lo"),
-                "fit_hi": F.col("_best.hi"),
-                "ggb": F.col("_best.ggb"),
-                "delta": F.col("_best.delta"),
+                "fit_lo": F.col("_fit.lo"),
+                "fit_hi": F.col("_fit.hi"),
+                "ggb": F.col("_fit.ggb"),
+                "delta": F.col("_fit.delta"),
             }
         )
-        .drop("_fits", "_best")
+        .drop(*scratch)
+    )
+
+
+def _fit(reach: int, search: FitSearch) -> Column:
+    """The line through the run of ages starting here, as ``(score, lo, hi, ggb, delta)``; the lowest
+    struct is the best fit. NULL if the run is not allowed or has no line."""
+    n, var_l, var_r, cov, avg_l, avg_r = (
+        F.col(f"_{c}{reach}") for c in ("n", "var_l", "var_r", "cov", "avg_l", "avg_r")
+    )
+    lo = F.col("age_band")
+    slope = S.ratio(F.sqrt(var_l), F.sqrt(var_r))
+    if search.criterion == "r2":
+        score = -S.ratio(cov * cov, var_l * var_r)
+    else:
+        score = var_l - 2 * slope * cov + slope * slope * var_r
+    allowed = (
+        (lo >= search.min_age)
+        & (lo + reach <= search.max_age)
+        & (n >= search.min_ages)
+        & (slope > 0)
+        & score.isNotNull()
+    )
+    return F.when(
+        allowed,
+        F.struct(
+            F.round(score, 12).alias("score"),
+            lo.alias("lo"),
+            (lo + reach).alias("hi"),
+            (1 / slope).alias("ggb"),
+            F.exp((avg_l - slope * avg_r) * _years_between()).alias("delta"),
+        ),
+    )
+
+
+def growth_below(df: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
+    """Add the growth rate ``r`` of each band, its sum ``r_below`` over all younger bands, and
+    ``n_below``, how many of those have a rate. A band with a zero count has none and does not grow."""
+    rate = S.annual_log_growth(F.col("pop2"), F.col("pop1"), _years_between())
+    below = below_age(by)
+    return df.withColumn("r", rate).withColumns(
+        {
+            "r_below": F.coalesce(F.sum("r").over(below), F.lit(0.0)),
+            "n_below": F.coalesce(F.count("r").over(below), F.lit(0)),
+        }
     )
 
 
 def _extinct_generations(
-    df: DataFrame, name: str, pop1: Column, fits: Column, by: Sequence[str], width: int
+    df: DataFrame, name: str, delta: Column | None, fits: Column, by: Sequence[str], width: int
 ) -> DataFrame:
     """Add column ``name``, the mean of N*(x)/N(x) over the ages where ``fits`` holds.
 
     The recursion N*(x) = N*(x+w) exp(w r) + D exp(w r / 2) is solved in closed form: with
     G(x) = w times the sum of r below x, N*(x) exp(G(x)) is a plain sum from the oldest age down.
-    An age with no growth rate (a zero cell) counts as not growing.
+    Dividing the first count by ``delta`` adds ln(delta)/t to every growth rate and divides every
+    N(x) by sqrt(delta), so a rescaled population needs no new window of its own.
     """
-    group = whole_group(by)
-    younger = by_age(by).rowsBetween(Window.unboundedPreceding, -1)
-    is_open = F.col("age_band") == F.max("age_band").over(group)
-    r, g = F.col("_r"), F.col("_g")
+    shift = F.lit(0.0) if delta is None else S.ratio(F.ln(delta), _years_between())
+    scale = F.lit(1.0) if delta is None else F.sqrt(delta)
+    # no rate, no growth: the shift goes to the bands that have a rate
+    r = F.when(F.col("r").isNotNull(), F.col("r") + shift).otherwise(0.0)
+    g = width * (F.col("r_below") + shift * F.col("n_below"))
     open_growth = r * F.col("e_open")
-    open_part = F.col("deaths") * (F.exp(open_growth) - open_growth * open_growth / 6) * F.exp(g)
-    closed_part = F.col("deaths") * F.exp(g + r * width / 2)
-    growth = S.annual_log_growth(F.col("pop2"), F.col("_pop1"), _years_between())
+    part = F.when(
+        F.col("age_band") == F.col("_open_age"),
+        F.col("deaths") * (F.exp(open_growth) - open_growth * open_growth / 6) * F.exp(g),
+    ).otherwise(F.col("deaths") * F.exp(g + r * width / 2))
+    built = F.exp(-g) * F.col("_built")
+    ratio = S.ratio(built * scale, F.col("arrivals"))
     return (
-        df.withColumn("_pop1", pop1)
-        .withColumn("_n", _arrivals(F.col("_pop1"), F.col("pop2"), by, width))
-        .withColumn("_r", F.coalesce(growth, F.lit(0.0)))
-        .withColumn("_g", width * F.coalesce(F.sum("_r").over(younger), F.lit(0.0)))
-        .withColumn("_part", F.when(is_open, open_part).otherwise(closed_part))
-        .withColumn("_built", F.exp(-g) * F.sum("_part").over(from_age_on(by)))
-        .withColumn(name, F.avg(F.when(fits, S.ratio(F.col("_built"), F.col("_n")))).over(group))
-        .drop("_pop1", "_n", "_r", "_g", "_part", "_built")
+        df.withColumns({"_open_age": F.max("age_band").over(whole_group(by))})
+        .withColumn("_part", part)
+        .withColumn("_built", F.sum("_part").over(from_age_on(by)))
+        .withColumn("_ratio", F.when(fits, ratio))
+        .withColumn(name, F.avg("_ratio").over(whole_group(by)))
+        .drop("_open_age", "_part", "_built", "_ratio")
     )
 
 
@@ -210,19 +259,20 @@ def _fit_ages(fit_ages: tuple[int, int] | None) -> Column:
 def seg(
     df: DataFrame, fit_ages: tuple[int, int] | None = (15, 75), by: Sequence[str] = BY, width: int = 5
 ) -> DataFrame:
-    """Add extinct-generations coverage ``seg``. Needs column ``e_open``, the life expectancy at the
-    start of the open band; with ``fit_ages=None`` also the fit ages of ``ggb``."""
-    return _extinct_generations(df, "seg", F.col("pop1"), _fit_ages(fit_ages), by, width)
+    """Add extinct-generations coverage ``seg``.
+
+    Needs the columns of ``ggb_points`` and ``growth_below``, and ``e_open``, the life expectancy at
+    the start of the open band; with ``fit_ages=None`` also the fit ages of ``ggb``.
+    """
+    return _extinct_generations(df, "seg", None, _fit_ages(fit_ages), by, width)
 
 
 def ggb_seg(
     df: DataFrame, fit_ages: tuple[int, int] | None = None, by: Sequence[str] = BY, width: int = 5
 ) -> DataFrame:
     """Add the combined coverage ``ggbseg``: extinct generations after the first count is rescaled
-    by the ``delta`` that growth balance found."""
-    rescaled = S.ratio(F.col("pop1"), F.col("delta"))
-    known = F.col("delta").isNotNull()
-    return _extinct_generations(df, "ggbseg", rescaled, _fit_ages(fit_ages) & known, by, width)
+    by the ``delta`` of ``ggb``. Needs what ``seg`` needs, and the columns of ``ggb``."""
+    return _extinct_generations(df, "ggbseg", F.col("delta"), _fit_ages(fit_ages), by, width)
 
 
 def attach_e_open(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -234,7 +284,7 @@ def attach_e_open(df: DataFrame, table: DataFrame) -> DataFrame:
 def e_open_from_levels(df: DataFrame, levels: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
     """Add ``e_open`` read off a model life table, column ``death_ratio`` being the way in.
 
-    ``death_ratio`` is growth-adjusted deaths at ages 10-39 over those at 40-59. ``levels`` holds
+    Needs the columns of ``growth_below``. ``death_ratio`` is growth-adjusted deaths at ages 10-39 over those at 40-59. ``levels`` holds
     ``(sex, ratio, e_open)``; between two levels the value is interpolated linearly, outside them
     the nearest level is used. Each ratio falls into exactly one step of its sex's table, so the
     join never multiplies rows.
@@ -254,19 +304,16 @@ def e_open_from_levels(df: DataFrame, levels: DataFrame, by: Sequence[str] = BY,
         F.max_by("e_open", "ratio").alias("_e_from"),
         none.alias("_e_to"),
     )
-    group = whole_group(by)
-    younger = by_age(by).rowsBetween(Window.unboundedPreceding, -1)
-    growth = S.annual_log_growth(F.col("pop2"), F.col("pop1"), _years_between())
+    r = F.coalesce(F.col("r"), F.lit(0.0))
+    adjusted = F.col("deaths") * F.exp(width * (F.col("r_below") + r / 2))
 
     def deaths_at(first: int, last: int) -> Column:
-        return F.sum(F.when(F.col("age_band").between(first, last), F.col("_d"))).over(group)
+        return F.sum(F.when(F.col("age_band").between(first, last), F.col("_d"))).over(whole_group(by))
 
     rated = (
-        df.withColumn("_r", F.coalesce(growth, F.lit(0.0)))
-        .withColumn("_g", width * F.coalesce(F.sum("_r").over(younger), F.lit(0.0)))
-        .withColumn("_d", F.col("deaths") * F.exp(F.col("_g") + F.col("_r") * width / 2))
+        df.withColumn("_d", adjusted)
         .withColumn("death_ratio", S.ratio(deaths_at(10, 39), deaths_at(40, 59)))
-        .drop("_r", "_g", "_d")
+        .drop("_d")
     )
     x = F.col("death_ratio")
     within = (
@@ -315,9 +362,10 @@ def with_death_coverage(
     width: int = 5,
 ) -> DataFrame:
     """Add every method, the means and the chosen ``coverage`` to the age rows of ``df``."""
-    fitted = ggb(ggb_points(df, by, width), search, by, width)
+    fitted = ggb(growth_below(ggb_points(df, by, width), by, width), search, by, width)
     both = ggb_seg(seg(fitted, seg_ages, by, width), ggbseg_ages, by, width)
-    return choose_coverage(combine_methods(both)).drop("arrivals", "exposure", "ggb_left", "ggb_right")
+    scratch = ("arrivals", "exposure", "ggb_left", "ggb_right", "r", "r_below", "n_below")
+    return choose_coverage(combine_methods(both)).drop(*scratch)
 
 
 def death_coverage(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:

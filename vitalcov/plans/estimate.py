@@ -9,12 +9,6 @@ from pyspark.sql import DataFrame
 from vitalcov.operators import coverage as C
 from vitalcov.operators import ddm as D
 from vitalcov.operators.cumulate import cohort_mid_population, growth_rates
-from vitalcov.operators.tabulate import rebands
-
-
-def method_input(deaths: DataFrame, pop: DataFrame, year1: int, year2: int) -> DataFrame:
-    """Deaths and population brought to the same open band and lined up for the methods."""
-    return D.ddm_input(D.deaths_population(rebands(deaths), pop), year1, year2)
 
 
 def age_rows(
@@ -30,9 +24,9 @@ def age_rows(
     One chain of windows over (place, sex): deaths and population are read once, and no derived
     table is joined back to the rows it came from.
     """
-    rows = D.attach_e_open(method_input(deaths, pop, year1, year2), e_open)
-    covered = D.with_death_coverage(growth_rates(rows), search)
-    return C.adjusted_deaths(cohort_mid_population(covered))
+    rows = D.attach_e_open(D.ddm_input(deaths, pop, year1, year2), e_open)
+    grown = cohort_mid_population(growth_rates(rows))
+    return C.adjusted_deaths(D.with_death_coverage(grown, search))
 
 
 def estimate_birth_coverage(

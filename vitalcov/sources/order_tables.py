@@ -15,8 +15,20 @@ from pyspark.sql import functions as F
 from vitalcov.functions.scalars import in_years
 
 
+# the columns in use, declared so that opening a table needs no job to look at its files
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string",
+}
+
+
 def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _placed_orders(spark: SparkSession, sf_dir: str, years: Sequence[int] | None) -> DataFrame:
@@ -71,29 +83,29 @@ def raw_births(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = N
     )
 
 
-def raw_population(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None) -> DataFrame:
-    """Population rows per labelled age band, plus the all-ages rows a published table carries."""
+def raw_population(
+    spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None, all_ages: bool = False
+) -> DataFrame:
+    """Population rows per labelled age band; with ``all_ages`` also the total rows of a published table."""
     band = F.when(_age() >= 80, 80).otherwise((F.floor(_age() / 5) * 5).cast("int"))
-    sex = F.when(F.col("l_linestatus") == "F", "Female").otherwise("Male")
-    cells = (
-        _placed_lines(spark, sf_dir, years)
-        .select(F.year("o_orderdate").alias("year"), _state().alias("geo_code"), sex.alias("sex_label"), band.alias("b"))
-        .groupBy("year", "geo_code", "sex_label", "b")
-        .agg(F.count("*").alias("pop"))
-    )
-    # grouping sets give the all-ages rows in the same pass
-    keys = [F.col(c) for c in ("year", "geo_code", "sex_label", "b")]
+    keys = {
+        "year": F.year("o_orderdate"),
+        "geo_code": _state(),
+        "sex_label": F.when(F.col("l_linestatus") == "F", "Female").otherwise("Male"),
+        "b": band,
+    }
+    lines = _placed_lines(spark, sf_dir, years).select(*[c.alias(name) for name, c in keys.items()])
+    cells = lines.groupBy(*keys).agg(F.count("*").alias("pop"))
     first, last = F.col("b").cast("string"), (F.col("b") + 4).cast("string")
     label = (
-        F.when(F.col("_all") == 1, "Total")
+        F.when(F.col("b").isNull(), "Total")
         .when(F.col("b") == 80, "From 80 years or more")
         .otherwise(F.concat(F.lit("From "), first, F.lit(" to "), last, F.lit(" years")))
     )
-    return (
-        cells.groupingSets([keys, keys[:3]], *keys)
-        .agg(F.sum("pop").alias("pop"), F.grouping("b").alias("_all"))
-        .select("year", "geo_code", "sex_label", label.alias("age_label"), "pop")
-    )
+    if all_ages:
+        cols = [F.col(c) for c in keys]
+        cells = cells.groupingSets([cols, cols[:3]], *cols).agg(F.sum("pop").alias("pop"))
+    return cells.select("year", "geo_code", "sex_label", label.alias("age_label"), "pop")
 
 
 def geo_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
