@@ -140,27 +140,19 @@ def ggb(df: DataFrame, search: FitSearch = FitSearch(), by: Sequence[str] = BY,
     the candidate fits are columns of their first row and no candidate list has to be joined.
     Points that are NULL take no part, and a run needs ``min_ages`` usable points.
     """
-    usable = F.col("ggb_left").isNotNull() & F.col("ggb_right").isNotNull()
-    left, right = F.when(usable, F.col("ggb_left")), F.when(usable, F.col("ggb_right"))
     longest = (search.max_age - search.min_age) // width + 1
     reaches = [width * (k - 1) for k in range(search.min_ages, longest + 1)]
-    moments, fits = {}, []
-    for reach in reaches:
-        run = by_age(by).rangeBetween(Window.currentRow, reach)
-        moments |= {
-            f"_n{reach}": F.count(left).over(run),
-            f"_var_l{reach}": F.var_samp(left).over(run),
-            f"_var_r{reach}": F.var_samp(right).over(run),
-            f"_cov{reach}": F.covar_samp(left, right).over(run),
-            f"_avg_l{reach}": F.avg(left).over(run),
-            f"_avg_r{reach}": F.avg(right).over(run),
-        }
-        fits.append(_fit(reach, search))
-    scratch = [*moments, "_fit"]
-    best = F.min("_fit").over(whole_group(by))
+    moments = {
+        f"_{name}_{reach}": F.expr(
+            f"regr_{name}(ggb_left, ggb_right) OVER (PARTITION BY {', '.join(by)} ORDER BY age_band"
+            f" RANGE BETWEEN CURRENT ROW AND {reach} FOLLOWING)"
+        )
+        for reach in reaches
+        for name in ("count", "avgx", "avgy", "sxx", "syy", "sxy")
+    }
+    best = F.min(F.array_min(F.array(*[_fit(reach, search) for reach in reaches]))).over(whole_group(by))
     return (
         df.withColumns(moments)
-        .withColumn("_fit", F.array_min(F.array(*fits)))
         .withColumn("_fit", best)
         .withColumns(
             {
@@ -170,50 +162,42 @@ def ggb(df: DataFrame, search: FitSearch = FitSearch(), by: Sequence[str] = BY,
                 "delta": F.col("_fit.delta"),
             }
         )
-        .drop(*scratch)
+        .drop("_fit", *moments)
     )
 
 
 def _fit(reach: int, search: FitSearch) -> Column:
     """The line through the run of ages starting here, as ``(score, lo, hi, ggb, delta)``; the lowest
-    struct is the best fit. NULL if the run is not allowed or has no line."""
-    n, var_l, var_r, cov, avg_l, avg_r = (
-        F.col(f"_{c}{reach}") for c in ("n", "var_l", "var_r", "cov", "avg_l", "avg_r")
-    )
-    lo = F.col("age_band")
-    slope = S.ratio(F.sqrt(var_l), F.sqrt(var_r))
-    if search.criterion == "r2":
-        score = -S.ratio(cov * cov, var_l * var_r)
-    else:
-        score = var_l - 2 * slope * cov + slope * slope * var_r
-    allowed = (
-        (lo >= search.min_age)
-        & (lo + reach <= search.max_age)
-        & (n >= search.min_ages)
-        & (slope > 0)
-        & score.isNotNull()
-    )
-    return F.when(
-        allowed,
-        F.struct(
-            F.round(score, 12).alias("score"),
-            lo.alias("lo"),
-            (lo + reach).alias("hi"),
-            (1 / slope).alias("ggb"),
-            F.exp((avg_l - slope * avg_r) * _years_between()).alias("delta"),
-        ),
+    struct is the best fit. NULL if the run is not allowed or has no line.
+
+    The slope is the ratio of the two standard deviations, so coverage is its inverse.
+    """
+    n, x, y, sxx, syy, sxy = (f"_{m}_{reach}" for m in ("count", "avgx", "avgy", "sxx", "syy", "sxy"))
+    slope = f"sqrt({syy} / {sxx})"
+    score = {
+        "r2": f"-{sxy} * {sxy} / ({sxx} * {syy})",
+        "rms": f"({syy} - 2 * {slope} * {sxy} + {slope} * {slope} * {sxx}) / ({n} - 1)",
+    }[search.criterion]
+    return F.expr(
+        f"""CASE WHEN age_band >= {search.min_age} AND age_band + {reach} <= {search.max_age}
+                  AND {n} >= {search.min_ages} AND {sxx} > 0 AND {syy} > 0 AND {sxx} * {syy} > 0
+            THEN named_struct('score', round({score}, 12), 'lo', age_band, 'hi', age_band + {reach},
+                              'ggb', sqrt({sxx} / {syy}),
+                              'delta', exp(({y} - {slope} * {x}) * (year2 - year1))) END"""
     )
 
 
 def growth_below(df: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
-    """Add the growth rate ``r`` of each band, its sum ``r_below`` over all younger bands, and
-    ``n_below``, how many of those have a rate. A band with a zero count has none and does not grow."""
+    """Add what extinct generations needs of growth: the rate ``r`` of each band, its sum ``r_below``
+    over all younger bands, ``n_below``, how many of those have a rate, and ``is_open`` for the oldest
+    band. A band with a zero count has no rate and does not grow."""
     rate = S.annual_log_growth(F.col("pop2"), F.col("pop1"), _years_between())
     below = below_age(by)
     return df.withColumn("r", rate).withColumns(
         {
             "r_below": F.coalesce(F.sum("r").over(below), F.lit(0.0)),
-            "n_below": F.coalesce(F.count("r").over(below), F.lit(0)),
+            "n_below": F.count("r").over(below),
+            "is_open": F.lead("age_band").over(by_age(by)).isNull(),
         }
     )
 
@@ -235,18 +219,15 @@ def _extinct_generations(
     g = width * (F.col("r_below") + shift * F.col("n_below"))
     open_growth = r * F.col("e_open")
     part = F.when(
-        F.col("age_band") == F.col("_open_age"),
+        F.col("is_open"),
         F.col("deaths") * (F.exp(open_growth) - open_growth * open_growth / 6) * F.exp(g),
     ).otherwise(F.col("deaths") * F.exp(g + r * width / 2))
-    built = F.exp(-g) * F.col("_built")
+    built = F.exp(-g) * F.sum(part).over(from_age_on(by))
     ratio = S.ratio(built * scale, F.col("arrivals"))
     return (
-        df.withColumns({"_open_age": F.max("age_band").over(whole_group(by))})
-        .withColumn("_part", part)
-        .withColumn("_built", F.sum("_part").over(from_age_on(by)))
-        .withColumn("_ratio", F.when(fits, ratio))
+        df.withColumn("_ratio", F.when(fits, ratio))
         .withColumn(name, F.avg("_ratio").over(whole_group(by)))
-        .drop("_open_age", "_part", "_built", "_ratio")
+        .drop("_ratio")
     )
 
 
@@ -308,13 +289,9 @@ def e_open_from_levels(df: DataFrame, levels: DataFrame, by: Sequence[str] = BY,
     adjusted = F.col("deaths") * F.exp(width * (F.col("r_below") + r / 2))
 
     def deaths_at(first: int, last: int) -> Column:
-        return F.sum(F.when(F.col("age_band").between(first, last), F.col("_d"))).over(whole_group(by))
+        return F.sum(F.when(F.col("age_band").between(first, last), adjusted)).over(whole_group(by))
 
-    rated = (
-        df.withColumn("_d", adjusted)
-        .withColumn("death_ratio", S.ratio(deaths_at(10, 39), deaths_at(40, 59)))
-        .drop("_d")
-    )
+    rated = df.withColumn("death_ratio", S.ratio(deaths_at(10, 39), deaths_at(40, 59)))
     x = F.col("death_ratio")
     within = (
         (F.col("sex") == F.col("_sex"))
@@ -364,7 +341,7 @@ def with_death_coverage(
     """Add every method, the means and the chosen ``coverage`` to the age rows of ``df``."""
     fitted = ggb(growth_below(ggb_points(df, by, width), by, width), search, by, width)
     both = ggb_seg(seg(fitted, seg_ages, by, width), ggbseg_ages, by, width)
-    scratch = ("arrivals", "exposure", "ggb_left", "ggb_right", "r", "r_below", "n_below")
+    scratch = ("arrivals", "exposure", "ggb_left", "ggb_right", "r", "r_below", "n_below", "is_open")
     return choose_coverage(combine_methods(both)).drop(*scratch)
 
 
