@@ -20,6 +20,7 @@ SCHEMAS: dict[str, str] = {
     ),
     "e_open": "sex string, e_open double",
     "e_open_levels": "sex string, ratio double, e_open double",
+    "method_coverage": "geo_code string, sex string, method string, coverage double",
     "estimates": (
         "geo_code string, sex string, year int, cbr double, "
         "birth_rate_implied double, coverage_b double, completeness double"
