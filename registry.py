@@ -194,12 +194,12 @@ def moving_average_births(spark, d):
 
 def ggb_points(spark, d):
     cols = ["arrivals", "exposure", "ggb_left", "ggb_right"]
-    points = D.ggb_points(method_input(spark, d))
+    points = D.method_points(method_input(spark, d))
     return _rounded(points, 6, *cols).select("geo_code", "sex", "age_band", *cols)
 
 
 def _ggb(spark, d, search):
-    fitted = D.ggb(D.ggb_points(method_input(spark, d)), search)
+    fitted = D.ggb(D.method_points(method_input(spark, d)), search)
     one = fitted.where(F.col("age_band") == 0).select("geo_code", "sex", "fit_lo", "fit_hi", "ggb", "delta")
     return _rounded(one, 9, "ggb", "delta")
 
@@ -214,18 +214,18 @@ def ggb_fit_rms(spark, d):
 
 def seg(spark, d):
     rows = D.attach_e_open(method_input(spark, d), e_open(spark))
-    rows = D.seg(D.growth_below(D.ggb_points(rows)))
+    rows = D.seg(D.method_points(rows))
     return _rounded(rows.where(F.col("age_band") == 0).select("geo_code", "sex", "seg"), 6, "seg")
 
 
 def ggb_seg(spark, d):
     rows = D.attach_e_open(method_input(spark, d), e_open(spark))
-    combined = D.ggb_seg(D.ggb(D.growth_below(D.ggb_points(rows))))
+    combined = D.ggb_seg(D.ggb(D.method_points(rows)))
     return _rounded(combined.where(F.col("age_band") == 0).select("geo_code", "sex", "ggbseg"), 9, "ggbseg")
 
 
 def e_open_levels(spark, d):
-    read = D.e_open_from_levels(D.growth_below(method_input(spark, d)), dims.e_open_levels_table(spark, E_OPEN_LEVELS))
+    read = D.e_open_from_levels(D.method_points(method_input(spark, d)), dims.e_open_levels_table(spark, E_OPEN_LEVELS))
     one = read.where(F.col("age_band") == 0).select("geo_code", "sex", "death_ratio", "e_open")
     return _rounded(one, 6, "death_ratio", "e_open")
 

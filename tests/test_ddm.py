@@ -82,7 +82,7 @@ def brute_fit(points, criterion):
 
 @pytest.mark.parametrize("criterion", ["r2", "rms"])
 def test_fit_search_equals_trying_every_run(spark, noisy_rows, criterion):
-    points = D.ggb_points(spark.createDataFrame(noisy_rows, DDL))
+    points = D.method_points(spark.createDataFrame(noisy_rows, DDL))
     fitted = D.ggb(points, D.FitSearch(criterion=criterion)).where("age_band = 0")
     got = by_geo(fitted, "fit_lo", "fit_hi", "ggb", "delta")
     for geo, ages in groups(noisy_rows).items():
@@ -108,7 +108,7 @@ def test_extinct_generations_equal_the_recursion(noisy_rows, covered):
 
 
 def test_combined_method_equals_plain_one_when_counts_agree(spark, noisy_rows):
-    rows = D.growth_below(D.ggb_points(spark.createDataFrame(noisy_rows, DDL))).withColumn("delta", F.lit(1.0))
+    rows = D.method_points(spark.createDataFrame(noisy_rows, DDL)).withColumn("delta", F.lit(1.0))
     both = D.ggb_seg(D.seg(rows, (15, 75)), (15, 75)).where("age_band = 0")
     for seg, ggbseg in by_geo(both, "seg", "ggbseg").values():
         assert seg == pytest.approx(ggbseg, rel=1e-12)
@@ -216,7 +216,7 @@ def test_e_open_from_levels(spark):
         for sex in ("f", "unlisted")
         for x in BANDS
     ]
-    df = D.growth_below(spark.createDataFrame(rows, DDL).drop("e_open"))
+    df = D.method_points(spark.createDataFrame(rows, DDL).drop("e_open"))
     out = D.e_open_from_levels(df, levels)
     assert out.count() == len(rows)
     got = by_geo(out.where("age_band = 0 AND sex = 'f'"), "e_open")

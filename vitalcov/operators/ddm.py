@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalcov.functions import scalars as S
-from vitalcov.functions.windows import BY, below_age, by_age, cum_from_age, from_age_on, whole_group
+from vitalcov.functions.windows import BY, below_age, by_age, from_age_on, strict_sum, whole_group
 from vitalcov.operators.tabulate import densify
 
 BANDS = tuple(range(0, 85, 5))
@@ -112,29 +112,48 @@ def _years_between() -> Column:
     return F.col("year2") - F.col("year1")
 
 
-def ggb_points(df: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
-    """Add the growth-balance points: ``arrivals`` N(x), ``exposure`` T(x+), ``ggb_left``, ``ggb_right``.
+def method_points(df: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
+    """Add what all methods start from, in one window pass over the ages of a group.
 
-    N(x) is NULL at the first age and where a zero cell leaves nothing to measure.
+    - ``rx``: growth rate of the population at each age and over;
+    - ``arrivals`` N(x), NULL at the first age and where a zero cell leaves nothing to measure;
+    - ``exposure`` T(x+), and the growth-balance points ``ggb_left``, ``ggb_right``;
+    - ``r``: growth rate of the band, NULL beside a zero cell; ``r_below`` its sum over all younger
+      bands, ``n_below`` how many of those have a rate; ``is_open`` marks the oldest band.
     """
-    summed = cum_from_age(df.withColumn("_before", F.lag("pop1").over(by_age(by))), ["pop1", "pop2", "deaths"], by)
-    reached = S.geometric_mean(F.col("_before"), F.col("pop2")) / width
-    arrivals = F.when(reached > 0, reached)
-    exposure = S.geometric_mean(F.col("pop1_cum"), F.col("pop2_cum"))
-    growth = S.annual_log_growth(F.col("pop2_cum"), F.col("pop1_cum"), _years_between())
-    return summed.withColumns(
+    rate = S.annual_log_growth(F.col("pop2"), F.col("pop1"), _years_between())
+    ages, below, over = by_age(by), below_age(by), from_age_on(by)
+    windowed = df.withColumn("r", rate).withColumns(
         {
-            "arrivals": arrivals,
-            "exposure": exposure,
-            "ggb_left": S.ratio(arrivals, exposure) - growth,
-            "ggb_right": S.ratio(F.col("deaths_cum"), exposure),
+            **{f"_{c}": strict_sum(F.col(c), over) for c in ("pop1", "pop2", "deaths")},
+            "_before": F.lag("pop1").over(ages),
+            "r_below": F.coalesce(F.sum("r").over(below), F.lit(0.0)),
+            "n_below": F.count("r").over(below),
+            "is_open": F.lead("age_band").over(ages).isNull(),
         }
-    ).drop("_before", "pop1_cum", "pop2_cum", "deaths_cum")
+    )
+    reached = S.geometric_mean(F.col("_before"), F.col("pop2")) / width
+    return (
+        windowed.withColumns(
+            {
+                "rx": S.annual_log_growth(F.col("_pop2"), F.col("_pop1"), _years_between()),
+                "arrivals": F.when(reached > 0, reached),
+                "exposure": S.geometric_mean(F.col("_pop1"), F.col("_pop2")),
+            }
+        )
+        .withColumns(
+            {
+                "ggb_left": S.ratio(F.col("arrivals"), F.col("exposure")) - F.col("rx"),
+                "ggb_right": S.ratio(F.col("_deaths"), F.col("exposure")),
+            }
+        )
+        .drop("_pop1", "_pop2", "_deaths", "_before")
+    )
 
 
 def ggb(df: DataFrame, search: FitSearch = FitSearch(), by: Sequence[str] = BY, width: int = 5) -> DataFrame:
     """Add growth-balance coverage ``ggb``, the relative coverage of the first count ``delta``, and
-    the chosen fit ages ``fit_lo``, ``fit_hi``. Needs the columns of ``ggb_points``.
+    the chosen fit ages ``fit_lo``, ``fit_hi``. Needs the columns of ``method_points``.
 
     The run of k ages that starts at a row is the window frame ``[age, age + width (k - 1)]``, so
     the candidate fits are columns of their first row and no candidate list has to be joined.
@@ -187,21 +206,6 @@ def _fit(reach: int, search: FitSearch) -> Column:
     )
 
 
-def growth_below(df: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
-    """Add what extinct generations needs of growth: the rate ``r`` of each band, its sum ``r_below``
-    over all younger bands, ``n_below``, how many of those have a rate, and ``is_open`` for the oldest
-    band. A band with a zero count has no rate and does not grow."""
-    rate = S.annual_log_growth(F.col("pop2"), F.col("pop1"), _years_between())
-    below = below_age(by)
-    return df.withColumn("r", rate).withColumns(
-        {
-            "r_below": F.coalesce(F.sum("r").over(below), F.lit(0.0)),
-            "n_below": F.count("r").over(below),
-            "is_open": F.lead("age_band").over(by_age(by)).isNull(),
-        }
-    )
-
-
 def _extinct_generations(
     df: DataFrame, name: str, delta: Column | None, fits: Column, by: Sequence[str], width: int
 ) -> DataFrame:
@@ -242,8 +246,8 @@ def seg(
 ) -> DataFrame:
     """Add extinct-generations coverage ``seg``.
 
-    Needs the columns of ``ggb_points`` and ``growth_below``, and ``e_open``, the life expectancy at
-    the start of the open band; with ``fit_ages=None`` also the fit ages of ``ggb``.
+    Needs the columns of ``method_points`` and ``e_open``, the life expectancy at the start of the
+    open band; with ``fit_ages=None`` also the fit ages of ``ggb``.
     """
     return _extinct_generations(df, "seg", None, _fit_ages(fit_ages), by, width)
 
@@ -265,7 +269,7 @@ def attach_e_open(df: DataFrame, table: DataFrame) -> DataFrame:
 def e_open_from_levels(df: DataFrame, levels: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
     """Add ``e_open`` read off a model life table, column ``death_ratio`` being the way in.
 
-    Needs the columns of ``growth_below``. ``death_ratio`` is growth-adjusted deaths at ages 10-39 over those at 40-59. ``levels`` holds
+    Needs the columns of ``method_points``. ``death_ratio`` is growth-adjusted deaths at ages 10-39 over those at 40-59. ``levels`` holds
     ``(sex, ratio, e_open)``; between two levels the value is interpolated linearly, outside them
     the nearest level is used. Each ratio falls into exactly one step of its sex's table, so the
     join never multiplies rows.
@@ -339,7 +343,7 @@ def with_death_coverage(
     width: int = 5,
 ) -> DataFrame:
     """Add every method, the means and the chosen ``coverage`` to the age rows of ``df``."""
-    fitted = ggb(growth_below(ggb_points(df, by, width), by, width), search, by, width)
+    fitted = ggb(method_points(df, by, width), search, by, width)
     both = ggb_seg(seg(fitted, seg_ages, by, width), ggbseg_ages, by, width)
     scratch = ("arrivals", "exposure", "ggb_left", "ggb_right", "r", "r_below", "n_below", "is_open")
     return choose_coverage(combine_methods(both)).drop(*scratch)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from vitalcov.operators import coverage as C
 from vitalcov.operators import ddm as D
-from vitalcov.operators.cumulate import cohort_mid_population, growth_rates
+from vitalcov.operators.cumulate import cohort_mid_population
 
 
 def age_rows(
@@ -25,8 +25,7 @@ def age_rows(
     table is joined back to the rows it came from.
     """
     rows = D.attach_e_open(D.ddm_input(deaths, pop, year1, year2), e_open)
-    grown = cohort_mid_population(growth_rates(rows))
-    return C.adjusted_deaths(D.with_death_coverage(grown, search))
+    return C.adjusted_deaths(D.with_death_coverage(cohort_mid_population(rows), search))
 
 
 def estimate_birth_coverage(
