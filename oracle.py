@@ -324,22 +324,44 @@ FINAL: dict[str, str] = {
 }
 
 
-def _needed(sql: str) -> set[str]:
+def _smoothed(plain: str) -> str:
+    """Three-year means, with 0 for the bands a year, place and sex has no events in."""
+    return f"""WITH cells AS (SELECT k.year, k.geo_code, k.sex, b.age_band, coalesce(c.n, 0) AS n
+      FROM (SELECT DISTINCT year, geo_code, sex FROM {plain}) k
+      CROSS JOIN (SELECT CAST(5 * i AS INTEGER) AS age_band FROM range(0, 18) AS t(i)) b
+      LEFT JOIN {plain} c ON c.year = k.year AND c.geo_code = k.geo_code AND c.sex = k.sex AND c.age_band = b.age_band)
+    SELECT x.year, x.geo_code, x.sex, x.age_band, avg(y.n) AS n FROM cells x JOIN cells y
+      ON x.geo_code = y.geo_code AND x.sex = y.sex AND x.age_band = y.age_band AND abs(x.year - y.year) <= 1
+    GROUP BY 1, 2, 3, 4"""
+
+
+# the same blocks with smoothed counts in the place of the yearly ones
+SMOOTH_CTES: dict[str, str] = {}
+for _name, _body in CTES.items():
+    if _name in ("deaths", "births"):
+        SMOOTH_CTES[f"yearly_{_name}"] = _body
+        SMOOTH_CTES[_name] = _smoothed(f"yearly_{_name}")
+    else:
+        SMOOTH_CTES[_name] = _body
+
+
+def _needed(sql: str, blocks: dict[str, str]) -> set[str]:
     """Every building block the text refers to, directly or through others."""
     found: set[str] = set()
     todo = [sql]
     while todo:
         words = set(re.findall(r"\w+", todo.pop()))
-        for name in (words & CTES.keys()) - found:
+        for name in (words & blocks.keys()) - found:
             found.add(name)
-            todo.append(CTES[name])
+            todo.append(blocks[name])
     return found
 
 
-def sql_for(name: str) -> str:
-    used = _needed(FINAL[name])
-    blocks = [f"{cte} AS (\n    {body})" for cte, body in CTES.items() if cte in used]
-    return "WITH RECURSIVE " + ",\n".join(blocks) + "\nSELECT * FROM (\n    " + FINAL[name] + ")"
+def sql_for(final: str, blocks: dict[str, str]) -> str:
+    used = _needed(final, blocks)
+    ctes = [f"{name} AS (\n    {body})" for name, body in blocks.items() if name in used]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT * FROM (\n    " + final + ")"
 
 
-ORACLES: dict[str, str] = {name: sql_for(name) for name in FINAL}
+ORACLES: dict[str, str] = {name: sql_for(final, CTES) for name, final in FINAL.items()}
+ORACLES["birth_coverage_smoothed"] = sql_for(FINAL["birth_coverage"], SMOOTH_CTES)

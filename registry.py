@@ -280,6 +280,14 @@ def birth_coverage(spark, d):
     return _rounded(estimates(spark, d), 6, *cols)
 
 
+def birth_coverage_smoothed(spark, d):
+    cols = ["cbr", "birth_rate_implied", "coverage_b", "completeness"]
+    smooth = [E.smooth_counts(counts(spark, d)) for counts in (deaths, births)]
+    return _rounded(
+        E.estimate_birth_coverage(*smooth, population(spark, d, YEARS), e_open(spark), YEARS), 6, *cols
+    )
+
+
 def compare_years(spark, d):
     return _rounded(C.compare_years(estimates(spark, d), *YEARS), 6, "coverage_y1", "coverage_y2")
 
@@ -336,6 +344,7 @@ QUERIES: dict[str, Query] = {
     "implied_birth_profile": implied_birth_profile,
     "implied_birth_rate": implied_birth_rate,
     "birth_coverage": birth_coverage,
+    "birth_coverage_smoothed": birth_coverage_smoothed,
     "compare_years": compare_years,
     "coverage_ratio": coverage_ratio,
     "region_result": region_result,

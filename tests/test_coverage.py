@@ -6,7 +6,7 @@ from vitalcov.functions.windows import moving_average, strict_total
 from vitalcov.operators import coverage as C
 from vitalcov.operators import ddm as D
 from vitalcov.operators.checks import value_range
-from vitalcov.plans.estimate import age_rows, estimate_birth_coverage
+from vitalcov.plans.estimate import age_rows, estimate_birth_coverage, smooth_counts
 from vitalcov.sources import dims
 
 CELL = "year int, geo_code string, sex string, age_band int"
@@ -153,6 +153,27 @@ def test_value_range(spark):
     assert tuple(value_range(df, "v").first()) == (-2.0, 1.0)
 
 
+def test_levels_in_place_of_e_open_values(spark, tables, rows):
+    deaths, _, pop, e_open = tables
+    value = e_open.first()["e_open"]
+    flat = dims.e_open_levels_table(spark, {"Feminino": [(0.1, value), (5.0, value)]})
+    cols = ["geo_code", "ggb", "seg", "ggbseg", "coverage"]
+    by_levels = D.death_coverage(age_rows(deaths, pop, flat, 2000, 2010)).select(cols)
+    by_value = D.death_coverage(rows).select(cols)
+    got, want = ({r[0]: tuple(r)[1:] for r in df.collect()} for df in (by_levels, by_value))
+    assert all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_smoothing_counts_empty_bands_as_zero(spark):
+    cells = [(2000, "11", "f", 0, 3.0), (2001, "11", "f", 0, 6.0), (2001, "11", "f", 5, 4.0), (2002, "11", "f", 0, 9.0)]
+    out = smooth_counts(spark.createDataFrame(cells, f"{CELL}, n double"), [0, 5])
+    got = {(r["year"], r["age_band"]): r["n"] for r in out.collect()}
+    assert got == {
+        (2000, 0): 4.5, (2001, 0): 6.0, (2002, 0): 7.5,
+        (2000, 5): 2.0, (2001, 5): pytest.approx(4 / 3), (2002, 5): 2.0,
+    }
+
+
 def test_births_total_of_given_years(tables):
     births = tables[1]
     assert {r["births"] for r in C.births_total(births, [2000]).collect()} == {800.0}

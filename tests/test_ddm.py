@@ -11,6 +11,10 @@ from vitalcov.operators.cumulate import cohort_mid_population, growth_rates
 from vitalcov.sources import dims
 
 
+def covering(df):
+    return D.with_death_coverage(D.method_points(df))
+
+
 def by_geo(df, *cols):
     return {r["geo_code"]: tuple(r[c] for c in cols) if len(cols) > 1 else r[cols[0]] for r in df.collect()}
 
@@ -28,13 +32,13 @@ def noisy_rows():
 
 @pytest.fixture(scope="module")
 def covered(spark, noisy_rows):
-    return D.with_death_coverage(spark.createDataFrame(noisy_rows, DDL)).cache()
+    return covering(spark.createDataFrame(noisy_rows, DDL)).cache()
 
 
 @pytest.mark.parametrize(("share", "scale"), [(0.8, 1.0), (0.8, 0.95), (0.6, 1.05)])
 def test_recovers_known_coverage(spark, share, scale):
     rows = spark.createDataFrame(stable_rows("11", "f", share, scale), DDL)
-    got = D.death_coverage(D.with_death_coverage(rows)).first()
+    got = D.death_coverage(covering(rows)).first()
     assert got["ggb"] == pytest.approx(share / math.sqrt(scale), rel=0.02)
     assert got["delta"] == pytest.approx(scale, rel=0.02)
     assert got["ggbseg"] == pytest.approx(share, rel=0.02)
@@ -114,8 +118,16 @@ def test_combined_method_equals_plain_one_when_counts_agree(spark, noisy_rows):
         assert seg == pytest.approx(ggbseg, rel=1e-12)
 
 
+def test_median_over_the_fit_ages(spark, noisy_rows):
+    rows = D.method_points(spark.createDataFrame(noisy_rows, DDL))
+    got = by_geo(D.seg(rows, (20, 60), "median").where("age_band = 0"), "seg")
+    for geo, ages in groups(noisy_rows).items():
+        want = statistics.median(v for x, v in recursion(ages).items() if 20 <= x <= 60)
+        assert got[geo] == pytest.approx(want, rel=1e-9)
+
+
 def test_row_order_and_partitions_do_not_matter(spark, noisy_rows, covered):
-    again = D.with_death_coverage(spark.createDataFrame(noisy_rows[::-1], DDL).repartition(7))
+    again = covering(spark.createDataFrame(noisy_rows[::-1], DDL).repartition(7))
     want = by_geo(D.death_coverage(covered), *D.METHODS, "coverage")
     got = by_geo(D.death_coverage(again), *D.METHODS, "coverage")
     assert all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
@@ -123,7 +135,7 @@ def test_row_order_and_partitions_do_not_matter(spark, noisy_rows, covered):
 
 def test_zero_cells_are_left_out_of_the_fit(spark, noisy_rows):
     holed = [r if (r[0], r[2]) != ("0", 40) else (*r[:5], 0.0, *r[6:]) for r in noisy_rows]
-    out = D.with_death_coverage(spark.createDataFrame(holed, DDL))
+    out = covering(spark.createDataFrame(holed, DDL))
     rows = {r["geo_code"]: r for r in D.death_coverage(out).collect()}
     assert rows["0"]["ggb"] is not None and rows["0"]["fit_hi"] - rows["0"]["fit_lo"] >= 40
     assert rows["0"]["coverage"] is not None
@@ -131,7 +143,7 @@ def test_zero_cells_are_left_out_of_the_fit(spark, noisy_rows):
 
 def test_no_fit_gives_null(spark, noisy_rows):
     empty = [r if r[0] != "0" else (*r[:7], 0.0, r[8]) for r in noisy_rows]
-    got = {r["geo_code"]: r for r in D.death_coverage(D.with_death_coverage(spark.createDataFrame(empty, DDL))).collect()}
+    got = {r["geo_code"]: r for r in D.death_coverage(covering(spark.createDataFrame(empty, DDL))).collect()}
     assert got["0"]["ggb"] is None and got["0"]["ggbseg"] is None
     assert got["0"]["coverage"] == got["0"]["seg"] == 0.0
     assert got["1"]["ggb"] is not None

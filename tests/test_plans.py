@@ -55,7 +55,7 @@ def test_method_input_and_all_methods_share_one_shuffle(spark, files):
     rows = D.ddm_input(files["spread_counts"], files["population"], 2000, 2010)
     text = plan(rows)
     assert shuffles(text) == 1 and "Join" not in text
-    rows = D.attach_e_open(rows, dims.e_open_table(spark, {"Feminino": 8.0}))
+    rows = D.with_e_open(D.method_points(rows), dims.e_open_table(spark, {"Feminino": 8.0}))
     cover = D.death_coverage(D.with_death_coverage(rows))
     text = plan(cover)
     assert shuffles(text) == 1
@@ -64,7 +64,7 @@ def test_method_input_and_all_methods_share_one_shuffle(spark, files):
 
 
 def test_age_windows_merge(spark, files):
-    rows = D.attach_e_open(files["ddm_input"], dims.e_open_table(spark, {"Feminino": 8.0}))
+    rows = D.with_e_open(D.method_points(files["ddm_input"]), dims.e_open_table(spark, {"Feminino": 8.0}))
     assert len(re.findall(r"Window \[", plan(D.with_death_coverage(rows)))) <= 7
 
 

@@ -207,15 +207,18 @@ def _fit(reach: int, search: FitSearch) -> Column:
 
 
 def _extinct_generations(
-    df: DataFrame, name: str, delta: Column | None, fits: Column, by: Sequence[str], width: int
+    df: DataFrame, name: str, delta: Column | None, fits: Column, summary: str, by: Sequence[str], width: int
 ) -> DataFrame:
-    """Add column ``name``, the mean of N*(x)/N(x) over the ages where ``fits`` holds.
+    """Add column ``name``, a summary of N*(x)/N(x) over the ages where ``fits`` holds.
 
     The recursion N*(x) = N*(x+w) exp(w r) + D exp(w r / 2) is solved in closed form: with
     G(x) = w times the sum of r below x, N*(x) exp(G(x)) is a plain sum from the oldest age down.
     Dividing the first count by ``delta`` adds ln(delta)/t to every growth rate and divides every
     N(x) by sqrt(delta), so a rescaled population needs no new window of its own.
     """
+    # median takes no ordered window, so it gets one of its own
+    summaries = {"mean": (F.avg, whole_group(by)), "median": (F.median, Window.partitionBy(*by))}
+    summarise, group = summaries[summary]
     shift = F.lit(0.0) if delta is None else S.ratio(F.ln(delta), _years_between())
     scale = F.lit(1.0) if delta is None else F.sqrt(delta)
     # no rate, no growth: the shift goes to the bands that have a rate
@@ -227,37 +230,44 @@ def _extinct_generations(
         F.col("deaths") * (F.exp(open_growth) - open_growth * open_growth / 6) * F.exp(g),
     ).otherwise(F.col("deaths") * F.exp(g + r * width / 2))
     built = F.exp(-g) * F.sum(part).over(from_age_on(by))
-    ratio = S.ratio(built * scale, F.col("arrivals"))
     return (
-        df.withColumn("_ratio", F.when(fits, ratio))
-        .withColumn(name, F.avg("_ratio").over(whole_group(by)))
+        df.withColumn("_ratio", F.when(fits, S.ratio(built * scale, F.col("arrivals"))))
+        .withColumn(name, summarise("_ratio").over(group))
         .drop("_ratio")
     )
 
 
 def _fit_ages(fit_ages: tuple[int, int] | None) -> Column:
-    """Test for the ages to average over: a fixed span, or the one chosen by ``ggb``."""
+    """Test for the ages to summarise over: a fixed span, or the one chosen by ``ggb``."""
     lo, hi = (F.col("fit_lo"), F.col("fit_hi")) if fit_ages is None else map(F.lit, fit_ages)
     return F.col("age_band").between(lo, hi)
 
 
 def seg(
-    df: DataFrame, fit_ages: tuple[int, int] | None = (15, 75), by: Sequence[str] = BY, width: int = 5
+    df: DataFrame,
+    fit_ages: tuple[int, int] | None = (15, 75),
+    summary: str = "mean",
+    by: Sequence[str] = BY,
+    width: int = 5,
 ) -> DataFrame:
-    """Add extinct-generations coverage ``seg``.
+    """Add extinct-generations coverage ``seg``, the ``"mean"`` or ``"median"`` over the fit ages.
 
     Needs the columns of ``method_points`` and ``e_open``, the life expectancy at the start of the
     open band; with ``fit_ages=None`` also the fit ages of ``ggb``.
     """
-    return _extinct_generations(df, "seg", None, _fit_ages(fit_ages), by, width)
+    return _extinct_generations(df, "seg", None, _fit_ages(fit_ages), summary, by, width)
 
 
 def ggb_seg(
-    df: DataFrame, fit_ages: tuple[int, int] | None = None, by: Sequence[str] = BY, width: int = 5
+    df: DataFrame,
+    fit_ages: tuple[int, int] | None = None,
+    summary: str = "mean",
+    by: Sequence[str] = BY,
+    width: int = 5,
 ) -> DataFrame:
     """Add the combined coverage ``ggbseg``: extinct generations after the first count is rescaled
     by the ``delta`` of ``ggb``. Needs what ``seg`` needs, and the columns of ``ggb``."""
-    return _extinct_generations(df, "ggbseg", F.col("delta"), _fit_ages(fit_ages), by, width)
+    return _extinct_generations(df, "ggbseg", F.col("delta"), _fit_ages(fit_ages), summary, by, width)
 
 
 def attach_e_open(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -334,17 +344,26 @@ def choose_coverage(df: DataFrame) -> DataFrame:
     return df.withColumn("coverage", chosen)
 
 
+def with_e_open(points: DataFrame, e_open: DataFrame) -> DataFrame:
+    """Add ``e_open`` from a table of values, or from model life-table levels if it has a ``ratio``."""
+    return e_open_from_levels(points, e_open) if "ratio" in e_open.columns else attach_e_open(points, e_open)
+
+
 def with_death_coverage(
-    df: DataFrame,
+    points: DataFrame,
     search: FitSearch = FitSearch(),
     seg_ages: tuple[int, int] | None = (15, 75),
     ggbseg_ages: tuple[int, int] | None = None,
+    summary: str = "mean",
     by: Sequence[str] = BY,
     width: int = 5,
 ) -> DataFrame:
-    """Add every method, the means and the chosen ``coverage`` to the age rows of ``df``."""
-    fitted = ggb(method_points(df, by, width), search, by, width)
-    both = ggb_seg(seg(fitted, seg_ages, by, width), ggbseg_ages, by, width)
+    """Add every method, the means and the chosen ``coverage`` to the age rows.
+
+    Needs the columns of ``method_points`` and ``e_open``; of the former only ``rx`` is kept.
+    """
+    plain = seg(ggb(points, search, by, width), seg_ages, summary, by, width)
+    both = ggb_seg(plain, ggbseg_ages, summary, by, width)
     scratch = ("arrivals", "exposure", "ggb_left", "ggb_right", "r", "r_below", "n_below", "is_open")
     return choose_coverage(combine_methods(both)).drop(*scratch)
 

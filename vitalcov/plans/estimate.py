@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from vitalcov.functions.windows import moving_average
 from vitalcov.operators import coverage as C
 from vitalcov.operators import ddm as D
 from vitalcov.operators.cumulate import cohort_mid_population
+from vitalcov.operators.tabulate import CELL, densify
+
+EVENT_BANDS = tuple(range(0, 90, 5))
+
+
+def smooth_counts(counts: DataFrame, bands: Sequence[int] = EVENT_BANDS, span: int = 3) -> DataFrame:
+    """Yearly counts replaced by their centred moving average; a band without events counts as 0."""
+    dense = densify(counts, {"n": F.col("n")}, bands)
+    return moving_average(dense, "n", span=span).select(*CELL, F.col("n_smooth").alias("n"))
 
 
 def age_rows(
@@ -22,10 +33,10 @@ def age_rows(
     """Age rows with growth, methods, chosen coverage, corrected deaths and mid-period population.
 
     One chain of windows over (place, sex): deaths and population are read once, and no derived
-    table is joined back to the rows it came from.
+    table is joined back to the rows it came from. ``e_open`` is a table of values or of levels.
     """
-    rows = D.attach_e_open(D.ddm_input(deaths, pop, year1, year2), e_open)
-    return C.adjusted_deaths(D.with_death_coverage(cohort_mid_population(rows), search))
+    points = D.method_points(cohort_mid_population(D.ddm_input(deaths, pop, year1, year2)))
+    return C.adjusted_deaths(D.with_death_coverage(D.with_e_open(points, e_open), search))
 
 
 def estimate_birth_coverage(

@@ -15,17 +15,19 @@ from vitalcov.operators import coverage as C
 from vitalcov.operators import ddm as D
 from vitalcov.operators.redistribute import redistribute_unknown
 from vitalcov.operators.tabulate import population_counts, slim_births, slim_deaths, tabulate_events
-from vitalcov.plans.estimate import age_rows, estimate_birth_coverage
+from vitalcov.plans.estimate import age_rows, estimate_birth_coverage, smooth_counts
 from vitalcov.sources.dims import SEX_LABELS
 from vitalcov.sources.tables import read_table, write_table
 
 
 @dataclass(frozen=True)
 class Job:
-    """Where the tables go and which two years are compared."""
+    """Where the tables go, which two years are compared, and whether the estimation uses
+    three-year averages of the counts instead of single years."""
 
     root: str
     years: tuple[int, int]
+    smooth: bool = False
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -75,6 +77,8 @@ def estimate(
     """Step 3: death coverage per method, birth coverage per year, and the ratio of the years by region."""
     deaths = job.load(spark, "deaths", "spread_counts")
     births = job.load(spark, "births", "spread_counts")
+    if job.smooth:
+        deaths, births = smooth_counts(deaths), smooth_counts(births)
     pop = job.load(spark, "population", "population")
     methods = D.death_coverage(age_rows(deaths, pop, e_open, *job.years, search))
     job.save(D.coverage_long(methods), "death_coverage", "method_coverage")
