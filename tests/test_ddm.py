@@ -126,6 +126,20 @@ def test_median_over_the_fit_ages(spark, noisy_rows):
         assert got[geo] == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("delta", [1e-60, 1e-8, 1e8])
+def test_extreme_rescaling_stays_finite(spark, noisy_rows, delta):
+    rows = D.method_points(spark.createDataFrame(noisy_rows, DDL)).withColumn("delta", F.lit(delta))
+    got = by_geo(D.ggb_seg(rows, (15, 75)).where("age_band = 0"), "ggbseg")
+    for geo, ages in groups(noisy_rows).items():
+        want = statistics.mean(v for x, v in recursion(ages, delta).items() if x >= 15)
+        assert got[geo] == pytest.approx(want, rel=1e-6)
+
+
+def test_unknown_open_age_expectancy_gives_no_estimate(spark, noisy_rows):
+    rows = D.method_points(spark.createDataFrame([(*r[:8], None) for r in noisy_rows], DDL))
+    assert {r["seg"] for r in D.seg(rows).collect()} == {None}
+
+
 def test_row_order_and_partitions_do_not_matter(spark, noisy_rows, covered):
     again = covering(spark.createDataFrame(noisy_rows[::-1], DDL).repartition(7))
     want = by_geo(D.death_coverage(covered), *D.METHODS, "coverage")

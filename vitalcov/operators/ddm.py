@@ -178,7 +178,7 @@ def ggb(df: DataFrame, search: FitSearch = FitSearch(), by: Sequence[str] = BY,
                 "fit_lo": F.col("_fit.lo"),
                 "fit_hi": F.col("_fit.hi"),
                 "ggb": F.col("_fit.ggb"),
-                "delta": F.col("_fit.delta"),
+                "delta": S.finite(F.col("_fit.delta")),
             }
         )
         .drop("_fit", *moments)
@@ -212,7 +212,9 @@ def _extinct_generations(
     """Add column ``name``, a summary of N*(x)/N(x) over the ages where ``fits`` holds.
 
     The recursion N*(x) = N*(x+w) exp(w r) + D exp(w r / 2) is solved in closed form: with
-    G(x) = w times the sum of r below x, N*(x) exp(G(x)) is a plain sum from the oldest age down.
+    G(x) = w times the sum of r below x, N*(x) is the sum of D(y) exp(G(y) - G(x) + w r(y) / 2) over
+    the ages y from x on. The exponents are subtracted before exp is taken, because with extreme
+    growth each of them alone would overflow. The summed list has one entry per older band.
     Dividing the first count by ``delta`` adds ln(delta)/t to every growth rate and divides every
     N(x) by sqrt(delta), so a rescaled population needs no new window of its own.
     """
@@ -225,13 +227,17 @@ def _extinct_generations(
     r = F.when(F.col("r").isNotNull(), F.col("r") + shift).otherwise(0.0)
     g = width * (F.col("r_below") + shift * F.col("n_below"))
     open_growth = r * F.col("e_open")
-    part = F.when(
-        F.col("is_open"),
-        F.col("deaths") * (F.exp(open_growth) - open_growth * open_growth / 6) * F.exp(g),
-    ).otherwise(F.col("deaths") * F.exp(g + r * width / 2))
-    built = F.exp(-g) * F.sum(part).over(from_age_on(by))
+    term = F.struct(
+        F.when(F.col("is_open"), F.col("deaths") * (F.exp(open_growth) - open_growth * open_growth / 6))
+        .otherwise(F.col("deaths"))
+        .alias("d"),
+        F.when(F.col("is_open"), g).otherwise(g + r * width / 2).alias("h"),
+    )
+    terms = F.collect_list(term).over(from_age_on(by))
+    built = F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["d"] * F.exp(t["h"] - g))
+    ratio = S.finite(S.ratio(built * scale, F.col("arrivals")))
     return (
-        df.withColumn("_ratio", F.when(fits, S.ratio(built * scale, F.col("arrivals"))))
+        df.withColumn("_ratio", F.when(fits, ratio))
         .withColumn(name, summarise("_ratio").over(group))
         .drop("_ratio")
     )
