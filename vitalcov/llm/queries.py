@@ -8,26 +8,53 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalcov.llm import common, packing, token_files
+from vitalcov.llm import common, langid, packing, quality_crf, rules, token_files
 
 #: Files of the public tokenizers that the two token queries use.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+#: A document counts as good from this score on.
+GOOD = 0.7
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = common.table(spark, sf_dir, "documents"), common.crc_of_id(F.col("doc_id")) % 4
+    model = quality_crf.train(docs, common.table(spark, sf_dir, "labels"), fold=fold != 2)
+    scored = quality_crf.score(docs, model)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_rules(common.table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "tokens")
     token_files.write_tokens(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), 2, spaced=True)
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = common.table(spark, sf_dir, "documents"), common.crc_of_id(F.col("doc_id")) % 5
+    model = langid.train(docs.where(fold != 0))
+    return langid.predict(docs, model).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 1, length=2048, spaced=False)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
+    "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": rules.ORACLE,
+}
