@@ -1,8 +1,8 @@
 """Token ids by the tokenizers library, with the pieces of a text remembered.
 
 A pre-token never reaches over a space that stands between two visible characters: it ends before it, and the next one starts with it (or drops it).
-Nor does it hold both a letter or digit and a full stop or comma behind it. So a text may be cut before such spaces, stops and commas,
-and pieces that recur need the library only once. Ids are the same as for the whole text.
+Nor does it hold both a letter or digit and a full stop or comma behind it, and a single line feed between visible characters is one by itself.
+So a text may be cut before such spaces, stops and commas and around such line feeds, and pieces that recur need the library only once. Ids are the same as for the whole text.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def cut(text: str) -> list[str]:
         return CUT.split(text)
     if b"?" in kinds or b"  " in kinds or kinds[:1] == b" " or kinds[-1:] == b" ":
         return CUT.split(text)
-    text = text.replace(" ", "\0 ")
+    text = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
     if b".." not in kinds and b" ." not in kinds and b"*." not in kinds:
         text = text.replace(".", "\0.").replace(",", "\0,")
     return text.split("\0")
@@ -82,7 +82,7 @@ class Pieces(dict):
                     self[piece] = fresh[piece]
             else:
                 new.append(piece)
-        if len(fresh) + len(new) > self.limit:
+        if len(fresh) + len(new) > self.limit * 3 // 4:
             self.fresh = fresh = {p: fresh[p] for p in wanted & fresh.keys()}
         mark = self.mark
         easy = [p for p in new if mark not in p and p and not p[-1].isspace()] if self.mark_id >= 0 else []
@@ -103,7 +103,7 @@ class Pieces(dict):
 class Encoder:
     """`spaced`: the vocabulary marks a leading space (byte-level); otherwise white space is dropped."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
