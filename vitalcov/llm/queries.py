@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalcov.llm import common, decontaminate, langid, line_dedup, packing, quality_crf, rules, token_files
+from vitalcov.llm import common, decontaminate, jaccard_join, langid, line_dedup, packing, quality_crf, rules, token_files
 
 #: Files of the public tokenizers that the two token queries use.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(common.table(spark, sf_dir, "documents"), n=5, threshold=(4, 5))
+
+
 #: A document counts as good from this score on.
 GOOD = 0.7
 
@@ -60,6 +64,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
