@@ -32,21 +32,47 @@ HEAD = "<4s4I"
 
 
 def pack_block_bits(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values below 2**width as rows of bytes, low bits first."""
+    """Rows of values below 2**width as rows of bytes, low bits first. Eight values fill `width` bytes; up to 16 bits they are put together in two words."""
     if width == 0:
         return np.empty((len(values), 0), np.uint8)
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    if width > 16 or values.shape[1] % 8:
+        bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
+        return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    eight = values.reshape(-1, 8).astype(np.uint64)
+    low, high = eight[:, 0].copy(), eight[:, 4].copy()
+    for k in (1, 2, 3):
+        low |= eight[:, k] << np.uint64(k * width)
+        high |= eight[:, 4 + k] << np.uint64(k * width)
+    words = np.zeros((len(eight), 2), "<u8")
+    if width == 16:
+        words[:, 0], words[:, 1] = low, high
+    else:
+        words[:, 0] = low | (high << np.uint64(4 * width))
+        words[:, 1] = high >> np.uint64(64 - 4 * width)
+    return np.ascontiguousarray(words.view(np.uint8)[:, :width]).reshape(len(values), -1)
 
 
 def unpack_block_bits(data: np.ndarray, width: int, count: int) -> np.ndarray:
     if width == 0:
         return np.zeros((len(data), count), np.uint32)
-    bits = np.unpackbits(data, axis=1, count=count * width, bitorder="little").reshape(len(data), count, width)
-    out = np.zeros((len(data), count), np.uint32)
-    for k in range(width):
-        out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-    return out
+    if width > 16 or count % 8:
+        bits = np.unpackbits(data, axis=1, count=count * width, bitorder="little").reshape(len(data), count, width)
+        out = np.zeros((len(data), count), np.uint32)
+        for k in range(width):
+            out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
+        return out
+    words = np.zeros((len(data) * count // 8, 16), np.uint8)
+    words[:, :width] = data.reshape(-1, width)
+    words = words.view("<u8")
+    low, high = words[:, 0], words[:, 1]
+    if width < 16:
+        high = (low >> np.uint64(4 * width)) | (high << np.uint64(64 - 4 * width))
+    keep = np.uint64((1 << width) - 1)
+    out = np.empty((len(words), 8), np.uint32)
+    for k in range(4):
+        out[:, k] = (low >> np.uint64(k * width)) & keep
+        out[:, 4 + k] = (high >> np.uint64(k * width)) & keep
+    return out.reshape(len(data), count)
 
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:

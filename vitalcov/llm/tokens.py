@@ -103,7 +103,7 @@ class Pieces(dict):
 class Encoder:
     """`spaced`: the vocabulary marks a leading space (byte-level); otherwise white space is dropped."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = 250_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
