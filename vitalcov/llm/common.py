@@ -48,6 +48,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def left_join(left: DataFrame, right: DataFrame, on: str | list[str], most_rows: int = 500_000) -> DataFrame:
+    """Left join with a narrow table: broadcast after a count of its rows, shuffled if there are more than `most_rows`."""
+    return left.join(F.broadcast(right) if right.limit(most_rows + 1).count() <= most_rows else right, on, "left")
+
+
 def crc_of_id(column: Column) -> Column:
     """crc32 of the id written as text, as the held-out folds define it."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalcov.llm import common, decontaminate, jaccard_join, langid, line_dedup, packing, quality_crf, rules, substring_dedup, token_files
+from vitalcov.llm import common, decontaminate, jaccard_join, langid, line_dedup, lm_score, packing, quality_crf, rules, substring_dedup, token_files
 
 #: Files of the public tokenizers that the two token queries use.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -68,6 +68,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents whose quality label is 1."""
+    good = common.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    docs = common.left_join(common.table(spark, sf_dir, "documents").select("doc_id", "text"), good, "doc_id")
+    return lm_score.score_documents(docs, "target")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
