@@ -95,7 +95,7 @@ def probe_keys(line: Column, distance: int) -> Column:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id and text, and two hashes of both (96 bits) that name the document."""
+    """Id and text, and two hashes of both (96 bits) that name the document. The first alone deals documents out; the second goes along inside lists."""
     key = [F.col(id_col), F.col(text_col)]
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(*key).alias("k"), F.hash(*reversed(key)).alias("k2"), F.col(text_col).alias("text"))
 
@@ -109,33 +109,33 @@ def _is_blank(line: Column) -> Column:
 
 
 def first_lines(texts: DataFrame) -> DataFrame:
-    """Per document (k, k2) the places at which a line stands that no earlier line equals. Lines are told apart by 96 bits of hash."""
+    """Per k the places (k2, at) of lines that no earlier line equals. Lines are told apart by 96 bits of hash."""
     lines = texts.select("id", "k", "k2", F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(~_is_blank(F.col("line")))
     first = lines.groupBy(F.xxhash64("line").alias("h"), F.hash("line").alias("h2")).agg(F.min(F.struct("id", "k", "k2", "at")).alias("o"))
-    return first.groupBy(F.col("o.k").alias("k"), F.col("o.k2").alias("k2")).agg(F.collect_list("o.at").alias("firsts"))
+    return first.groupBy(F.col("o.k").alias("k")).agg(F.collect_list(F.struct("o.k2", "o.at")).alias("firsts"))
 
 
 def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int) -> DataFrame:
-    """Per document (k, k2) the places, of those in `firsts`, whose text is within `distance` of an earlier one."""
+    """Per k the places (k2, at), of those in `firsts`, whose text is within `distance` of an earlier one."""
+    own = texts.join(firsts, "k", "left").withColumn("mine", F.filter("firsts", lambda f: f["k2"] == F.col("k2")))
     distinct = (
-        texts.join(firsts, ["k", "k2"], "left")
-        .select("id", "k", "k2", F.explode(let(_lines(F.col("text")), lambda x: F.transform("firsts", lambda at: F.struct(at.alias("at"), F.get(x, at).alias("line"))))).alias("l"))
-        .select("id", "k", "k2", "l.at", "l.line")
+        own.select("k", F.explode(let(_lines(F.col("text")), lambda x: F.transform("mine", lambda f: F.struct(f["at"].alias("at"), F.get(x, f["at"]).alias("line"))))).alias("l"))
+        .select("k", "l.at", "l.line")
         .where(F.length("line") >= least)
     )
 
-    def keyed(keys: Column) -> DataFrame:
-        return distinct.select(F.explode(keys).alias("key"), "id", "k", "k2", "at").where(F.col("key").isNotNull())
+    def keyed(keys: Column) -> DataFrame:  # in the order in which explode puts them, so that both uses of a shuffle are one
+        return distinct.select("k", "at", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
     def order(side: str) -> Column:
         return F.struct(*[F.col(f"{side}.{c}") for c in ("id", "k", "k2", "at")])
 
     probes, index = keyed(probe_keys(F.col("line"), distance)).alias("p"), keyed(index_keys(F.col("line"), distance)).alias("i")
-    paired = (F.col("p.key") == F.col("i.key")) & (order("p") != order("i"))
+    paired = (F.col("p.key") == F.col("i.key")) & ((F.col("p.k") != F.col("i.k")) | (F.col("p.at") != F.col("i.at")))
     live = probes.join(index, paired, "left_semi").select(F.lit(True).alias("probe"), "p.*").unionByName(index.join(probes, paired, "left_semi").select(F.lit(False).alias("probe"), "i.*"))
-    wanted = live.groupBy("k", "k2").agg(F.collect_list(F.struct("probe", "key", "at")).alias("wanted"))
+    wanted = live.groupBy("k").agg(F.collect_list(F.struct("probe", "key", "at")).alias("wanted"))
     fetched = (
-        texts.join(wanted, ["k", "k2"], "left")
+        texts.join(wanted, "k", "left")
         .where(F.col("wanted").isNotNull())
         .select("id", "k", "k2", F.explode(let(_lines(F.col("text")), lambda x: F.transform("wanted", lambda w: F.struct(w["probe"].alias("probe"), w["key"].alias("key"), w["at"].alias("at"), F.get(x, w["at"]).alias("line"))))).alias("l"))
         .select("id", "k", "k2", "l.*")
@@ -150,7 +150,7 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
     later = probes.join(index, near & (order("i") < order("p")) & close, "left_semi").select("p.k", "p.k2", "p.at")
     shorter = near & (F.length("i.line") < F.length("p.line"))
     later = later.unionByName(index.join(probes, shorter & (order("p") < order("i")) & close, "left_semi").select("i.k", "i.k2", "i.at"))
-    return later.groupBy("k", "k2").agg(F.collect_set("at").alias("near"))
+    return later.groupBy("k").agg(F.collect_set(F.struct("k2", "at")).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, least: int = LEAST) -> DataFrame:
@@ -163,8 +163,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rest = [c for c in docs.columns if c not in {id_col, text_col, "n_lines", "n_exact", "n_near"}]
     key = [F.col(id_col), F.col(text_col)]
     whole = texts if not rest else docs.select(F.col(id_col).alias("id"), F.xxhash64(*key).alias("k"), F.hash(*reversed(key)).alias("k2"), F.col(text_col).alias("text"), F.struct(*rest).alias("rest"))
-    none = F.array().cast("array<int>")
-    joined = whole.join(firsts, ["k", "k2"], "left").join(near, ["k", "k2"], "left").withColumns({"firsts": F.coalesce("firsts", none), "near": F.coalesce("near", none)})
+
+    def mine(c: str) -> Column:
+        return F.coalesce(F.transform(F.filter(c, lambda f: f["k2"] == F.col("k2")), lambda f: f["at"]), F.array().cast("array<int>"))
+
+    joined = whole.join(firsts, "k", "left").join(near, "k", "left").withColumns({"firsts": mine("firsts"), "near": mine("near")})
 
     def kept(lines: Column) -> Column:
         blanks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _is_blank(F.get(lines, i)))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vitalcov.llm import common
 
@@ -222,6 +223,19 @@ def train(docs: DataFrame, labels: DataFrame, *, fold: Column | None = None, id_
     return fit(windowed(everything[:, :-1], starts, ends), everything[:, -1], starts, y)
 
 
+def scored(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score of each text, the marginal of good of all lines, and how many lines each text has."""
+    found = [line_features(t or b"") for t in texts]
+    lengths = np.array([len(w) for _, w in found])
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    words = np.concatenate([w for _, w in found])
+    marginal, _, _ = chain(model.emission(windowed(np.vstack([own for own, _ in found]), starts, ends)), model.pair, starts, lengths)
+    if model.constant is not None:
+        return np.full(len(lengths), model.constant), marginal[:, 1], lengths
+    return 1 / (1 + np.exp(-np.clip(model.slope * _odds(document_means(marginal, words, starts)) + model.offset, -30, 30))), marginal[:, 1], lengths
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: `id_col`, score, and the marginals of good of its lines."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -229,18 +243,18 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
-            found = [line_features(t or b"") for t in common.byte_texts(batch, "text")]
-            lengths = np.array([len(w) for _, w in found])
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            words = np.concatenate([w for _, w in found])
-            x = windowed(np.vstack([own for own, _ in found]), starts, ends)
-            marginal, _, _ = chain(model.emission(x), model.pair, starts, lengths)
-            if model.constant is None:
-                scores = 1 / (1 + np.exp(-np.clip(model.slope * _odds(document_means(marginal, words, starts)) + model.offset, -30, 30)))
-            else:
-                scores = np.full(len(lengths), model.constant)
-            lines = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]), pa.int32()), pa.array(marginal[:, 1]))
+            scores, marginal, lengths = scored(common.byte_texts(batch, "text"), model)
+            lines = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(marginal))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores), lines], names=["id", "score", "line_scores"])
 
     return rows.mapInArrow(judge, f"id {kind}, score double, line_scores array<double>").withColumnRenamed("id", id_col)
+
+
+def with_scores(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """`docs` with all its columns and a score."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches, text_col):
+            yield batch.append_column(score_col, pa.array(scored(common.byte_texts(batch, text_col), model)[0]))
+
+    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
