@@ -95,6 +95,17 @@ CTES: dict[str, str] = {
     "birth_records": """SELECT year, substr(mun_code, 1, 2) AS geo_code,
       CASE sex_code WHEN '1' THEN 'Masculino' WHEN '2' THEN 'Feminino' END AS sex,
       TRY_CAST(mother_age AS DOUBLE) AS age FROM raw_births""",
+    "dirty_records": f"""SELECT CASE WHEN key % 14 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year,
+      CASE WHEN key % 11 NOT IN (0, 1, 3) THEN CAST(11 + n_regionkey AS VARCHAR) END AS geo_code, sex, age
+    FROM (SELECT *, l_orderkey + l_linenumber AS key, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linestatus = 'F'
+      THEN 'Feminino' ELSE 'Masculino' END AS sex, CASE WHEN l_linenumber < 6 OR l_returnflag <> 'R'
+      THEN CAST(CAST(floor((l_quantity - 1) * 1.8e0) AS INTEGER) AS DOUBLE) END AS age {_PLACED})""",
+    "dirty_counts": _counts("dirty_records"),
+    "nation_records": f"""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS geo_code,
+      CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linestatus = 'F' THEN 'Feminino' ELSE 'Masculino' END AS sex,
+      CASE WHEN l_linenumber < 6 OR l_returnflag <> 'R' THEN CAST(CAST(floor((l_quantity - 1) * 1.8e0) AS INTEGER) AS DOUBLE) END AS age
+    {_PLACED}""",
+    "nation_counts": _counts("nation_records"),
     "death_counts": _counts("death_records"),
     "birth_counts": _counts("birth_records"),
     "deaths": _spread("death_counts"),
@@ -223,12 +234,37 @@ _CELL = "year, geo_code, sex, age_band"
 _KEY = "geo_code, sex, age_band"
 _METHODS = ("ggb", "seg", "ggbseg", "mean_3", "mean_2")
 _LONG = " UNION ALL ".join(f"SELECT geo_code, sex, '{m}' AS method, {m} AS coverage FROM methods" for m in _METHODS)
-_SMOOTH = """SELECT a.year, a.geo_code, a.sex, a.age_band, round(a.n, 6) + 0.0 AS n, round(avg(b.n), 6) + 0.0 AS n_smooth,
+_DENSE = """(SELECT y.year, k.geo_code, k.sex, b.age_band, coalesce(c.n, 0) AS n
+      FROM (SELECT DISTINCT geo_code, sex FROM {0}) k CROSS JOIN (SELECT DISTINCT year FROM {0}) y
+      CROSS JOIN (SELECT CAST(5 * i AS INTEGER) AS age_band FROM range(0, 18) AS t(i)) b
+      LEFT JOIN {0} c ON c.year = y.year AND c.geo_code = k.geo_code AND c.sex = k.sex AND c.age_band = b.age_band)"""
+_SMOOTH = f"""WITH cells AS {_DENSE}
+SELECT a.year, a.geo_code, a.sex, a.age_band, round(a.n, 6) + 0.0 AS n, round(avg(b.n), 6) + 0.0 AS n_smooth,
   CAST(count(*) AS INTEGER) AS n_years
-FROM {0} a JOIN {0} b ON a.geo_code = b.geo_code AND a.sex = b.sex AND a.age_band = b.age_band
+FROM cells a JOIN cells b ON a.geo_code = b.geo_code AND a.sex = b.sex AND a.age_band = b.age_band
   AND b.year BETWEEN a.year - 1 AND a.year + 1
 GROUP BY a.year, a.geo_code, a.sex, a.age_band, a.n"""
 
+# the value that a model life table gives for the ratio of a place and sex
+_LEVEL_VALUE = """SELECT d.geo_code, d.sex, d.death_ratio,
+      CASE WHEN d.death_ratio <= lo.ratio THEN lo.e_open WHEN d.death_ratio > hi.ratio THEN hi.e_open
+           ELSE s.e0 + (s.e1 - s.e0) / (s.r1 - s.r0) * (d.death_ratio - s.r0) END AS e_open
+    FROM death_ratios d
+    JOIN (SELECT sex, min(ratio) AS ratio, arg_min(e_open, ratio) AS e_open FROM levels GROUP BY 1) lo ON d.sex = lo.sex
+    JOIN (SELECT sex, max(ratio) AS ratio, arg_max(e_open, ratio) AS e_open FROM levels GROUP BY 1) hi ON d.sex = hi.sex
+    LEFT JOIN (SELECT a.sex, a.ratio AS r0, a.e_open AS e0, b.ratio AS r1, b.e_open AS e1 FROM levels a
+               JOIN levels b ON a.sex = b.sex AND b.ratio = (SELECT min(c.ratio) FROM levels c
+                 WHERE c.sex = a.sex AND c.ratio > a.ratio)) s
+      ON s.sex = d.sex AND d.death_ratio > s.r0 AND d.death_ratio <= s.r1"""
+
+# some places, one with a quote in its name, in their fixed order
+_PLACES = """SELECT * FROM (VALUES ('11','Rondônia',1),('12','Acre',2),('13','Amazonas',3),('14','Roraima',4),('15','Pará',5),
+  ('16','Amapá',6),('17','Tocantins',7),('21','Maranhão',8),('22','Piauí',9),('23','Ceará',10),('24','Rio Grande do Norte',11),
+  ('25','Paraíba',12),('26','Pernambuco',13),('27','Alagoas',14),('28','Sergipe',15),('29','Bahia',16),('31','Minas Gerais',17),
+  ('32','Espírito Santo',18),('33','Rio de Janeiro',19),('35','São Paulo',20),('41','Paraná',21),('42','Santa Catarina',22),
+  ('43','Rio Grande do Sul',23),('50','Mato Grosso do Sul',24),('51','Mato Grosso',25),('52','Goiás',26),
+  ('53','Distrito Federal',27),('BR','Brasil',28),('00','Sant''Ana d''Oeste',29)) AS t(geo_code, geo_name, geo_ord)"""
+
 FINAL: dict[str, str] = {
     "scan_slim": "SELECT * FROM death_records",
     "scan_slim_births": "SELECT * FROM birth_records",
@@ -239,6 +275,8 @@ FINAL: dict[str, str] = {
     FROM birth_records b LEFT JOIN geo_dim g ON b.geo_code = g.geo_code GROUP BY 1, 2, 3""",
     "tabulate_deaths": "SELECT * FROM death_counts",
     "tabulate_births": "SELECT * FROM birth_counts",
+    "tabulate_dirty": "SELECT * FROM dirty_counts",
+    "tabulate_by_nation": "SELECT * FROM nation_counts",
     "missing_flags": f"""SELECT {_CELL}, n, CASE WHEN age_band IS NULL THEN 1 ELSE 0 END AS age_missing,
       CASE WHEN sex IS NULL THEN 1 ELSE 0 END AS sex_missing,
       CASE WHEN age_band IS NULL AND sex IS NULL THEN 1 ELSE 0 END AS both_missing FROM death_counts""",
@@ -253,8 +291,16 @@ FINAL: dict[str, str] = {
       ON c.year = d.year AND c.geo_code = d.geo_code""",
     "population_total": "SELECT * FROM population",
     "reband_80": f"SELECT {_CELL}, {_r(6, 'n')} FROM deaths_80",
-    "mean_deaths": f"""SELECT {_KEY}, round(avg(n), 6) + 0.0 AS n FROM deaths_80 WHERE year IN (1996, 2000)
+    "mean_deaths": f"""SELECT {_KEY}, round(sum(n) / 2, 6) + 0.0 AS n FROM deaths_80 WHERE year IN (1996, 2000)
       GROUP BY 1, 2, 3""",
+    "mean_deaths_sparse": f"""WITH kept AS (SELECT year, geo_code, sex, least(age_band, 80) AS age_band, sum(n) AS n FROM deaths
+        WHERE NOT (age_band % 25 = 10 AND year = CASE WHEN sex = 'Feminino' THEN 1996 ELSE 2000 END) GROUP BY 1, 2, 3, 4),
+      once AS (SELECT {_KEY}, sum(n) / 2 AS n FROM kept WHERE year IN (1996, 2000) GROUP BY 1, 2, 3)
+    SELECT i.geo_code, i.sex, i.age_band, round(o.n, 6) + 0.0 AS mean_deaths,
+      round((SELECT coalesce(sum(k.n), 0) FROM kept k JOIN population p ON p.year = k.year AND p.geo_code = k.geo_code
+        AND p.sex = k.sex AND p.age_band = k.age_band WHERE k.year IN (1996, 2000) AND k.geo_code = i.geo_code
+        AND k.sex = i.sex AND k.age_band = i.age_band) / 2, 6) + 0.0 AS deaths
+    FROM ddm_input i LEFT JOIN once o ON o.geo_code = i.geo_code AND o.sex = i.sex AND o.age_band = i.age_band""",
     "births_total": f"SELECT year, geo_code, sex, {_r(6, 'births')} FROM births_by_year",
     "deaths_population": f"SELECT {_CELL}, pop, {_r(6, 'deaths')} FROM deaths_population",
     "unmatched_keys": f"""WITH d AS (SELECT DISTINCT year, geo_code, sex,
@@ -287,16 +333,7 @@ FINAL: dict[str, str] = {
       LEFT JOIN fit_rms f ON f.geo_code = k.geo_code AND f.sex = k.sex""",
     "seg": f"SELECT geo_code, sex, {_r(6, 'seg')} FROM seg",
     "ggb_seg": f"SELECT geo_code, sex, {_r(9, 'ggbseg')} FROM ggbseg",
-    "e_open_levels": """SELECT d.geo_code, d.sex, round(d.death_ratio, 6) + 0.0 AS death_ratio, round(
-      CASE WHEN d.death_ratio <= lo.ratio THEN lo.e_open WHEN d.death_ratio > hi.ratio THEN hi.e_open
-           ELSE s.e0 + (s.e1 - s.e0) / (s.r1 - s.r0) * (d.death_ratio - s.r0) END, 6) + 0.0 AS e_open
-    FROM death_ratios d
-    JOIN (SELECT sex, min(ratio) AS ratio, arg_min(e_open, ratio) AS e_open FROM levels GROUP BY 1) lo ON d.sex = lo.sex
-    JOIN (SELECT sex, max(ratio) AS ratio, arg_max(e_open, ratio) AS e_open FROM levels GROUP BY 1) hi ON d.sex = hi.sex
-    LEFT JOIN (SELECT a.sex, a.ratio AS r0, a.e_open AS e0, b.ratio AS r1, b.e_open AS e1 FROM levels a
-               JOIN levels b ON a.sex = b.sex AND b.ratio = (SELECT min(c.ratio) FROM levels c
-                 WHERE c.sex = a.sex AND c.ratio > a.ratio)) s
-      ON s.sex = d.sex AND d.death_ratio > s.r0 AND d.death_ratio <= s.r1""",
+    "e_open_levels": f"SELECT geo_code, sex, {_r(6, 'death_ratio', 'e_open')} FROM ({_LEVEL_VALUE})",
     "death_coverage": f"SELECT geo_code, sex, {_r(6, *_METHODS)} FROM methods",
     "choose_coverage": f"SELECT geo_code, sex, {_r(6, 'coverage')} FROM chosen",
     "methods_long": f"SELECT geo_code, sex, method, {_r(6, 'coverage')} FROM ({_LONG})",
@@ -305,6 +342,8 @@ FINAL: dict[str, str] = {
     "value_range": f"""SELECT round(min(coverage), 6) + 0.0 AS min_value, round(max(coverage), 6) + 0.0 AS max_value
       FROM ({_LONG})""",
     "adjust_deaths": f"SELECT {_KEY}, {_r(4, 'deaths_adj')} FROM adjusted",
+    "adjust_deaths_joined": f"""SELECT {_KEY}, round(d.deaths / (SELECT max(c.deaths) / sum(c.deaths) FROM ddm_input c
+      WHERE c.geo_code = d.geo_code AND c.sex = d.sex), 4) + 0.0 AS deaths_adj FROM ddm_input d""",
     "implied_birth_profile": f"""SELECT {_KEY}, {_r(4, 'deaths_cum', 'pop_cum')},
       {_r(6, 'cdr_adj', 'rx', 'birth_rate_implied')} FROM profile""",
     "implied_birth_rate": f"""SELECT geo_code, sex, {_r(4, 'deaths_cum', 'pop_cum')},
@@ -317,19 +356,20 @@ FINAL: dict[str, str] = {
       ratio IS NULL AS is_missing FROM paired""",
     "region_result": f"""SELECT p.geo_code, g.geo_name, r.r_name AS region, p.sex,
       CASE WHEN ratio < 1 THEN '2000 < 1996' WHEN ratio > 1 THEN '2000 > 1996' ELSE '2000 = 1996' END AS ratio_class,
-      {_r(6, 'coverage_y1', 'coverage_y2', 'ratio')}
+      {_r(6, 'coverage_y1', 'coverage_y2', 'ratio')}, hex('region ' || r.r_regionkey) AS geometry
     FROM paired p LEFT JOIN geo_dim g ON p.geo_code = g.geo_code
     LEFT JOIN region r ON p.geo_code = CAST(11 + r.r_regionkey AS VARCHAR)
     WHERE p.geo_code <> 'BR'""",
+    "display_order": f"""SELECT g.geo_ord, g.geo_name, e.sex, e.year, {_r(6, 'coverage_b')}
+    FROM estimates e LEFT JOIN geo_dim g ON e.geo_code = g.geo_code ORDER BY g.geo_ord, e.sex, e.year""",
+    "state_names": f"""SELECT p.geo_code, CAST(c.n AS BIGINT) AS n, p.geo_name, p.geo_ord FROM ({_PLACES}) p
+    LEFT JOIN (SELECT geo_code, sum(n) AS n FROM birth_counts GROUP BY 1) c ON c.geo_code = p.geo_code""",
 }
 
 
 def _smoothed(plain: str) -> str:
-    """Three-year means, with 0 for the bands a year, place and sex has no events in."""
-    return f"""WITH cells AS (SELECT k.year, k.geo_code, k.sex, b.age_band, coalesce(c.n, 0) AS n
-      FROM (SELECT DISTINCT year, geo_code, sex FROM {plain}) k
-      CROSS JOIN (SELECT CAST(5 * i AS INTEGER) AS age_band FROM range(0, 18) AS t(i)) b
-      LEFT JOIN {plain} c ON c.year = k.year AND c.geo_code = k.geo_code AND c.sex = k.sex AND c.age_band = b.age_band)
+    """Three-year means, with 0 for the years and bands a place and sex has no events in."""
+    return f"""WITH cells AS {_DENSE.format(plain)}
     SELECT x.year, x.geo_code, x.sex, x.age_band, avg(y.n) AS n FROM cells x JOIN cells y
       ON x.geo_code = y.geo_code AND x.sex = y.sex AND x.age_band = y.age_band AND abs(x.year - y.year) <= 1
     GROUP BY 1, 2, 3, 4"""
@@ -363,5 +403,33 @@ def sql_for(final: str, blocks: dict[str, str]) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT * FROM (\n    " + final + ")"
 
 
+# and with the median over the fitted ages for both methods
+MEDIAN_CTES = CTES | {
+    "seg": """SELECT k.geo_code, k.sex,
+      median(g.v / r.arrivals) FILTER (WHERE r.age_band BETWEEN f.lo AND f.hi) AS seg
+      FROM (SELECT DISTINCT geo_code, sex FROM ddm_input) k
+      LEFT JOIN rates_a r ON r.geo_code = k.geo_code AND r.sex = k.sex
+      LEFT JOIN rates_a_gen g ON r.geo_code = g.geo_code AND r.sex = g.sex AND r.age_band = g.age_band
+      LEFT JOIN fit_r2 f ON f.geo_code = k.geo_code AND f.sex = k.sex
+      GROUP BY 1, 2""",
+    "ggbseg": CTES["ggbseg"].replace("avg(g.v", "median(g.v"),
+}
+
+# and with the life expectancy of each place and sex read off the levels
+LEVEL_CTES: dict[str, str] = {}
+for _name, _body in CTES.items():
+    if _name == "rates_a":
+        LEVEL_CTES |= {
+            "rates_0": _body,
+            "levels": CTES["levels"],
+            "death_ratios": CTES["death_ratios"].replace("rates_a", "rates_0"),
+            "e_place": _LEVEL_VALUE,
+        }
+    if _name not in LEVEL_CTES:
+        by_sex, by_place = "JOIN e_open e ON a.sex = e.sex", "JOIN e_place e ON a.sex = e.sex AND a.geo_code = e.geo_code"
+        LEVEL_CTES[_name] = _body.replace(by_sex, by_place)
+
 ORACLES: dict[str, str] = {name: sql_for(final, CTES) for name, final in FINAL.items()}
 ORACLES["birth_coverage_smoothed"] = sql_for(FINAL["birth_coverage"], SMOOTH_CTES)
+ORACLES["birth_coverage_median"] = sql_for(FINAL["birth_coverage"], MEDIAN_CTES)
+ORACLES["birth_coverage_levels"] = sql_for(FINAL["birth_coverage"], LEVEL_CTES)

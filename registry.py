@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalcov.functions.windows import cum_from_age, moving_average
+from vitalcov.functions.windows import cum_from_age
 from vitalcov.operators import checks, coverage as C, ddm as D, redistribute as R, tabulate as T
 from vitalcov.operators.cumulate import cohort_mid_population, growth_rates
 from vitalcov.plans import estimate as E
+from vitalcov.plans import pipeline as P
 from vitalcov.sources import dims, order_tables as O
 
 YEARS = (1996, 2000)
@@ -58,6 +59,10 @@ def e_open(spark):
     return dims.e_open_table(spark, E_OPEN)
 
 
+def smooth_years():
+    return E.neighbour_years(YEARS)
+
+
 def method_input(spark, d):
     return D.ddm_input(deaths(spark, d, YEARS), population(spark, d, YEARS), *YEARS)
 
@@ -89,9 +94,9 @@ def age_band(spark, d):
 
 def decode_labels(spark, d):
     codebook = spark.sql("SELECT * FROM VALUES ('1', 'Masculino'), ('2', 'Feminino') AS t(sex_code, sex)")
-    records = T.slim_births(O.raw_births(spark, d), codebook)
-    shown = C.label_sex(records, {"Masculino": "m", "Feminino": "f"}, "unknown")
-    cells = T.count_by(shown, ["geo_code", "sex"])
+    counted = T.count_by(T.slim_births(O.raw_births(spark, d), codebook), ["geo_code", "sex"])
+    shown = C.label_sex(counted, {"Masculino": "m", "Feminino": "f"}, "unknown")
+    cells = shown.groupBy("geo_code", "sex").agg(F.sum("n").alias("n"))
     return C.with_names(cells, O.geo_dim(spark, d)).select("geo_name", "geo_ord", "sex", "n")
 
 
@@ -103,6 +108,36 @@ def tabulate_births(spark, d):
     return birth_counts(spark, d)
 
 
+def tabulate_dirty(spark, d):
+    """Codes of other lengths, with blanks, and records without a date of which some have their file's year."""
+    key = F.col("l_orderkey") + F.col("l_linenumber")
+    raw = O.raw_deaths(spark, d, extra={"_key": key})
+    code = F.col("mun_code")
+    broken = (
+        F.when(key_is(11, 0), F.substring(code, 1, 5)).when(key_is(11, 1), F.concat(code, F.lit("0")))
+        .when(key_is(11, 2), F.concat(F.lit(" "), code, F.lit(" "))).when(key_is(11, 3), F.concat(F.lit("x"), F.substring(code, 2, 6))).otherwise(code)
+    )
+    undated = key_is(7, 0)
+    filed = raw.withColumns(
+        {
+            "mun_code": broken,
+            "year": F.when(~key_is(14, 0), F.year("death_date")),
+            "death_date": F.when(~undated, F.col("death_date")),
+        }
+    )
+    return T.tabulate_events(T.slim_deaths(filed, dims.SEX_LABELS))
+
+
+def key_is(modulus, rest):
+    return F.col("_key") % modulus == rest
+
+
+def tabulate_by_nation(spark, d):
+    """Another level of place: the nation in place of the state of the municipality."""
+    raw = O.raw_deaths(spark, d, extra={"nation": F.lpad(F.col("n_nationkey").cast("string"), 2, "0")})
+    return T.tabulate_events(T.slim_deaths(raw, dims.SEX_LABELS, place=F.col("nation")))
+
+
 def missing_flags(spark, d):
     return R.flag_missing(death_counts(spark, d))
 
@@ -133,7 +168,19 @@ def reband_80(spark, d):
 
 
 def mean_deaths(spark, d):
-    return _rounded(T.mean_over_years(T.rebands(deaths(spark, d, YEARS))), 6, "n")
+    return _rounded(T.mean_over_years(T.rebands(deaths(spark, d, YEARS)), YEARS), 6, "n")
+
+
+def _sparse_deaths(spark, d):
+    """Without some cells of one year or the other, so that they have deaths in one year only."""
+    gone = (F.col("age_band") % 25 == 10) & (F.col("year") == F.when(F.col("sex") == "Feminino", YEARS[0]).otherwise(YEARS[1]))
+    return deaths(spark, d, YEARS).where(~gone)
+
+
+def mean_deaths_sparse(spark, d):
+    cells = T.mean_over_years(T.rebands(_sparse_deaths(spark, d)), YEARS).withColumnRenamed("n", "mean_deaths")
+    rows = D.ddm_input(_sparse_deaths(spark, d), population(spark, d, YEARS), *YEARS).select("geo_code", "sex", "age_band", "deaths")
+    return _rounded(rows.join(cells, ["geo_code", "sex", "age_band"], "left"), 6, "deaths", "mean_deaths")
 
 
 def births_total(spark, d):
@@ -182,11 +229,11 @@ def mid_population(spark, d):
 
 
 def moving_average_deaths(spark, d):
-    return _rounded(moving_average(deaths(spark, d)), 6, "n", "n_smooth")
+    return _rounded(E.smoothed_cells(deaths(spark, d), O.ALL_YEARS), 6, "n", "n_smooth")
 
 
 def moving_average_births(spark, d):
-    return _rounded(moving_average(births(spark, d)), 6, "n", "n_smooth")
+    return _rounded(E.smoothed_cells(births(spark, d), O.ALL_YEARS), 6, "n", "n_smooth")
 
 
 # methods ---------------------------------------------------------------------------------------
@@ -257,9 +304,15 @@ def value_range(spark, d):
 
 
 def adjust_deaths(spark, d):
-    rows = age_rows(spark, d)
-    ages = rows.drop("coverage", "deaths_adj")
-    joined = C.adjust_deaths(ages, D.death_coverage(rows))
+    rows = age_rows(spark, d).select("geo_code", "sex", "age_band", "deaths_adj")
+    return _rounded(rows, 4, "deaths_adj")
+
+
+def adjust_deaths_joined(spark, d):
+    """Corrected by a coverage that comes from elsewhere: here the share of the largest band."""
+    rows = method_input(spark, d)
+    coverage = rows.groupBy("geo_code", "sex").agg((F.max("deaths") / F.sum("deaths")).alias("coverage"))
+    joined = C.adjust_deaths(rows, coverage)
     return _rounded(joined.select("geo_code", "sex", "age_band", "deaths_adj"), 4, "deaths_adj")
 
 
@@ -282,12 +335,26 @@ def birth_coverage(spark, d):
 
 def birth_coverage_smoothed(spark, d):
     cols = ["cbr", "birth_rate_implied", "coverage_b", "completeness"]
-    smooth = [E.smooth_counts(counts(spark, d)) for counts in (deaths, births)]
+    smooth = [E.smooth_counts(counts(spark, d, smooth_years()), smooth_years(), YEARS) for counts in (deaths, births)]
     return _rounded(
         E.estimate_birth_coverage(*smooth, population(spark, d, YEARS), e_open(spark), YEARS), 6, *cols
     )
 
 
+def _with_settings(spark, d, table, settings):
+    cols = ["cbr", "birth_rate_implied", "coverage_b", "completeness"]
+    counts = [deaths(spark, d, YEARS), births(spark, d, YEARS), population(spark, d, YEARS)]
+    return _rounded(E.estimate_birth_coverage(*counts, table, YEARS, settings), 6, *cols)
+
+
+def birth_coverage_median(spark, d):
+    return _with_settings(spark, d, e_open(spark), D.Settings(seg_ages=None, summary="median"))
+
+
+def birth_coverage_levels(spark, d):
+    return _with_settings(spark, d, dims.e_open_levels_table(spark, E_OPEN_LEVELS), D.Settings())
+
+
 def compare_years(spark, d):
     return _rounded(C.compare_years(estimates(spark, d), *YEARS), 6, "coverage_y1", "coverage_y2")
 
@@ -299,8 +366,21 @@ def coverage_ratio(spark, d):
 
 def region_result(spark, d):
     ratios = C.coverage_ratio(estimates(spark, d), *YEARS)
-    out = C.attach_regions(ratios, O.geo_dim(spark, d), O.regions(spark, d)).drop("geometry")
-    return _rounded(out, 6, "coverage_y1", "coverage_y2", "ratio")
+    out = C.attach_regions(ratios, O.geo_dim(spark, d), O.regions(spark, d))
+    return _rounded(out, 6, "coverage_y1", "coverage_y2", "ratio").withColumn("geometry", F.hex("geometry"))
+
+
+def display_order(spark, d):
+    """The sorted table, with the place of each row in it."""
+    shown = P.display_order(estimates(spark, d), O.geo_dim(spark, d)).select("geo_ord", "geo_name", "sex", "year", "coverage_b")
+    return _rounded(shown, 6, "coverage_b")
+
+
+def state_names(spark, d):
+    """The fixed table of places, one more with a quote in its name, beside the births counted for them."""
+    places = dims.geo_dim(spark, (*dims.STATES, ("00", "Sant'Ana d'Oeste")))
+    counted = birth_counts(spark, d).groupBy("geo_code").agg(F.sum("n").alias("n"))
+    return C.with_names(places.select("geo_code").join(counted, "geo_code", "left"), places)
 
 
 QUERIES: dict[str, Query] = {
@@ -310,6 +390,8 @@ QUERIES: dict[str, Query] = {
     "decode_labels": decode_labels,
     "tabulate_deaths": tabulate_deaths,
     "tabulate_births": tabulate_births,
+    "tabulate_dirty": tabulate_dirty,
+    "tabulate_by_nation": tabulate_by_nation,
     "missing_flags": missing_flags,
     "split_measure": split_measure,
     "redistribute_deaths": redistribute_deaths,
@@ -318,6 +400,7 @@ QUERIES: dict[str, Query] = {
     "population_total": population_total,
     "reband_80": reband_80,
     "mean_deaths": mean_deaths,
+    "mean_deaths_sparse": mean_deaths_sparse,
     "births_total": births_total,
     "deaths_population": deaths_population,
     "unmatched_keys": unmatched_keys,
@@ -341,11 +424,16 @@ QUERIES: dict[str, Query] = {
     "methods_long_short_list": methods_long_short_list,
     "value_range": value_range,
     "adjust_deaths": adjust_deaths,
+    "adjust_deaths_joined": adjust_deaths_joined,
     "implied_birth_profile": implied_birth_profile,
     "implied_birth_rate": implied_birth_rate,
     "birth_coverage": birth_coverage,
     "birth_coverage_smoothed": birth_coverage_smoothed,
+    "birth_coverage_median": birth_coverage_median,
+    "birth_coverage_levels": birth_coverage_levels,
     "compare_years": compare_years,
     "coverage_ratio": coverage_ratio,
     "region_result": region_result,
+    "display_order": display_order,
+    "state_names": state_names,
 }

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from synthetic import DDL, stable_rows
@@ -8,6 +10,7 @@ from vitalcov.operators import ddm as D
 from vitalcov.operators.checks import value_range
 from vitalcov.plans.estimate import age_rows, estimate_birth_coverage, smooth_counts
 from vitalcov.sources import dims
+from vitalcov.sources import tables as IO
 
 CELL = "year int, geo_code string, sex string, age_band int"
 
@@ -166,14 +169,35 @@ def test_levels_in_place_of_e_open_values(spark, tables, rows):
 
 def test_smoothing_counts_empty_bands_as_zero(spark):
     cells = [(2000, "11", "f", 0, 3.0), (2001, "11", "f", 0, 6.0), (2001, "11", "f", 5, 4.0), (2002, "11", "f", 0, 9.0)]
-    out = smooth_counts(spark.createDataFrame(cells, f"{CELL}, n double"), [0, 5])
-    got = {(r["year"], r["age_band"]): r["n"] for r in out.collect()}
+    years = [2000, 2001, 2002]
+    out = smooth_counts(spark.createDataFrame(cells, f"{CELL}, n double"), years, bands=[0, 5])
+    got = {(r["year"], r["age_band"]): (r["n"], r["n_years"]) for r in out.collect()}
     assert got == {
-        (2000, 0): 4.5, (2001, 0): 6.0, (2002, 0): 7.5,
-        (2000, 5): 2.0, (2001, 5): pytest.approx(4 / 3), (2002, 5): 2.0,
+        (2000, 0): (4.5, 2), (2001, 0): (6.0, 3), (2002, 0): (7.5, 2),
+        (2000, 5): (2.0, 2), (2001, 5): (pytest.approx(4 / 3), 3), (2002, 5): (2.0, 2),
     }
 
 
+def test_smoothing_counts_a_year_without_any_event_as_zero(spark):
+    cells = [(2000, "11", "f", 0, 3.0), (2002, "11", "f", 0, 9.0), (2001, "12", "f", 0, 6.0)]
+    out = smooth_counts(spark.createDataFrame(cells, f"{CELL}, n double"), [2000, 2001, 2002], [2001], bands=[0])
+    assert {(r["geo_code"], r["year"]): (r["n"], r["n_years"]) for r in out.collect()} == {
+        ("11", 2001): (4.0, 3),
+        ("12", 2001): (2.0, 3),
+    }
+
+
+def test_smoothing_reads_the_neighbour_years_only(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    cells = [(y, "11", "f", 0, float(y)) for y in range(1995, 2015)]
+    IO.write_table(spark.createDataFrame(cells, f"{CELL}, n double"), path, "spread_counts")
+    saved = IO.read_table(spark, path, "spread_counts")
+    out = smooth_counts(saved, list(range(1995, 2015)), [2000, 2010], bands=[0])
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert {m for m in re.findall(r"year#\d+ IN \(([\d,]+)\)", text.split("PartitionFilters")[1])} == {"1999,2000,2001,2009,2010,2011"}
+    assert {r["year"]: r["n"] for r in out.collect()} == {2000: 2000.0, 2010: 2010.0}
+
+
 def test_births_total_of_given_years(tables):
     births = tables[1]
     assert {r["births"] for r in C.births_total(births, [2000]).collect()} == {800.0}

@@ -230,6 +230,37 @@ def test_method_input(spark):
     assert {tuple(r[:4]) for r in joined.collect()} == {tuple(r[:4]) for r in pop.collect()}
 
 
+def test_bands_off_the_grid_are_folded_onto_it(spark):
+    pop = spark.createDataFrame([(y, "11", "f", b, 1000) for y in (2000, 2010) for b in BANDS] + [(2000, "11", "f", 3, 5)], f"{CELL}, pop long")
+    deaths = spark.createDataFrame([(2000, "11", "f", 4, 7.0), (2010, "11", "f", 0, None)], f"{CELL}, n double")
+    rows = D.ddm_input(deaths, pop, 2000, 2010)
+    got = {r["age_band"]: r for r in cohort_mid_population(rows).collect()}
+    assert sorted(got) == list(BANDS)
+    assert got[0]["pop1"] == 1005.0 and got[0]["deaths"] is None and got[5]["deaths"] == 0.0
+    assert got[0]["pop_mid"] == pytest.approx(math.sqrt(1005 * 1000)) and got[5]["pop_mid"] == pytest.approx(1000)
+
+
+def test_tables_by_sex_need_no_exchange(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ages = spark.createDataFrame(stable_rows("11", "f", 0.8, 1.0), DDL).drop("e_open").repartition("geo_code", "sex")
+        points = D.method_points(ages)
+        for table in ([("f", 8.0)], "sex string, e_open double"), ([("f", 0.5, 8.0), ("f", 1.0, 7.0)], "sex string, ratio double, e_open double"):
+            text = D.with_e_open(points, spark.createDataFrame(*table))._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(sex" not in text and "Join" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError, match="twice"):
+        D.attach_e_open(ages, spark.createDataFrame([("f", 8.0), ("f", 7.0)], "sex string, e_open double"))
+
+
+def test_settings_reach_the_estimate(spark, noisy_rows):
+    rows = D.method_points(spark.createDataFrame(noisy_rows, DDL))
+    own = D.with_death_coverage(rows, seg_ages=None, summary="median")
+    fitted = D.seg(D.ggb(rows), None, "median")
+    assert by_geo(own.where("age_band = 0"), "seg") == by_geo(fitted.where("age_band = 0"), "seg")
+
+
 def test_e_open_from_levels(spark):
     levels = dims.e_open_levels_table(spark, {"f": [(0.5, 9.0), (1.0, 8.0), (2.0, 5.0)]})
     base = [

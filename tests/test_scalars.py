@@ -23,7 +23,7 @@ def test_lower_open_band(spark):
 
 def test_code_prefix_and_state(spark):
     codes = [("3550308",), ("355030",), ("1234",), ("",), (None,)]
-    assert values(spark, codes, "c string", S.state_code(F.col("c"))) == ["35", "35", "", "", None]
+    assert values(spark, codes, "c string", S.state_code(F.col("c"))) == ["35", "35", None, None, None]
     assert values(spark, codes, "c string", S.code_prefix(F.col("c"), -6)) == ["35", "3", "", "", None]
     assert values(spark, codes[:2], "c string", S.code_prefix(F.col("c"), -1)) == ["3550308", "355030"]
 

@@ -103,7 +103,9 @@ def test_rebands_keeps_unknown_age(spark):
 def test_mean_over_years(spark):
     rows = [(y, "11", "Feminino", 0, n) for y, n in ((2000, 10.0), (2010, 13.0))]
     df = spark.createDataFrame(rows, "year int, geo_code string, sex string, age_band int, n double")
-    assert T.mean_over_years(df).first()["n"] == 11.5
+    assert T.mean_over_years(df, [2000, 2010]).first()["n"] == 11.5
+    # a year without a record counts 0, whether it is absent or was left out; other years do not count
+    assert T.mean_over_years(df, [2000, 2005]).first()["n"] == 5.0
 
 
 def test_densify_fills_and_keeps(spark):
@@ -111,10 +113,47 @@ def test_densify_fills_and_keeps(spark):
     df = spark.createDataFrame(rows, "year int, geo_code string, sex string, age_band int, n double")
     got = cells(T.densify(df, {"n": F.col("n")}, [0, 5, 10]))
     expected = {(2000, g, "f", b): 0.0 for g in ("11", "12", "13") for b in (0, 5, 10)}
+    expected |= {(2000, "13", "f", None): 2.0}
     expected |= {(2000, "11", "f", 0): 3.0, (2000, "11", "f", 10): 4.0, (2000, "12", "f", 99): 1.0}
     assert got == expected
 
 
+def test_densify_keeps_a_missing_value_missing(spark):
+    rows = [(2000, "11", "f", 0, None), (2000, "11", "f", 0, 4.0), (2000, "11", "f", 5, 4.0)]
+    df = spark.createDataFrame(rows, "year int, geo_code string, sex string, age_band int, n double")
+    got = cells(T.densify(df, {"n": F.col("n")}, [0, 5, 10]))
+    assert got == {(2000, "11", "f", 0): None, (2000, "11", "f", 5): 4.0, (2000, "11", "f", 10): 0.0}
+
+
+def test_totals_of_the_source_do_not_count_twice(spark):
+    df = spark.createDataFrame([(2000, "11", "f", 0, 5), (2000, "BR", "f", 0, 5)], "year int, geo_code string, sex string, age_band int, n long")
+    assert cells(T.with_total(df, "n")) == {(2000, "11", "f", 0): 5, (2000, "BR", "f", 0): 5}
+    rows = [(2000, g, s, "From 5 to 9 years", n) for g in ("11", "BR") for s, n in (("Male", 4), ("Female", 6), ("Total", 10))]
+    raw = spark.createDataFrame(rows, "year int, geo_code string, sex_label string, age_label string, pop long")
+    got = cells(T.population_counts(raw), "pop")
+    assert got == {(2000, g, s, 5): n for g in ("11", "BR") for s, n in (("Masculino", 4), ("Feminino", 6))}
+
+
+def test_codebook_with_a_repeated_code_is_refused(spark):
+    raw = spark.createDataFrame([("3550308", "1", "20", 2000)], "mun_code string, sex_code string, mother_age string, year int")
+    twice = spark.createDataFrame([("1", "a"), ("1", "b")], "sex_code string, sex string")
+    with pytest.raises(ValueError, match="twice"):
+        T.slim_births(raw, twice)
+    with pytest.raises(ValueError, match="more than"):
+        T.code_lookup(spark.range(1001).selectExpr("CAST(id AS STRING) AS sex_code", "'x' AS sex"), "sex_code", "sex")
+
+
+def test_undated_deaths_and_odd_codes_stay_in_the_total(spark):
+    rows = [("1100015", 2000, "2000-03-01"), ("110001", 2000, None), ("35503", None, "2000-05-05"), (" 355030 ", None, None)]
+    raw = spark.createDataFrame(rows, "mun_code string, year int, d string").selectExpr(
+        "mun_code", "'1' AS sex_code", "'5' AS age_years", "CAST(d AS DATE) AS death_date", "year"
+    )
+    got = cells(T.tabulate_events(T.slim_deaths(raw, {"1": "m"})))
+    assert got == {
+        (2000, "11", "m", 5): 2, (2000, None, "m", 5): 1, (None, "35", "m", 5): 1, (2000, "BR", "m", 5): 3, (None, "BR", "m", 5): 1,
+    }
+
+
 def test_unmatched_keys(spark):
     ddl = "year int, geo_code string"
     left = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None)], ddl)

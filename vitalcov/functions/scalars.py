@@ -49,8 +49,13 @@ def code_prefix(code: Column, end: int) -> Column:
 
 
 def state_code(mun_code: Column) -> Column:
-    """State part of a municipality code with (7 digits) or without (6 digits) a check digit."""
-    return F.when(F.length(mun_code) == 7, code_prefix(mun_code, -6)).otherwise(code_prefix(mun_code, -5))
+    """State part of a municipality code with (7 digits) or without (6 digits) a check digit.
+
+    White space around the code is ignored. Anything else is no such code and gives NULL: such a record belongs to an
+    unknown place, and is still part of the national total.
+    """
+    code = F.trim(mun_code)
+    return F.when(code.rlike(r"^\d{6,7}$"), F.substring(code, 1, 2))
 
 
 def age_band(age: Column, width: int = 5, limit: int = 125) -> Column:
@@ -63,6 +68,19 @@ def top_code(band: Column, open_age: int) -> Column:
     return F.when(band >= open_age, F.lit(open_age)).otherwise(band).cast("int")
 
 
+def onto_grid(band: Column, bands: Iterable[int]) -> Column:
+    """The largest of ``bands`` that is not above ``band``; NULL below all of them."""
+    out = F.lit(None).cast("int")
+    for low in sorted(set(bands)):
+        out = F.when(band >= low, F.lit(low)).otherwise(out)
+    return out
+
+
+def yearly_mean(total: Column, n_years: int) -> Column:
+    """Mean per year of what ``n_years`` years sum up to. A year without a record is a year with 0, not a year less."""
+    return total / F.lit(float(n_years))
+
+
 def band_from_label(label: Column) -> Column:
     """First number in an age-band label, which is the lower bound of the band."""
     return number(F.regexp_extract(label, r"(\d+)", 1), "int")

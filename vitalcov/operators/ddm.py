@@ -15,7 +15,7 @@ References: Hill (1987); Bennett and Horiuchi (1981); Hill, You and Choi (2009).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +27,8 @@ from vitalcov.operators.tabulate import densify
 
 BANDS = tuple(range(0, 85, 5))
 METHODS = ("ggb", "seg", "ggbseg", "mean_3", "mean_2")
+#: Largest table by sex that becomes literals.
+MOST_LEVELS = 1000
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,23 @@ class FitSearch:
             raise ValueError(f"unknown criterion {self.criterion!r}")
 
 
+@dataclass(frozen=True)
+class Settings:
+    """The choices of the whole estimation.
+
+    ``seg_ages`` and ``ggbseg_ages`` are the ages the two methods are summarised over, ``None`` for those that the growth-balance
+    fit chose; ``summary`` is ``"mean"`` or ``"median"``; ``bands`` the grid of ages; ``shift`` and ``switch_age`` how cohorts are paired.
+    """
+
+    search: FitSearch = FitSearch()
+    seg_ages: tuple[int, int] | None = (15, 75)
+    ggbseg_ages: tuple[int, int] | None = None
+    summary: str = "mean"
+    bands: tuple[int, ...] = BANDS
+    shift: int = 2
+    switch_age: int = 75
+
+
 def deaths_population(
     deaths: DataFrame,
     pop: DataFrame,
@@ -71,7 +90,8 @@ def ddm_input(
 ) -> DataFrame:
     """One row per place, sex and band: both counts and the mean yearly deaths of the two years.
 
-    Ages from the last band on are folded into it. Bands missing from the data come out as 0.
+    Every band is folded onto the grid, into the largest grid band not above it, so that all groups have the same
+    ages and neighbouring rows are neighbouring ages. Bands missing from the data come out as 0, a missing value stays missing.
     Deaths count only in cells that have a population, as in ``deaths_population``, and a place
     without any population gives no rows.
 
@@ -79,17 +99,16 @@ def ddm_input(
     the years side by side, averaging and filling gaps are then one aggregation in that partition,
     and the age windows of the methods that follow need no further exchange.
     """
-    band = S.top_code(F.col("age_band"), max(bands)).alias("age_band")
-    none = F.lit(None).cast("double")
-    pop_rows = pop.select("year", *by, band, F.col("pop").cast("double").alias("pop"), none.alias("deaths"))
-    death_rows = deaths.select("year", *by, band, none.alias("pop"), F.col("n").cast("double").alias("deaths"))
-    stacked = pop_rows.unionByName(death_rows).where(F.col("year").isin(year1, year2)).repartition(*by)
+    band = S.onto_grid(F.col("age_band"), bands).alias("age_band")
+    pop_rows = pop.select("year", *by, band, F.lit(True).alias("_people"), F.col("pop").cast("double").alias("_value"))
+    death_rows = deaths.select("year", *by, band, F.lit(False).alias("_people"), F.col("n").cast("double").alias("_value"))
+    stacked = pop_rows.unionByName(death_rows).where(F.col("year").isin(year1, year2) & F.col("age_band").isNotNull()).repartition(*by)
     sums = {}
     for i, year in ((1, year1), (2, year2)):
         here = F.col("year") == year
-        sums[f"pop{i}"] = F.when(here, F.col("pop"))
-        sums[f"_deaths{i}"] = F.when(here, F.col("deaths"))
-        sums[f"_cells{i}"] = F.when(here & F.col("pop").isNotNull(), 1.0)
+        sums[f"pop{i}"] = F.when(here & F.col("_people"), F.col("_value")).otherwise(0.0)
+        sums[f"_deaths{i}"] = F.when(here & ~F.col("_people"), F.col("_value")).otherwise(0.0)
+        sums[f"_cells{i}"] = F.when(here & F.col("_people"), 1.0).otherwise(0.0)
     dense = densify(stacked, sums, bands, by)
     counted = [F.when(F.col(f"_cells{i}") > 0, F.col(f"_deaths{i}")).otherwise(0.0) for i in (1, 2)]
     populated = F.sum(F.col("_cells1") + F.col("_cells2")).over(whole_group(by))
@@ -103,7 +122,7 @@ def ddm_input(
             F.lit(year2).alias("year2"),
             S.finite(F.col("pop1")).alias("pop1"),
             S.finite(F.col("pop2")).alias("pop2"),
-            S.finite((counted[0] + counted[1]) / 2).alias("deaths"),
+            S.finite(S.yearly_mean(counted[0] + counted[1], 2)).alias("deaths"),
         )
     )
 
@@ -276,10 +295,33 @@ def ggb_seg(
     return _extinct_generations(df, "ggbseg", F.col("delta"), _fit_ages(fit_ages), summary, by, width)
 
 
-def attach_e_open(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Add ``e_open`` out of a table keyed by ``sex`` or by ``geo_code`` and ``sex``."""
-    keys = [c for c in BY if c in table.columns]
-    return df.join(table.select(*keys, "e_open"), keys, "left")
+def _small(table: DataFrame, cols: Sequence[str]) -> list:
+    """All rows of a table that must have at most ``MOST_LEVELS``, without those of an unknown sex."""
+    rows = table.where(F.col("sex").isNotNull()).select(*cols).limit(MOST_LEVELS + 1).collect()
+    if len(rows) > MOST_LEVELS:
+        raise ValueError(f"a table per sex of more than {MOST_LEVELS} rows")
+    return rows
+
+
+def attach_e_open(df: DataFrame, table: DataFrame | Mapping[str, float]) -> DataFrame:
+    """Add ``e_open`` out of a mapping or table by ``sex``, or a table by ``geo_code`` and ``sex``.
+
+    Values by sex become literals, with no join: a join on two or three values would undo the partitioning by place. A table by
+    place is joined on the key that the rows are partitioned by. A key that stands twice is refused.
+    """
+    if isinstance(table, DataFrame) and "geo_code" in table.columns:
+        once = table.groupBy(*BY).agg(F.count("*").alias("_rows"), F.max("e_open").alias("e_open"))
+        checked = F.when(F.col("_rows") == 1, F.col("e_open")).otherwise(F.raise_error(F.lit("e_open: a place and sex stands twice")))
+        return df.join(once.select(*BY, checked.alias("e_open")), list(BY), "left")
+    if isinstance(table, DataFrame):
+        rows = _small(table, ["sex", "e_open"])
+        if len({r["sex"] for r in rows}) < len(rows):
+            raise ValueError("e_open: a sex stands twice")
+        table = {r["sex"]: r["e_open"] for r in rows}
+    value = F.lit(None).cast("double")
+    for sex, e_open in table.items():
+        value = F.when(F.col("sex") == sex, F.lit(e_open).cast("double")).otherwise(value)
+    return df.withColumn("e_open", value)
 
 
 def e_open_from_levels(df: DataFrame, levels: DataFrame, by: Sequence[str] = BY, width: int = 5) -> DataFrame:
@@ -287,24 +329,14 @@ def e_open_from_levels(df: DataFrame, levels: DataFrame, by: Sequence[str] = BY,
 
     Needs the columns of ``method_points``. ``death_ratio`` is growth-adjusted deaths at ages 10-39 over those at 40-59. ``levels`` holds
     ``(sex, ratio, e_open)``; between two levels the value is interpolated linearly, outside them
-    the nearest level is used. Each ratio falls into exactly one step of its sex's table, so the
-    join never multiplies rows.
+    the nearest level is used. The levels, at most ``MOST_LEVELS``, become literals: no join, no exchange.
+    A ratio that stands twice for a sex is refused.
     """
-    step = Window.partitionBy("sex").orderBy("ratio")
-    none = F.lit(None).cast("double")
-    steps = levels.select(
-        F.col("sex").alias("_sex"),
-        F.lag("ratio").over(step).alias("_from"),
-        F.col("ratio").alias("_to"),
-        F.lag("e_open").over(step).alias("_e_from"),
-        F.col("e_open").alias("_e_to"),
-    )
-    beyond = levels.groupBy(F.col("sex").alias("_sex")).agg(
-        F.max("ratio").alias("_from"),
-        none.alias("_to"),
-        F.max_by("e_open", "ratio").alias("_e_from"),
-        none.alias("_e_to"),
-    )
+    tables: dict[str, dict[float, float]] = {}
+    for row in _small(levels, ["sex", "ratio", "e_open"]):
+        if row["ratio"] in tables.setdefault(row["sex"], {}):
+            raise ValueError("e_open levels: a ratio stands twice")
+        tables[row["sex"]][row["ratio"]] = row["e_open"]
     r = F.coalesce(F.col("r"), F.lit(0.0))
     adjusted = F.col("deaths") * F.exp(width * (F.col("r_below") + r / 2))
 
@@ -312,19 +344,22 @@ def e_open_from_levels(df: DataFrame, levels: DataFrame, by: Sequence[str] = BY,
         return F.sum(F.when(F.col("age_band").between(first, last), adjusted)).over(whole_group(by))
 
     rated = df.withColumn("death_ratio", S.ratio(deaths_at(10, 39), deaths_at(40, 59)))
-    x = F.col("death_ratio")
-    within = (
-        (F.col("sex") == F.col("_sex"))
-        & (F.col("_from").isNull() | (x > F.col("_from")))
-        & (F.col("_to").isNull() | (x <= F.col("_to")))
-    )
-    slope = S.ratio(F.col("_e_to") - F.col("_e_from"), F.col("_to") - F.col("_from"))
-    value = F.coalesce(F.col("_e_from") + slope * (x - F.col("_from")), F.col("_e_to"), F.col("_e_from"))
-    return (
-        rated.join(steps.unionByName(beyond), within, "left")
-        .withColumn("e_open", value)
-        .drop("_sex", "_from", "_to", "_e_from", "_e_to")
-    )
+    x, value = F.col("death_ratio"), F.lit(None).cast("double")
+    for sex, steps in tables.items():
+        known = sorted((ratio, e) for ratio, e in steps.items() if ratio is not None)
+        if known:
+            value = F.when((F.col("sex") == sex) & x.isNotNull(), _interpolated(x, known)).otherwise(value)
+    return rated.withColumn("e_open", value)
+
+
+def _interpolated(x: Column, known: Sequence[tuple[float, float]]) -> Column:
+    """Value at ``x`` of the line through the ascending points ``known``, level beyond its ends."""
+    point = "struct<x:double,e:double>"
+    points = F.array(*[F.struct(F.lit(float(r)).alias("x"), F.lit(e).cast("double").alias("e")) for r, e in known]).cast(f"array<{point}>")
+    place = F.size(F.filter(points, lambda p: p["x"] < x))
+    low, high = F.get(points, place - 1), F.get(points, place)
+    slope = S.ratio(high["e"] - low["e"], high["x"] - low["x"])
+    return F.coalesce(low["e"] + slope * (x - low["x"]), high["e"], low["e"])
 
 
 def combine_methods(df: DataFrame) -> DataFrame:
@@ -350,9 +385,10 @@ def choose_coverage(df: DataFrame) -> DataFrame:
     return df.withColumn("coverage", chosen)
 
 
-def with_e_open(points: DataFrame, e_open: DataFrame) -> DataFrame:
-    """Add ``e_open`` from a table of values, or from model life-table levels if it has a ``ratio``."""
-    return e_open_from_levels(points, e_open) if "ratio" in e_open.columns else attach_e_open(points, e_open)
+def with_e_open(points: DataFrame, e_open: DataFrame | Mapping[str, float]) -> DataFrame:
+    """Add ``e_open`` from values, or from model life-table levels if the table has a ``ratio``."""
+    levels = isinstance(e_open, DataFrame) and "ratio" in e_open.columns
+    return e_open_from_levels(points, e_open) if levels else attach_e_open(points, e_open)
 
 
 def with_death_coverage(

@@ -8,50 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalcov.functions import scalars as S
+from vitalcov.functions.windows import strict_total
 
 CELL = ("year", "geo_code", "sex", "age_band")
+#: Largest codebook that becomes a lookup.
+MOST_CODES = 1000
 
 
 def decode_codes(df: DataFrame, col: str, codebook: Mapping[str, str] | DataFrame, label: str) -> DataFrame:
     """Replace code column ``col`` by its label, as column ``label``; unknown codes become NULL.
 
-    A mapping turns into a literal lookup with no join. A codebook table needs a column named
-    ``col`` and one named ``label``; it is left-joined without a hint, so Spark broadcasts it only
-    if its measured size is below the session's threshold.
+    The codebook becomes a literal lookup, with no join: a join on a handful of codes would bring all records
+    together in as many tasks. A codebook table needs a column named ``col`` and one named ``label``; it is
+    read into the lookup by ``code_lookup``.
     """
-    if isinstance(codebook, DataFrame):
-        return df.join(codebook.select(col, label), col, "left").drop(col)
-    return df.withColumn(label, S.lookup(F.col(col), codebook)).drop(col)
-
-
-def slim_deaths(raw: DataFrame, codebook: Mapping[str, str] | DataFrame) -> DataFrame:
-    """Death records reduced to year of death, state of residence, sex and age in years."""
-    return decode_codes(
-        raw.select(
-            F.year("death_date").alias("year"),
-            S.state_code(F.col("mun_code")).alias("geo_code"),
-            "sex_code",
-            S.number(F.col("age_years")).alias("age"),
-        ),
-        "sex_code",
-        codebook,
-        "sex",
-    ).select("year", "geo_code", "sex", "age")
-
-
-def slim_births(raw: DataFrame, codebook: Mapping[str, str] | DataFrame) -> DataFrame:
-    """Birth records reduced to year, state of birth, sex of the child and age of the mother."""
-    return decode_codes(
-        raw.select(
-            "year",
-            S.state_code(F.col("mun_code")).alias("geo_code"),
-            "sex_code",
-            S.number(F.col("mother_age")).alias("age"),
-        ),
-        "sex_code",
-        codebook,
-        "sex",
-    ).select("year", "geo_code", "sex", "age")
+    return df.withColumn(label, S.lookup(F.col(col), code_lookup(codebook, col, label))).drop(col)
+
+
+def code_lookup(codebook: Mapping[str, str] | DataFrame, col: str, label: str, most: int = MOST_CODES) -> Mapping[str, str]:
+    """A codebook table as a mapping; it must have at most ``most`` rows and no code twice."""
+    if not isinstance(codebook, DataFrame):
+        return codebook
+    rows = codebook.where(F.col(col).isNotNull()).select(F.col(col).cast("string"), F.col(label)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a codebook of more than {most} rows")
+    found = {r[0]: r[1] for r in rows}
+    if len(found) < len(rows):
+        raise ValueError(f"a code stands twice in the codebook of {col}")
+    return found
+
+
+def _slim(raw: DataFrame, year: Column, age: str, codebook: Mapping[str, str] | DataFrame, place: Column | None) -> DataFrame:
+    geo = S.state_code(F.col("mun_code")) if place is None else place
+    sex = S.lookup(F.col("sex_code"), code_lookup(codebook, "sex_code", "sex"))
+    return raw.select(year.alias("year"), geo.alias("geo_code"), sex.alias("sex"), S.number(F.col(age)).alias("age"))
+
+
+def slim_deaths(raw: DataFrame, codebook: Mapping[str, str] | DataFrame, place: Column | None = None) -> DataFrame:
+    """Death records reduced to year of death, place of residence, sex and age in years.
+
+    A record without a date counts for its file's ``year``, where there is such a column. ``place`` is the expression
+    of the place, the state of the municipality if not given.
+    """
+    year = F.year("death_date")
+    return _slim(raw, F.coalesce(year, F.col("year")) if "year" in raw.columns else year, "age_years", codebook, place)
+
+
+def slim_births(raw: DataFrame, codebook: Mapping[str, str] | DataFrame, place: Column | None = None) -> DataFrame:
+    """Birth records reduced to year, place of birth (the state, or ``place``), sex of the child and age of the mother."""
+    return _slim(raw, F.col("year"), "mother_age", codebook, place)
 
 
 def with_age_band(
@@ -67,8 +72,10 @@ def with_total(
 ) -> DataFrame:
     """Sum ``value`` per cell and append the same cells summed over all places, under code ``total``.
 
-    Cells of an unknown place keep their NULL code and are part of the total.
+    Cells of an unknown place keep their NULL code and are part of the total. Rows of the source that carry the code
+    ``total`` are its own totals and are left out, or each cell would count twice.
     """
+    cells = cells.where(F.col(geo).isNull() | (F.col(geo) != total))
     others = [c for c in by if c != geo]
     keys = [F.col(c) for c in by]
     return (
@@ -115,13 +122,13 @@ def population_counts(
     total_label: str = "Total",
     total: str = "BR",
 ) -> DataFrame:
-    """Population per cell with national totals; the source's own all-ages rows are left out.
+    """Population per cell with national totals; the source's own totals over ages, sexes or places are left out.
 
     The band comes from the number in its label, never from the position of the row.
     """
     sexes = {"Male": "Masculino"} if sexes is None else sexes
     rows = raw if years is None else raw.where(F.col("year").isin(*years))
-    cells = rows.where(F.col("age_label") != total_label).select(
+    cells = rows.where((F.col("age_label") != total_label) & (F.col("sex_label").isNull() | (F.col("sex_label") != total_label))).select(
         "year",
         F.col("geo_code").cast("string").alias("geo_code"),
         S.recode(F.col("sex_label"), sexes, other_sex).alias("sex"),
@@ -138,10 +145,12 @@ def rebands(df: DataFrame, open_age: int = 80, value: str = "n", by: Sequence[st
 
 
 def mean_over_years(
-    df: DataFrame, value: str = "n", by: Sequence[str] = ("geo_code", "sex", "age_band")
+    df: DataFrame, years: Sequence[int], value: str = "n", by: Sequence[str] = ("geo_code", "sex", "age_band")
 ) -> DataFrame:
-    """Mean yearly value of each place, sex and band over the years present."""
-    return df.groupBy(*by).agg(F.avg(value).alias(value))
+    """Mean yearly value of each place, sex and band over ``years``; a year without a record counts 0."""
+    years = sorted(set(years))
+    total = F.sum(F.col(value).cast("double"))
+    return df.where(F.col("year").isin(years)).groupBy(*by).agg(S.yearly_mean(total, len(years)).alias(value))
 
 
 def densify(
@@ -153,19 +162,18 @@ def densify(
 ) -> DataFrame:
     """Sum ``values`` per group and band so that every group has every band of ``bands``.
 
-    A band without data counts 0. Bands outside the grid are kept. Each row offers a zero for the
-    grid bands and its own value for its band, and one aggregation with a map-side combine adds
-    them up: the key list is neither collected, nor joined back, nor built by a second read.
+    A band without data counts 0. Bands outside the grid are kept, an unknown (NULL) band too; a missing value makes
+    the sum of its cell missing. Each row offers a zero for the grid bands and its own value for its band, and one
+    aggregation with a map-side combine adds them up: the key list is neither collected, nor joined back, nor built by a second read.
     """
     grid = F.array(*[F.lit(b) for b in bands])
-    own = F.when(F.col(age).isNull(), grid).otherwise(F.array_union(grid, F.array(F.col(age))))
-    spread = df.withColumn("_band", F.explode(own))
-    here = F.col("_band") == F.col(age)
+    spread = df.withColumn("_band", F.explode(F.array_union(grid, F.array(F.col(age)))))
+    here = F.col("_band").eqNullSafe(F.col(age))
     return (
         spread.groupBy(*by, "_band")
         .agg(
             *[
-                F.sum(F.when(here, F.coalesce(v.cast("double"), F.lit(0.0))).otherwise(0.0)).alias(name)
+                strict_total(F.when(here, v.cast("double")).otherwise(0.0)).alias(name)
                 for name, v in values.items()
             ]
         )

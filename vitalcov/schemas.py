@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 _CELL = "year int, geo_code string, sex string, age_band int"
 
 SCHEMAS: dict[str, str] = {
-    "deaths_raw": "mun_code string, sex_code string, age_years string, death_date date",
+    "deaths_raw": "mun_code string, sex_code string, age_years string, death_date date, year int",
     "births_raw": "mun_code string, sex_code string, mother_age string, year int",
     "population_raw": "year int, geo_code string, sex_label string, age_label string, pop bigint",
     "records": "year int, geo_code string, sex string, age double",
@@ -21,6 +21,15 @@ SCHEMAS: dict[str, str] = {
     "e_open": "sex string, e_open double",
     "e_open_levels": "sex string, ratio double, e_open double",
     "method_coverage": "geo_code string, sex string, method string, coverage double",
+    "age_rows": (
+        "geo_code string, sex string, age_band int, year1 int, year2 int, pop1 double, pop2 double, deaths double, "
+        "pop_mid double, rx double, fit_lo int, fit_hi int, ggb double, delta double, seg double, ggbseg double, "
+        "mean_3 double, mean_2 double, coverage double, deaths_adj double"
+    ),
+    "spread_mass": "kind string, year int, geo_code string, n_before double, n_after double, n_lost double",
+    "unmatched": f"{_CELL}, side string, n double",
+    "missing_bands": f"kind string, {_CELL}",
+    "smoothed_years": "kind string, year int, n_years int",
     "estimates": (
         "geo_code string, sex string, year int, cbr double, "
         "birth_rate_implied double, coverage_b double, completeness double"

@@ -42,21 +42,28 @@ STATES = (
 SEX_LABELS = {"1": "Masculino", "2": "Feminino"}
 
 
+def _literal(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A literal relation, whose size Spark knows. Values are bound as literals, never pasted into a text."""
+    kinds = [field.split(" ") for field in schema.split(", ")]
+    names = {f"v{i}_{j}": value for i, row in enumerate(rows) for j, value in enumerate(row)}
+    values = ", ".join("(" + ", ".join(f"CAST(:v{i}_{j} AS {kind})" for j, (_, kind) in enumerate(kinds)) + ")" for i in range(len(rows)))
+    bound = {k: v.item() if hasattr(v, "item") else v for k, v in names.items()}
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(name for name, _ in kinds)})", args=bound)
+
+
 def geo_dim(spark: SparkSession, places: Sequence[tuple[str, str]] = STATES) -> DataFrame:
     """Code, name and display order of each place."""
-    rows = ", ".join(f"('{code}', '{name}', {i})" for i, (code, name) in enumerate(places, 1))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(geo_code, geo_name, geo_ord)")
+    rows = [(code, name, i) for i, (code, name) in enumerate(places, 1)]
+    return _literal(spark, rows, "geo_code string, geo_name string, geo_ord int")
 
 
 def e_open_table(spark: SparkSession, by_sex: Mapping[str, float]) -> DataFrame:
     """Life expectancy at the start of the open age band, per sex."""
-    rows = ", ".join(f"('{sex}', {value!r}D)" for sex, value in by_sex.items())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(sex, e_open)")
+    return _literal(spark, list(by_sex.items()), "sex string, e_open double")
 
 
 def e_open_levels_table(
     spark: SparkSession, levels: Mapping[str, Sequence[tuple[float, float]]]
 ) -> DataFrame:
     """Model life-table levels ``(ratio, e_open)`` per sex."""
-    rows = ", ".join(f"('{sex}', {r!r}D, {e!r}D)" for sex, steps in levels.items() for r, e in steps)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(sex, ratio, e_open)")
+    return _literal(spark, [(sex, r, e) for sex, steps in levels.items() for r, e in steps], "sex string, ratio double, e_open double")

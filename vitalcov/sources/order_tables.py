@@ -7,13 +7,15 @@ through the same operators.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalcov.functions.scalars import in_years
 
+# the years the order tables hold
+ALL_YEARS = tuple(range(1995, 2002))
 
 # the columns in use, declared so that opening a table needs no job to look at its files
 _SCHEMAS = {
@@ -55,7 +57,9 @@ def _age() -> Column:
     return F.floor((F.col("l_quantity") - 1) * 1.8).cast("int")
 
 
-def raw_deaths(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None) -> DataFrame:
+def raw_deaths(
+    spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None, extra: Mapping[str, Column] | None = None
+) -> DataFrame:
     unreadable = (F.col("l_linenumber") >= 6) & (F.col("l_returnflag") == "R")
     return _placed_lines(spark, sf_dir, years).select(
         F.concat(_state(), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0")).alias("mun_code"),
@@ -65,6 +69,7 @@ def raw_deaths(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = N
         .alias("sex_code"),
         F.when(unreadable, "ign").otherwise(_age().cast("string")).alias("age_years"),
         F.col("o_orderdate").cast("date").alias("death_date"),
+        *[column.alias(name) for name, column in (extra or {}).items()],
     )
 
 
@@ -123,5 +128,5 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _load(spark, sf_dir, "region").select(
         (F.col("r_regionkey") + 11).cast("string").alias("geo_code"),
         F.col("r_name").alias("region"),
-        F.lit(None).cast("binary").alias("geometry"),
+        F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).cast("binary").alias("geometry"),
     )

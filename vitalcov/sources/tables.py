@@ -22,15 +22,15 @@ def _scan(spark: SparkSession, path: str, name: str, fmt: str, options: dict) ->
 def read_deaths(
     spark: SparkSession, path: str, years: Sequence[int], fmt: str = "parquet", **options: str
 ) -> DataFrame:
-    """Death records dated in ``years``.
+    """Death records of ``years``, and those without a date.
 
-    The date test is a range, which Parquet uses to skip row groups. In a layout with ``year=``
-    folders the folders of other years are not opened at all.
+    In a layout with ``year=`` folders (or a year column) the folders of other years are not opened, and a record without a
+    date counts for the year of its folder. Without one it keeps a NULL year, so that no record is lost unseen.
+    A record dated in a year that was not asked for is left out. The date test is a range, which Parquet uses to skip row groups.
     """
     raw = _scan(spark, path, "deaths_raw", fmt, options)
-    if "year" in raw.columns:
-        raw = raw.where(F.col("year").isin(*years)).drop("year")
-    return raw.where(S.in_years(F.col("death_date"), years))
+    filed = raw.where(F.col("year").isNull() | F.col("year").isin(*years))
+    return filed.where(F.col("death_date").isNull() | S.in_years(F.col("death_date"), years))
 
 
 def read_births(
