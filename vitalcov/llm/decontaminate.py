@@ -261,3 +261,20 @@ def judged(found: DataFrame) -> DataFrame:
     """`found` with n_hit, n_items and contaminated: hit words make a twentieth of all words or more."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return found.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")}).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+ORACLE = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, words, least(len(words), 13) AS n FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+phrases AS (SELECT DISTINCT item, n, array_to_string(words[i:i + n - 1], ' ') AS s FROM (SELECT item, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM b)),
+windows AS (SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM phrases) WHERE len(words) >= n)),
+found AS (SELECT doc_id, item, n, i FROM windows JOIN phrases USING (n, s)),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

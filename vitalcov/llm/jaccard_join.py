@@ -250,3 +250,22 @@ def similar_documents(docs: DataFrame, *, n: int = N, threshold: tuple[int, int]
     told = counts.join(group, "id", "left").select(F.col("id").alias("copy_of"), "n_links", "label")
     zero = F.lit(0).cast("long")
     return member.join(told, "copy_of", "left").select(F.col("id").alias(id_col), F.coalesce("label", "copy_of").alias("class_id"), "copy_of", "n_copies", F.coalesce("n_links", zero).alias("n_links"))
+
+
+#: Exact: every pair that shares an n-gram. The query equals it where MinHash misses no linked pair.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+sets AS (SELECT doc_id, list(g ORDER BY g) AS gs FROM s GROUP BY doc_id),
+classes AS (SELECT min(doc_id) AS rep, count(*) AS members, gs, len(gs) AS n FROM sets GROUP BY gs),
+grams AS (SELECT rep, n, g FROM classes JOIN s ON doc_id = rep),
+pairs AS (SELECT a.rep AS x, b.rep AS y FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+walk(x, y) AS (SELECT rep, rep FROM classes UNION SELECT walk.x, pairs.y FROM walk JOIN pairs ON walk.y = pairs.x),
+groups AS (SELECT x, min(y) AS label FROM walk GROUP BY x),
+links AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT w.doc_id, coalesce(label, rep, w.doc_id) AS class_id, coalesce(rep, w.doc_id) AS copy_of, (coalesce(members, 1) - 1)::BIGINT AS n_copies,
+  coalesce(links.n, 0)::BIGINT AS n_links
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (gs) LEFT JOIN groups ON groups.x = rep LEFT JOIN links ON links.x = rep
+"""

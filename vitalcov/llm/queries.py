@@ -93,5 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op2_jaccard_join": jaccard_join.ORACLE,
+    "op4_decontamination": decontaminate.ORACLE,
     "op5_quality_rules": rules.ORACLE,
 }

@@ -237,3 +237,14 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
 
     answered = texts.join(spans, ["k", "k2"], "left").select("id", "text", "spans")
     return answered.mapInArrow(keep, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM g) WHERE c > 1),
+covered AS (SELECT doc_id, list(i) AS places FROM (SELECT DISTINCT doc_id, i + o AS i FROM twice, range(0, 35) AS t(o)) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(places, i), false)), ' ')) AS kept_sha256
+FROM w LEFT JOIN covered USING (doc_id)
+"""
