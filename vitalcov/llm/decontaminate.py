@@ -27,7 +27,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from vitalcov.llm import common
 
 SHARD_BYTES, MOST_BYTES, SAMPLE = 4 << 20, 8 << 20, 32
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(rb"[^ ]+")
 #: Bytes in lower case, and a blank for those that no word has.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -203,7 +203,7 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """`text` without the words of the spans and what stands between them."""
     if not spans:
         return text
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(text.translate(FOLD))]
     keep, at = [], 0
     for a, b in spans:
         keep.append(text[at : places[a][0]])
