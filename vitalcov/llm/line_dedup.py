@@ -95,9 +95,13 @@ def probe_keys(line: Column, distance: int) -> Column:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id and text, and two hashes of both (96 bits) that name the document. The first alone deals documents out; the second goes along inside lists."""
-    key = [F.col(id_col), F.col(text_col)]
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(*key).alias("k"), F.hash(*reversed(key)).alias("k2"), F.col(text_col).alias("text"))
+    """Id and text, and k, a hash of both by which documents are dealt out."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+
+
+def _k2() -> Column:
+    """The hash that tells documents with one k apart. Made from id and text where they have arrived, so that all uses of the shuffled texts want the same columns."""
+    return F.hash("text", "id")
 
 
 def _lines(text: Column) -> Column:
@@ -110,14 +114,14 @@ def _is_blank(line: Column) -> Column:
 
 def first_lines(texts: DataFrame) -> DataFrame:
     """Per k the places (k2, at) of lines that no earlier line equals. Lines are told apart by 96 bits of hash."""
-    lines = texts.select("id", "k", "k2", F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(~_is_blank(F.col("line")))
+    lines = texts.select("id", "k", _k2().alias("k2"), F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(~_is_blank(F.col("line")))
     first = lines.groupBy(F.xxhash64("line").alias("h"), F.hash("line").alias("h2")).agg(F.min(F.struct("id", "k", "k2", "at")).alias("o"))
     return first.groupBy(F.col("o.k").alias("k")).agg(F.collect_list(F.struct("o.k2", "o.at")).alias("firsts"))
 
 
 def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int) -> DataFrame:
     """Per k the places (k2, at), of those in `firsts`, whose text is within `distance` of an earlier one."""
-    own = texts.join(firsts, "k", "left").withColumn("mine", F.filter("firsts", lambda f: f["k2"] == F.col("k2")))
+    own = texts.join(firsts, "k", "left").withColumn("k2", _k2()).withColumn("mine", F.filter("firsts", lambda f: f["k2"] == F.col("k2")))
     distinct = (
         own.select("k", F.explode(let(_lines(F.col("text")), lambda x: F.transform("mine", lambda f: F.struct(f["at"].alias("at"), F.get(x, f["at"]).alias("line"))))).alias("l"))
         .select("k", "l.at", "l.line")
@@ -137,7 +141,7 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
     fetched = (
         texts.join(wanted, "k", "left")
         .where(F.col("wanted").isNotNull())
-        .select("id", "k", "k2", F.explode(let(_lines(F.col("text")), lambda x: F.transform("wanted", lambda w: F.struct(w["probe"].alias("probe"), w["key"].alias("key"), w["at"].alias("at"), F.get(x, w["at"]).alias("line"))))).alias("l"))
+        .select("id", "k", _k2().alias("k2"), F.explode(let(_lines(F.col("text")), lambda x: F.transform("wanted", lambda w: F.struct(w["probe"].alias("probe"), w["key"].alias("key"), w["at"].alias("at"), F.get(x, w["at"]).alias("line"))))).alias("l"))
         .select("id", "k", "k2", "l.*")
         .withColumn("counts", F.array(*[F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in COUNTED]))
     )
@@ -161,13 +165,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     firsts = first_lines(texts)
     near = near_repeats(texts, firsts, distance, least)
     rest = [c for c in docs.columns if c not in {id_col, text_col, "n_lines", "n_exact", "n_near"}]
-    key = [F.col(id_col), F.col(text_col)]
-    whole = texts if not rest else docs.select(F.col(id_col).alias("id"), F.xxhash64(*key).alias("k"), F.hash(*reversed(key)).alias("k2"), F.col(text_col).alias("text"), F.struct(*rest).alias("rest"))
+    whole = texts if not rest else docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"), F.struct(*rest).alias("rest"))
 
     def mine(c: str) -> Column:
         return F.coalesce(F.transform(F.filter(c, lambda f: f["k2"] == F.col("k2")), lambda f: f["at"]), F.array().cast("array<int>"))
 
-    joined = whole.join(firsts, "k", "left").join(near, "k", "left").withColumns({"firsts": mine("firsts"), "near": mine("near")})
+    joined = whole.join(firsts, "k", "left").join(near, "k", "left").withColumn("k2", _k2()).withColumns({"firsts": mine("firsts"), "near": mine("near")})
 
     def kept(lines: Column) -> Column:
         blanks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _is_blank(F.get(lines, i)))
