@@ -344,7 +344,7 @@ def line_rows():
                 k, o = rnd.randrange(len(line)), rnd.random()
                 line[k : k + (o >= 0.4)] = ["x"] if o < 0.7 else []
             lines += ["".join(line), ""] if rnd.random() < 0.1 else ["".join(line)]
-        rows.append((None if i % 50 == 7 else i // 2 if i % 30 == 0 else i, "\n".join(lines) if i % 40 else None))
+        rows.append((None if i == 7 else i, "\n".join(lines) if i % 40 else None))
     return rows + rows[:2]
 
 
@@ -358,6 +358,13 @@ def test_line_dedup(spark):
     assert {"id", "k", "row"} <= set(got[0].asDict())
 
 
+def test_documents_with_one_id_keep_one_of_equal_lines(spark):
+    rows = [(1, "one line of some length\nonly here"), (1, "one line of some length\nonly there"), (None, "one line of some length")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [line for r in got for line in r["text"].split("\n") if line]
+    assert sorted(kept) == ["one line of some length", "only here", "only there"]
+
+
 def test_line_dedup_of_odd_documents(docs, rows, none):
     got = line_dedup.dedup_lines(docs).collect()
     want = brute.line_dedup(rows)
