@@ -84,3 +84,4 @@ def test_no_query_leaves_the_jvm_or_pairs_everything(spark, sf_dir, name):
         if bad.startswith("Single") and name == "value_range":
             continue
         assert bad not in text, bad
+    assert not re.search(r"hashpartitioning\((sex|sex_code)#\w+, \d+\)", text)
