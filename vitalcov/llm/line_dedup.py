@@ -10,7 +10,8 @@ segment. Probes and index rows without a partner on the other side are dropped b
 a last semi-join verifies them by a banded bit-parallel edit distance behind a count filter that loses nothing. Semi-joins return a row at most once, so a large
 group of like lines makes no pairs, and skewed keys can be split by the engine.
 
-A null text stays null with no lines. Rows equal in id and text are one document written twice: both get the same lines. A null id comes first. No rows give none.
+A null text stays null with no lines. Rows equal in id and text are one document written twice: both get the same lines. A null id comes first;
+documents of one id follow a hash of their texts. No rows give none.
 Columns of the input stay; n_lines, n_exact and n_near are replaced.
 """
 
@@ -72,25 +73,25 @@ def edit_distance(a: Column, b: Column, distance: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step, lambda s: s["sum"])
 
 
-def _segment(line: Column, length: Column, i: int, parts: int, shift: int = 0) -> Column:
-    """Characters of `line` where segment `i` of a text of `length` lies, moved by `shift`; null if that leaves the line."""
-    start = F.floor(length * i / F.lit(parts)).cast("int") if i else F.lit(0)
-    end = F.floor(length * (i + 1) / F.lit(parts)).cast("int")
-    inside = (start + shift >= 0) & (end + shift <= F.length(line))
+def _segment(line: Column, length: Column, own: Column, i: int, parts: int, shift: int = 0) -> Column:
+    """Key of the characters of `line`, `own` long, where segment `i` of a text of `length` lies, moved by `shift`; null if that leaves the line."""
+    start = F.call_function("div", length * i, F.lit(parts)).cast("int") if i else F.lit(0)
+    end = F.call_function("div", length * (i + 1), F.lit(parts)).cast("int")
+    inside = (start + shift >= 0) & (end + shift <= own)
     return F.when(inside, F.xxhash64(F.lit(i), length, F.substring(line, start + (shift + 1), end - start)))
 
 
-def index_keys(line: Column, distance: int) -> Column:
-    return F.array(*[_segment(line, F.length(line), i, distance + 1) for i in range(distance + 1)])
+def index_keys(line: Column, own: Column, distance: int) -> Column:
+    return F.array(*[_segment(line, own, own, i, distance + 1) for i in range(distance + 1)])
 
 
-def probe_keys(line: Column, distance: int) -> Column:
+def probe_keys(line: Column, own: Column, distance: int) -> Column:
     """For each length difference and segment the shifts at which both the text before and the text behind can still be within the distance."""
     keys = []
     for less in range(distance + 1):
         for i in range(distance + 1):
             low, high = max(-i, less - (distance - i)), min(i, less + (distance - i))
-            keys += [_segment(line, F.length(line) - less, i, distance + 1, shift) for shift in range(low, high + 1)]
+            keys += [_segment(line, own - less, own, i, distance + 1, shift) for shift in range(low, high + 1)]
     return F.array(*keys)
 
 
@@ -124,8 +125,8 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
     own = texts.join(firsts, "k", "left").withColumn("k2", _k2()).withColumn("mine", F.filter("firsts", lambda f: f["k2"] == F.col("k2")))
     distinct = (
         own.select("k", F.explode(let(_lines(F.col("text")), lambda x: F.transform("mine", lambda f: F.struct(f["at"].alias("at"), F.get(x, f["at"]).alias("line"))))).alias("l"))
-        .select("k", "l.at", "l.line")
-        .where(F.length("line") >= least)
+        .select("k", "l.at", "l.line", F.length("l.line").alias("own"))  # counted once for all keys
+        .where(F.col("own") >= least)
     )
 
     def keyed(keys: Column) -> DataFrame:  # in the order in which explode puts them, so that both uses of a shuffle are one
@@ -134,7 +135,7 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
     def order(side: str) -> Column:
         return F.struct(*[F.col(f"{side}.{c}") for c in ("id", "k", "k2", "at")])
 
-    probes, index = keyed(probe_keys(F.col("line"), distance)).alias("p"), keyed(index_keys(F.col("line"), distance)).alias("i")
+    probes, index = keyed(probe_keys(F.col("line"), F.col("own"), distance)).alias("p"), keyed(index_keys(F.col("line"), F.col("own"), distance)).alias("i")
     paired = (F.col("p.key") == F.col("i.key")) & ((F.col("p.k") != F.col("i.k")) | (F.col("p.at") != F.col("i.at")))
     live = probes.join(index, paired, "left_semi").select(F.lit(True).alias("probe"), "p.*").unionByName(index.join(probes, paired, "left_semi").select(F.lit(False).alias("probe"), "i.*"))
     wanted = live.groupBy("k").agg(F.collect_list(F.struct("probe", "key", "at")).alias("wanted"))
