@@ -332,6 +332,24 @@ def test_bit_parallel_edit_distance(spark):
         assert df.where(got != F.col("d")).count() == 0 < len(usable)
 
 
+def test_trimming_keeps_the_distance(spark):
+    rnd = random.Random(4)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rnd.choice("abé") for _ in range(rnd.randint(20, 200)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(b))
+            b[k : k + rnd.randint(0, 1)] = rnd.choice(["", "x", "a"])
+        pairs.append((a, "".join(b)))
+    pairs += [("ab" * 40, "ab" * 39), ("a" * 70, "a" * 72)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.trimmed(F.col("a"), F.col("b")).alias("t")).collect()
+    for r in got:
+        assert brute.edits(r["a"], r["b"], 3) == brute.edits(r["t"]["a"], r["t"]["b"], 3)
+        assert min(len(r["t"]["a"]), len(r["t"]["b"])) >= 16
+    assert sum(len(r["t"]["a"]) for r in got) < 0.5 * sum(len(r["a"]) for r in got)
+
+
 def line_rows():
     rnd = random.Random(8)
     base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randint(15, 60))) for _ in range(25)]

@@ -73,6 +73,27 @@ def edit_distance(a: Column, b: Column, distance: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step, lambda s: s["sum"])
 
 
+def trimmed(a: Column, b: Column, rounds: int = 3, least: int = 16) -> Column:
+    """`a` and `b` without equal halves at their beginnings and ends, as a struct: their edit distance is the same. At least `least` characters stay."""
+
+    def half(p: Column) -> Column:
+        return F.call_function("div", F.least(F.length(p["a"]), F.length(p["b"])), F.lit(2)).cast("int")
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("a"), y.alias("b"))
+
+    def front(p: Column) -> Column:
+        return let(half(p), lambda h: F.when((h >= least) & (F.left(p["a"], h) == F.left(p["b"], h)), pair(F.substring(p["a"], h + 1, F.length(p["a"])), F.substring(p["b"], h + 1, F.length(p["b"])))).otherwise(p))
+
+    def back(p: Column) -> Column:
+        return let(half(p), lambda h: F.when((h >= least) & (F.right(p["a"], h) == F.right(p["b"], h)), pair(F.left(p["a"], F.length(p["a"]) - h), F.left(p["b"], F.length(p["b"]) - h))).otherwise(p))
+
+    out = pair(a, b)
+    for _ in range(rounds):
+        out = let(let(out, front), back)
+    return out
+
+
 def _segment(line: Column, length: Column, own: Column, i: int, parts: int, shift: int = 0) -> Column:
     """Key of the characters of `line`, `own` long, where segment `i` of a text of `length` lies, moved by `shift`; null if that leaves the line."""
     start = F.call_function("div", length * i, F.lit(parts)).cast("int") if i else F.lit(0)
@@ -137,7 +158,10 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
 
     probes, index = keyed(probe_keys(F.col("line"), F.col("own"), distance)).alias("p"), keyed(index_keys(F.col("line"), F.col("own"), distance)).alias("i")
     paired = (F.col("p.key") == F.col("i.key")) & ((F.col("p.k") != F.col("i.k")) | (F.col("p.at") != F.col("i.at")))
-    live = probes.join(index, paired, "left_semi").select(F.lit(True).alias("probe"), "p.*").unionByName(index.join(probes, paired, "left_semi").select(F.lit(False).alias("probe"), "i.*"))
+    # dealt out once more, being few, so that the large join is not made again for its second use
+    found = probes.join(index, paired, "left_semi").select("p.*").repartition("key").alias("p")
+    partners = index.join(found, paired, "left_semi").select(F.lit(False).alias("probe"), "i.*")
+    live = found.select(F.lit(True).alias("probe"), "p.*").unionByName(partners)
     wanted = live.groupBy("k").agg(F.collect_list(F.struct("probe", "key", "at")).alias("wanted"))
     fetched = (
         texts.join(wanted, "k", "left")
@@ -151,7 +175,7 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
     for c in range(len(COUNTED)):
         change = change + F.abs(F.get("p.counts", F.lit(c)) - F.get("i.counts", F.lit(c)))
     near = (F.col("p.key") == F.col("i.key")) & (F.abs(F.length("p.line") - F.length("i.line")) <= distance) & (change <= 2 * distance)
-    close = let(F.split("p.line", ""), lambda a: let(F.split("i.line", ""), lambda b: edit_distance(a, b, distance))) <= distance
+    close = let(trimmed(F.col("p.line"), F.col("i.line")), lambda t: let(F.split(t["a"], ""), lambda a: let(F.split(t["b"], ""), lambda b: edit_distance(a, b, distance)))) <= distance
     later = probes.join(index, near & (order("i") < order("p")) & close, "left_semi").select("p.k", "p.k2", "p.at")
     shorter = near & (F.length("i.line") < F.length("p.line"))
     later = later.unionByName(index.join(probes, shorter & (order("p") < order("i")) & close, "left_semi").select("i.k", "i.k2", "i.at"))
