@@ -33,8 +33,10 @@ HEADLINE = (
     "seg",
     "ggb_seg",
     "choose_coverage",
+    "adjust_deaths",
     "implied_birth_rate",
     "birth_coverage",
+    "birth_coverage_smoothed",
     "region_result",
 )
 
