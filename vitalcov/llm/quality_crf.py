@@ -53,7 +53,6 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     lines = text.split(b"\n")
     kinds = np.frombuffer(text.translate(CLASS_OF) + b"\x03", np.uint8)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
-    starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(lines)), sizes)
     counts = np.bincount(owner * CLASSES + kinds, minlength=len(lines) * CLASSES).reshape(-1, CLASSES).astype(np.float64)
     counts[:, 3] -= 1
@@ -61,11 +60,10 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = [line.split() for line in lines]
     n = np.fromiter(map(len, words), np.float64, len(lines))
     distinct = np.fromiter((len(set(w)) for w in words), np.float64, len(lines))
-    last, seen, again = None, set(), np.zeros(len(lines))
+    seen, again = set(), np.zeros(len(lines))
     for k, line in enumerate(lines):
         again[k] = bool(n[k]) and line in seen
         seen.add(line)
-    del starts, last
     some = np.maximum(n, 1)
     out = np.column_stack(
         [
