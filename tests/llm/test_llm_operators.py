@@ -483,3 +483,20 @@ def test_lm_scores(spark, rows, none, monkeypatch):
     for r, w in zip(sorted((tuple(r) for r in got), key=key), sorted(want, key=key), strict=True):
         assert r[:2] == w[:2] and r[2:4] == pytest.approx(w[2:4], rel=1e-9) and r[4] == pytest.approx(r[2] - r[3])
     assert lm_score.score_documents(none.withColumn("wanted", F.lit(True)), "wanted").collect() == []
+
+
+def test_every_word_of_a_large_vocabulary_is_kept_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 5000)
+    bulk = [" ".join(f"r{k // 2}" for k in range(at, at + 10_000)) for at in range(0, 140_000, 10_000)]
+    rows = [(0, "a b", True), (1, "a c", False), *((2 + i, t, False) for i, t in enumerate(bulk))]
+    got = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string, wanted boolean"), "wanted", block_tokens=20_000).collect()}
+    size, prior, tokens = 70_003 + 2, lm_score.PRIOR, (2, 140_002)
+
+    def loss(side, *steps):
+        """Mean over (count of the bigram, count of the word, count of what is before)."""
+        return -np.mean([np.log((joint + prior * (word + 1) / (tokens[side] + size)) / (before + prior)) for joint, word, before in steps])
+
+    assert got[0]["target_loss"] == pytest.approx(loss(0, (1, 1, 1), (1, 1, 1)), rel=1e-9)
+    assert got[0]["background_loss"] == pytest.approx(loss(1, (1, 1, 15), (0, 0, 1)), rel=1e-9)
+    assert got[1]["background_loss"] == pytest.approx(loss(1, (1, 1, 15), (1, 1, 1)), rel=1e-9)
+    assert got[1]["n_tokens"] == 2 and len(got) == 16

@@ -1,14 +1,17 @@
 """Language-model scoring by cross-entropy difference: how much better a model of the target texts tells a document's words than one of the background.
 
 Both models are bigram models over one vocabulary, with Dirichlet smoothing towards their unigrams. Target: the texts of chosen documents; background: all others.
+The vocabulary is every word that occurs, however many there are, and one unknown word that none of them is.
 
-1. Words are counted over all texts, summed by task before the shuffle; the `vocabulary` most frequent ones are the shared vocabulary (a parameter of the models,
-   as usual), all others one unknown word. It is broadcast: 20 bytes a word.
-2. Texts become blocks of about BLOCK_TOKENS word numbers, written once. Every block counts its distinct bigrams, deals them out to buckets by hash and gets back, in
-   the same order, their counts over the whole corpus. The tables of the models grow with the corpus and are never in one place: the number of buckets follows
-   the number of tokens, and however frequent a bigram, it reaches its bucket once from each block.
+1. Texts become blocks of about BLOCK_TOKENS words, written once: the sorted hashes of the block's distinct words, and for each word its place among them.
+2. Every block counts its distinct words and bigrams, deals them out to buckets by ranges of their hashes and gets back, in the same order, their counts over the
+   whole corpus. The tables of the models grow with the corpus and are never in one place: the number of buckets follows the number of tokens, and however
+   frequent a word or bigram, it reaches its bucket once from each block. The size of the vocabulary is summed over the buckets of words.
 3. Each block scores its own documents: per token the loss under the target less the loss under the background; a document's score is their mean.
 
+Words and bigrams are told apart by 64 bits of hash. With `vocabulary` only that many most frequent words are kept apart (counted in a pass before, broadcast) and all
+others are the unknown word; no query sets it.
+
 Words are [^\\x20\\x09-\\x0D]+ in lower case (ASCII). Each document begins with a start mark that is predicted from nothing. A null text or one without words has score 0 and no tokens.
 Lower scores are closer to the target. Repeated rows are scored and counted each. A null target flag is no target. Without target or background texts its counts are
 zero and its model is uniform. No rows give none. Other columns are not looked at.
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from vitalcov.llm import common
 
-VOCABULARY, BLOCK_TOKENS, BUCKET_TOKENS, PRIOR = 60_000, 1 << 19, 1 << 21, 50.0
+BLOCK_TOKENS, BUCKET_TOKENS, PRIOR = 1 << 19, 1 << 21, 50.0
+#: In the place of a hash: the start of a document, and words that are not in the vocabulary.
+START, UNKNOWN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -34,6 +39,20 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes, and so on: small values compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(values.size, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def bucket_bounds(buckets: int) -> np.ndarray:
+    """The least hash of each bucket but the first."""
+    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """Of (target, text): hash of each word, and its count in target and background texts."""
 
@@ -93,46 +112,39 @@ def most_frequent(words: DataFrame, vocabulary: int) -> DataFrame:
     return words.where(level >= lowest).orderBy(total.desc(), "w").limit(vocabulary)
 
 
-def score_documents(docs: DataFrame, target: str, *, vocabulary: int = VOCABULARY, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, target: str, *, vocabulary: int | None = None, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: `id_col`, n_tokens, target_loss, background_loss (nats a token) and score, their difference. `target`: name of a boolean column."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("target"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    words = common.written(count_words(rows), "words")
-    totals = words.agg(F.sum("target"), F.sum("background")).first()
-    top = most_frequent(words, vocabulary).toArrow()
-    listed = np.argsort(top.column("w").to_numpy())
-    known = top.column("w").to_numpy()[listed]
-    counts = np.column_stack([top.column(c).to_numpy()[listed] for c in ("target", "background")]).reshape(-1, 2)
-    # number 0 is the start, 1 the unknown word
-    unknown = np.array([(totals[k] or 0) - counts[:, k].sum() for k in (0, 1)])
-    unigrams = np.vstack([[0, 0], unknown, counts]).astype(np.float64)
-    lexicon = spark.sparkContext.broadcast((known, unigrams))
-    size = len(unigrams)
-    buckets = int(unigrams.sum() // BUCKET_TOKENS) + 1
+    lexicon = None
+    if vocabulary is not None:
+        top = most_frequent(common.written(count_words(rows), "words"), vocabulary).toArrow()
+        lexicon = spark.sparkContext.broadcast(np.sort(top.column("w").to_numpy().view(np.uint64)))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes, part, serial = lexicon.value[0], common.WordHashes(), TaskContext.get().partitionId(), 0
+        hashes, part, serial = common.WordHashes(), TaskContext.get().partitionId(), 0
         ids, flags, lengths, held, total = [], [], [], [], 0
         id_type = None
 
         def block() -> pa.RecordBatch:
-            data = np.concatenate(held) if held else np.empty(0, np.int64)
+            values = np.concatenate(held) if held else np.empty(0, np.uint64)
+            if lexicon is not None:
+                values = np.where(np.isin(values, lexicon.value), values, UNKNOWN)
+            found, place = np.unique(values, return_inverse=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([serial], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([flags], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data.astype("<u4" if size > 1 << 16 else "<u2").tobytes()], pa.binary())],
-                names=["part", "serial", "ids", "flags", "lengths", "numbers"],
+                [pa.array([part], pa.int32()), pa.array([serial], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([flags], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int64())), pa.array([found.astype("<u8").tobytes()], pa.binary()), pa.array([planes(place.astype("<u4"))], pa.binary())],
+                names=["part", "serial", "ids", "flags", "lengths", "words", "places"],
             )
 
         for batch in common.pieces(batches, "text"):
             id_type = batch.schema.field("id").type
             words = [words_of(t) for t in common.byte_texts(batch, "text")]
-            values = hashes.of([w for ws in words for w in ws]).view(np.int64)
-            place = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
-            held.append(np.where(known[place] == values, place + 2, 1) if len(known) else np.ones(len(values), np.int64))
+            held.append(hashes.of([w for ws in words for w in ws]))
             ids += batch.column("id").to_pylist()
             flags += batch.column("target").to_pylist()
             lengths += [len(ws) for ws in words]
-            total += len(values)
+            total += len(held[-1])
             if total >= block_tokens:
                 yield block()
                 serial += 1
@@ -140,56 +152,56 @@ def score_documents(docs: DataFrame, target: str, *, vocabulary: int = VOCABULAR
         if ids:
             yield block()
 
-    blocks = common.written(rows.mapInArrow(number, f"part int, serial int, ids array<{kind}>, flags array<boolean>, lengths array<long>, numbers binary"), "blocks")
+    blocks = common.written(rows.mapInArrow(number, f"part int, serial int, ids array<{kind}>, flags array<boolean>, lengths array<long>, words binary, places binary"), "blocks")
 
-    with_words = blocks.select(F.explode(F.arrays_zip("flags", "lengths")).alias("d")).where("d.lengths > 0").groupBy("d.flags").count().collect()
-    starts_of = tuple(float(sum(r["count"] for r in with_words if r["flags"] is flag)) for flag in (True, False))
+    sizes_of = blocks.select(F.explode(F.arrays_zip("flags", "lengths")).alias("d")).where("d.lengths > 0").groupBy("d.flags").agg(F.count("*").alias("texts"), F.sum("d.lengths").alias("tokens")).collect()
+    starts_of, tokens_of = (tuple(float(sum(r[c] for r in sizes_of if r["flags"] is flag)) for flag in (True, False)) for c in ("texts", "tokens"))
+    # the first buckets are those of words
+    word_buckets, gram_buckets = int(sum(tokens_of) // (4 * BUCKET_TOKENS)) + 1, int(sum(tokens_of) // BUCKET_TOKENS) + 1
+    wide = "<u4" if sum(tokens_of) < 1 << 32 else "<u8"
 
-    def grams(numbers: bytes, lengths: list[int]) -> np.ndarray:
-        """Of each token its bigram: number of the word before (the start at the first) times the size of the vocabulary, plus its own."""
-        own = np.frombuffer(numbers, "<u4" if size > 1 << 16 else "<u2").astype(np.int64)
-        before = np.concatenate([[0], own[:-1]]) if len(own) else own
+    def keys_of(words: bytes, places: bytes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct words and of the distinct bigrams; of each token the place of its word, of its bigram, and that of the word before (-1 at the first)."""
+        known, own = np.frombuffer(words, "<u8"), from_planes(places, "<u4").astype(np.int64)
+        before = np.concatenate([[-1], own[:-1]]) if len(own) else own
         sizes = np.array(lengths, np.int64)
-        first = (np.cumsum(sizes) - sizes)[sizes > 0]
-        before[first] = 0
-        return before * size + own
-
-    def dealt(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct bigrams in the order of their buckets, where each bucket begins, and the place of every key among them."""
-        found, place = np.unique(keys, return_inverse=True)
-        bucket = (common.mixed(found.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return found[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[place]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = -1
+        left = np.append(known, START)[before]
+        grams, place = np.unique(common.mixed(common.mixed(left) * np.uint64(0x9E3779B97F4A7C15) + known[own]), return_inverse=True)
+        return known, grams, own, place, before
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = bucket_bounds(word_buckets), bucket_bounds(gram_buckets)
         for batch in batches:
-            for part, serial, flags, lengths, numbers in zip(*(batch.column(c).to_pylist() for c in ("part", "serial", "flags", "lengths", "numbers")), strict=True):
-                found, begins, place = dealt(grams(numbers, lengths))
-                inside = np.bincount(place, weights=np.repeat(np.array(flags, bool), lengths), minlength=len(found)).astype("<u4")
-                counts = np.column_stack([inside, np.bincount(place, minlength=len(found)).astype("<u4") - inside]).astype("<u4")
-                filled = np.flatnonzero(np.diff(begins))
-                cut = [(int(begins[b]), int(begins[b + 1])) for b in filled]
+            for part, serial, flags, lengths, words, places in zip(*(batch.column(c).to_pylist() for c in ("part", "serial", "flags", "lengths", "words", "places")), strict=True):
+                known, grams, own, place, _ = keys_of(words, places, lengths)
+                flag = np.repeat(np.array(flags, bool), lengths)
+                out: list[tuple[int, bytes, bytes]] = []
+                for keys, at, limits, first in ((known, own, bounds[0], 0), (grams, place, bounds[1], word_buckets)):
+                    inside = np.bincount(at, weights=flag, minlength=len(keys)).astype("<u4")
+                    counts = np.column_stack([inside, np.bincount(at, minlength=len(keys)).astype("<u4") - inside]).astype("<u4")
+                    begins = [0, *np.searchsorted(keys, limits).tolist(), len(keys)]
+                    out += [(first + b, planes(np.diff(keys[x:y], prepend=np.uint64(0)).astype("<u8")), planes(counts[x:y])) for b, (x, y) in enumerate(zip(begins, begins[1:])) if x < y]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(filled), pa.array(np.full(len(filled), part, np.int32)), pa.array(np.full(len(filled), serial, np.int32)), pa.array([found[x:y].astype("<u8").tobytes() for x, y in cut], pa.binary()), pa.array([counts[x:y].tobytes() for x, y in cut], pa.binary())],
-                    names=["bucket", "part", "serial", "grams", "counts"],
+                    [pa.array([o[0] for o in out], pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array([serial] * len(out), pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())],
+                    names=["bucket", "part", "serial", "keys", "counts"],
                 )
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
         def settle() -> pa.RecordBatch:
-            keys = [np.frombuffer(h[2], "<u8") for h in held]
+            keys = [np.cumsum(from_planes(h[2], "<u8"), dtype=np.uint64) for h in held]
             found, place = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = np.concatenate([np.frombuffer(h[3], "<u4") for h in held]).reshape(-1, 2)
-            sums = np.column_stack([np.bincount(place, weights=counts[:, k], minlength=len(found)) for k in (0, 1)]).astype("<u4")
+            counts = np.concatenate([from_planes(h[3], "<u4") for h in held]).reshape(-1, 2)
+            sums = np.column_stack([np.bincount(place, weights=counts[:, k], minlength=len(found)) for k in (0, 1)]).astype(wide)
             ends = np.cumsum([len(k) for k in keys])
-            data = [sums[place[e - len(k) : e]].tobytes() for e, k in zip(ends.tolist(), keys, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.int32()), pa.array([bucket] * len(held), pa.int64()), pa.array(data, pa.binary())], names=["part", "serial", "bucket", "sums"])
+            data = [planes(sums[place[e - len(k) : e]]) for e, k in zip(ends.tolist(), keys, strict=True)]
+            new = [len(found) if bucket < word_buckets else 0] + [0] * (len(held) - 1)
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.int32()), pa.array([bucket] * len(held), pa.int64()), pa.array(data, pa.binary()), pa.array(new, pa.int64())], names=["part", "serial", "bucket", "sums", "new_words"])
 
         for batch in batches:
-            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "serial", "grams", "counts")), strict=True):
+            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "serial", "keys", "counts")), strict=True):
                 if b != bucket and held:
                     yield settle()
                     held = []
@@ -198,30 +210,33 @@ def score_documents(docs: DataFrame, target: str, *, vocabulary: int = VOCABULAR
         if held:
             yield settle()
 
-    seen = blocks.select("part", "serial", "flags", "lengths", "numbers").mapInArrow(count, "bucket long, part int, serial int, grams binary, counts binary")
-    sums = seen.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "part int, serial int, bucket long, sums binary")
+    seen = blocks.select("part", "serial", "flags", "lengths", "words", "places").mapInArrow(count, "bucket long, part int, serial int, keys binary, counts binary")
+    # a row of a bucket is a block's share of it: as many go to a task's Python together as hold some 16 MB
+    with common.rows_per_batch(spark, min(10_000, max(64, 2 * gram_buckets))):
+        sums = common.written(seen.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "part int, serial int, bucket long, sums binary, new_words long"), "sums")
+    # the start and the unknown word are symbols too
+    size = 2 + (int(sums.agg(F.sum("new_words")).first()[0] or 0) if lexicon is None else len(lexicon.value))
     answers = sums.groupBy("part", "serial").agg(F.collect_list(F.struct("bucket", "sums")).alias("answers"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigrams = lexicon.value[1]
-        plain = (unigrams + 1) / (unigrams.sum(axis=0) + size)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 lengths = row.column("lengths")[0].as_py()
-                keys = grams(row.column("numbers")[0].as_py(), lengths)
+                known, _, own, place, before = keys_of(row.column("words")[0].as_py(), row.column("places")[0].as_py(), lengths)
                 told = sorted((a["bucket"], a["sums"]) for a in row.column("answers")[0].as_py() or [])
-                sums, place = np.frombuffer(b"".join(x for _, x in told), "<u4").reshape(-1, 2), dealt(keys)[2]
+                sums = np.concatenate([np.empty(0, wide), *(from_planes(x, wide) for _, x in told)]).reshape(-1, 2).astype(np.float64)
+                unigrams, joint = sums[: len(known)], sums[len(known) :]
                 losses = []
                 for side in (0, 1):
-                    joint = sums[place, side]
-                    context = np.where(keys // size == 0, starts_of[side], unigrams[keys // size, side])
-                    losses.append(-np.log((joint + prior * plain[keys % size, side]) / (context + prior)))
+                    plain = (unigrams[:, side] + 1) / (tokens_of[side] + size)
+                    context = np.append(unigrams[:, side], starts_of[side])[before]
+                    losses.append(-np.log((joint[place, side] + prior * plain[own]) / (context + prior)))
                 sizes = np.array(lengths, np.int64)
                 ends = np.cumsum(sizes)
                 mean = [np.diff(np.concatenate([[0.0], np.cumsum(x)])[np.concatenate([[0], ends])]) / np.maximum(sizes, 1) for x in losses]
                 ids = row.column("ids").flatten()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    joined = blocks.join(answers, ["part", "serial"], "left").select("ids", "lengths", "numbers", "answers")
+    joined = blocks.join(answers, ["part", "serial"], "left").select("ids", "lengths", "words", "places", "answers")
     return joined.mapInArrow(score, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
