@@ -163,6 +163,18 @@ def test_quality_of_odd_documents(spark, docs, rows, none):
         assert {r["score"] for r in quality_crf.score(docs, quality_crf.train(docs, some)).collect()} == {share}
 
 
+def test_training_fetches_no_more_than_its_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b\nc")] * 5 + [(2, "# *\n|")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    taken = []
+    fit = quality_crf.fit
+    monkeypatch.setattr(quality_crf, "fit", lambda x, words, starts, y: taken.append((len(x), len(y))) or fit(x, words, starts, y))
+    quality_crf.train(docs, labels, most=6, most_lines=400)
+    quality_crf.train(docs, labels, most_lines=400)
+    quality_crf.train(docs, labels, most=50, most_lines=40)
+    assert taken == [(12, 6), (16, 8), (16, 8)]
+
+
 # 4 ----------------------------------------------------------------------------------------------
 
 

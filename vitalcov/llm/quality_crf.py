@@ -4,8 +4,10 @@ A line's evidence is a vector of measures of the line itself and, through window
 each pair of neighbouring labels. Forward-backward gives each line's marginal probability of good; the document's is their mean, weighted by the
 number of words (lines without a word weigh nothing). A logistic calibration on the same labelled rows turns that mean into the score.
 
-Training: the labelled texts' lines carry their document's label. It takes at most `most` labelled documents, those with the smallest hash of the id (a documented
-bound); Spark computes their line features and the driver gets numbers only, for at most `most_lines` lines.
+Training: the labelled texts' lines carry their document's label. It takes at most `most` label rows, those with the smallest hash of the id, and of the rows of
+documents they meet at most `most`, in the same order, as long as their running sum of lines stays within `most_lines` (documented bounds). The sum is taken in Spark from line counts
+alone; only then are line features of the chosen rows computed, and the driver gets numbers only, for at most `most_lines` lines. A text of more than
+`most_lines` // 20 lines is not learnt from, so that no text is more than a twentieth of the sample; scoring covers every text whole.
 
 A null or empty text, and one without a word, is one empty line with features of its own, so it too gets a score from the model. Equal texts get equal scores.
 Labels that are null, or of ids without a document, are left out; a repeated label counts as often as it stands. Without labels, or with labels of one kind only,
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -188,6 +190,18 @@ def fit(x: np.ndarray, words: np.ndarray, starts: np.ndarray, labels: np.ndarray
     return Model(mean, scale, theta[:-4], pair, max(float(a), 0.05), float(b))
 
 
+def within(rows: DataFrame, most: int, most_lines: int) -> DataFrame:
+    """Of (rank, id, label, t, text) the groups of equal rows that the sample takes, as c_rank, c_id, c_label and c_t, and how often (`times`): the first
+    `most` rows in the order of those columns whose running sum of lines stays within `most_lines`. Numbers only; no more than `most` groups."""
+    n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long") + 1
+    groups = rows.select("rank", "id", "label", "t", n.alias("n")).where(F.col("n") <= most_lines // 20).groupBy("rank", "id", "label", "t").agg(F.min("n").alias("n"), F.count("*").alias("rows"))
+    first = groups.orderBy("rank", "id", "label", "t").limit(most)  # a row each at least, so no later group can be among the first `most` rows
+    order = Window.orderBy("rank", "id", "label", "t").rowsBetween(Window.unboundedPreceding, -1)
+    before = first.withColumns({"rows_before": F.coalesce(F.sum("rows").over(order), F.lit(0)), "lines_before": F.coalesce(F.sum(F.col("rows") * F.col("n")).over(order), F.lit(0))})
+    times = F.least(F.col("rows"), F.lit(most) - F.col("rows_before"), F.floor((F.lit(most_lines) - F.col("lines_before")) / F.col("n")))
+    return before.select(F.col("rank").alias("c_rank"), F.col("id").alias("c_id"), F.col("label").alias("c_label"), F.col("t").alias("c_t"), times.cast("long").alias("times")).where("times > 0")
+
+
 def train(docs: DataFrame, labels: DataFrame, *, fold: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 4000, most_lines: int = 400_000) -> Model:
     """`fold`: condition on the label rows to learn from. `most`, `most_lines`: the bounds of the sample."""
     wanted = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -195,21 +209,23 @@ def train(docs: DataFrame, labels: DataFrame, *, fold: Column | None = None, id_
         wanted = wanted.where(fold)
     wanted = wanted.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     sample = wanted.orderBy(F.xxhash64("id"), "id", "label").limit(most)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("rank"), "label", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("rank"), "id", "label", F.xxhash64("text").alias("t"), "text")
+    chosen = within(rows, most, most_lines)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
-            found = [line_features(t or b"") for t in common.byte_texts(batch, "text")]
-            data = [np.column_stack([own, words]).astype("<f4").tobytes() for own, words in found]
-            yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("label"), pa.array([len(w) for _, w in found], pa.int64()), pa.array(data, pa.binary())], names=["rank", "label", "n", "data"])
-
-    measured = rows.mapInArrow(measure, "rank long, label int, n long, data binary").where(F.col("n") <= most_lines // 20).toArrow().to_pylist()
+            out = []
+            for rank, label, times, text in zip(*(batch.column(c).to_pylist() for c in ("rank", "label", "times")), common.byte_texts(batch, "text"), strict=True):
+                data = np.column_stack(line_features(text or b"")).astype("<f4").tobytes()
+                out.append((rank, label, times, data))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["rank", "label", "times", "data"])
+
+    # one row of each group of equal ones is fetched; `times` says how many the sample holds
+    one = rows.join(F.broadcast(chosen), (rows["rank"] == chosen["c_rank"]) & rows["id"].eqNullSafe(chosen["c_id"]) & (rows["label"] == chosen["c_label"]) & rows["t"].eqNullSafe(chosen["c_t"]))
+    one = one.groupBy("rank", "id", "label", "t").agg(F.min("text").alias("text"), F.min("times").alias("times")).select("rank", "label", "times", "text")
+    measured = one.mapInArrow(measure, "rank long, label int, times long, data binary").toArrow().to_pylist()
     measured.sort(key=lambda r: (r["rank"], r["label"], r["data"]))
-    held, chosen = 0, []
-    for r in measured:
-        if held + r["n"] <= most_lines:
-            held += r["n"]
-            chosen.append(r)
+    chosen = [r for r in measured for _ in range(r["times"])]
     y = np.array([r["label"] for r in chosen])
     if len(set(y.tolist())) < 2:
         empty = np.zeros(3 * N_FEATURES)
