@@ -269,6 +269,16 @@ def test_pieces_give_the_ids_of_the_whole_text(name, spaced, rows):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_literal_special_tokens_have_the_ids_of_the_plain_library_call(name, spaced):
+    texts = ["<|endoftext|>", "a b, c.<|endoftext|>d e.\nf <|endoftext|> g", "x <|startoftext|>y\n<|endoftext|>\nz", "<|endoftext|><|endoftext|> ", "<|EndOfText|> a", *ODD_TEXTS]
+    texts += [f"{t}<|endoftext|>{t}" for t in ODD_TEXTS]
+    encoder, plain = tokens.Encoder(public_tokenizers.path(name), spaced, limit=50), Tokenizer.from_file(public_tokenizers.path(name))
+    for _ in range(3):
+        got = [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_blocks_of_tokens_come_back():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 3000):

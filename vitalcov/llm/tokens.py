@@ -108,12 +108,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.literal = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.pieces = Pieces(self.tokenizer, "\n" if spaced else "~", limit)
 
+    def parts(self, text: str) -> list[str]:
+        """The pieces of `text`; an added token that stands in it literally is one, as the library looks for these first and takes what is between as texts of their own."""
+        if not any(a in text for a in self.added):
+            return cut(text)
+        return [p for k, x in enumerate(self.literal.split(text)) for p in ([x] if k % 2 else cut(x))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
-        parts = [cut(t) for t in texts]
+        parts = [self.parts(t) for t in texts]
         self.pieces.learn(set().union(*parts))
         return [b"".join(map(self.pieces.__getitem__, p)) for p in parts]
 
