@@ -1,0 +1,284 @@
+"""Fill-in-the-middle, whitening and pattern packing against plain versions, and their queries at small scale."""
+
+import collections
+import hashlib
+import re
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from test_llm_operators import bag, odd_rows
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+from vitalcov.llm import fill_middle, pattern_packing, whitening
+
+SMALL = "/root/testdata/sf0.001"
+MORE = [(300, "a <P> b"), (301, "x <S>"), (302, " lead and trail \n"), (303, "é ü　日本 x"), (304, "<P"), (305, "<P <S <M > S> M> <"), (306, " a b\x1c c")]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return odd_rows() + MORE + [(i, f"line {i} of\nsome <text> here, number {i} ") for i in range(400, 500)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = {"row": F.lit("r"), "a b": F.lit(1), "N": F.lit(2), "Output": F.lit(3), "h1": F.lit(4), "c0": F.lit("z"), "x`y": F.lit(5)}
+    return made.withColumns(extra).repartition(5).cache()
+
+
+# 11 ---------------------------------------------------------------------------------------------
+
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def brute_fill(doc_id, text):
+    text = text or ""
+    units = UNIT.findall(text)
+    h = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+    n = len(units)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    x, y, z = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 50:
+        return doc_id, n, "plain", None, None, text
+    if h4 % 100 < 80:
+        return doc_id, n, "spm", len(x), len(y), f"<S>{z}<P>{x}<M>{y}"
+    return doc_id, n, "psm", len(x), len(y), f"<P>{x}<S>{z}<M>{y}"
+
+
+def test_fill_in_middle(docs, rows):
+    made = fill_middle.fill_in_middle(docs)
+    got = made.select("doc_id", *fill_middle.NEW).collect()
+    assert bag(tuple(r) for r in got) == bag(brute_fill(*r) for r in rows)
+    assert {r["form"] for r in got} == {"plain", "psm", "spm"}
+    again = made.select("doc_id", fill_middle.restored(F.col("output"), F.col("form")).alias("text")).collect()
+    assert bag(tuple(r) for r in again) == bag((i, t or "") for i, t in rows)
+
+
+def test_fill_in_middle_keeps_other_columns(docs):
+    made = fill_middle.fill_in_middle(docs)
+    assert made.columns == ["doc_id", "row", "a b", "h1", "c0", "x`y", *fill_middle.NEW]
+    assert [tuple(r) for r in made.select("row", "`a b`", "h1", "c0", "`x``y`").distinct().collect()] == [("r", 1, 4, "z", 5)]
+    assert fill_middle.fill_in_middle(docs.where("false")).collect() == []
+    with pytest.raises(ValueError, match="name of a new column"):
+        fill_middle.fill_in_middle(docs.withColumnRenamed("doc_id", "form"), id_col="form")
+
+
+def test_skip_lists_find_every_rank():
+    rnd = np.random.default_rng(4)
+    for fan in (2, 3, 8):
+        units = np.array([0, 1, fan, fan + 1, 0, 500, fan**3, fan**3 - 1, 2])
+        chars = rnd.integers(1, 9, units.sum())
+        lists = fill_middle.SkipLists(units, chars, fan)
+        text = np.repeat(np.arange(len(units)), units + 1)
+        rank = np.concatenate([np.arange(u + 1) for u in units])
+        ends = np.cumsum(units)
+        want = [int(chars[e - u : e - u + r].sum()) for u, e in zip(units, ends, strict=True) for r in range(u + 1)]
+        assert lists.find(text, rank).tolist() == want
+        assert len(lists.lanes) <= 2 + np.log(units.max()) / np.log(fan)
+        for _, counts, unit_width, _ in lists.lanes:
+            assert unit_width.sum() == units.sum() and (counts >= np.minimum(units, 1)).all()
+
+
+def test_fill_in_middle_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    query = entry.queries()["op11_fill_middle"](spark, SMALL)
+    cursor = con.execute(entry.oracle_sql()["op11_fill_middle"])
+    names = [c[0] for c in cursor.description]
+    assert names == query.columns
+    assert bag(tuple(r) for r in query.collect()) == bag(cursor.fetchall())
+
+
+# 12 ---------------------------------------------------------------------------------------------
+
+
+def plain_whitening(vectors, components=4):
+    """Mean, covariance and its eigenvectors of the distinct whole-number vectors, by a dense solver."""
+    usable = [v for v in vectors if v is not None and None not in v and np.isfinite(np.array(v, float)).all()]
+    x = np.unique(np.floor(256 * np.array(usable, float)).astype(np.int64), axis=0)
+    mean = x.sum(axis=0) / len(x)
+    values, turn = np.linalg.eigh((x - mean).T @ (x - mean) / len(x))
+    return len(x), x.sum(axis=0), mean, values[::-1], turn[:, ::-1][:, :components]
+
+
+def check_whitening(spark, made, vectors):
+    n, sums, mean, values, turn = plain_whitening([v for _, v in vectors])
+    got = collections.defaultdict(dict)
+    for r in made.collect():
+        got[r["vec_id"]].setdefault(r["component"], []).append(r)
+    count = len(next(iter(got.values())))
+    signs = None
+    for i, v in vectors:
+        if v is None or None in v or not np.isfinite(np.array(v, float)).all():
+            assert i not in got
+            continue
+        x = np.floor(256 * np.array(v, float)).astype(np.int64)
+        for k in range(count):
+            r = got[i][k + 1][0]
+            assert r["n"] == n and r["deviation"] == sum((n * int(a) - int(s)) ** 2 for a, s in zip(x, sums, strict=True))
+            assert abs(r["explained"] / (values[k] / values.sum()) - 1) < 1e-10 and r["identity_error"] < 1e-9
+        want = (x - mean) @ turn[:, :count] / np.sqrt(values[:count])
+        have = np.array([got[i][k + 1][0]["whitened"] for k in range(count)])
+        if signs is None:
+            signs = np.sign(want * have)
+        assert np.abs(have * signs - want).max() < 1e-7
+    return count
+
+
+def test_whitening_of_the_small_table(spark):
+    vectors = [tuple(r) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    assert check_whitening(spark, entry.queries()["op12_embedding_whitening"](spark, SMALL), vectors) == 4
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Vectors of 150 dimensions with a slowly falling spectrum, so that the filter has work to do, and odd ones."""
+    rnd = np.random.default_rng(2)
+    x = (rnd.standard_normal((900, 150)) * np.linspace(1.15, 1, 150) @ np.linalg.qr(rnd.standard_normal((150, 150)))[0]).tolist()
+    vectors = [(i, v) for i, v in enumerate(x)]
+    vectors += [(1000 + k, x[3]) for k in range(500)]  # a third of all rows are one vector
+    vectors += [(2000, None), (2001, [None, *x[0][1:]]), (2002, [float("nan"), *x[0][1:]]), (2003, [float("inf"), *x[0][1:]])]
+    return vectors
+
+
+def test_whitening_by_filtered_passes(spark, many):
+    made = spark.createDataFrame([*many, (3000, [1.0, 2.0]), (3001, []), (None, None)], "vec_id long, embedding array<double>").repartition(7)
+    model = whitening.fit(made)
+    assert model.n == 900 and 20 < model.passes < 200 and model.residuals.max() < 1e-11 * model.values[0]
+    out = whitening.whiten(made, model)
+    assert out.where("vec_id IN (3000, 3001) OR vec_id IS NULL").count() == 0
+    assert check_whitening(spark, out, many) == 4
+
+
+class Dense(whitening.Covariance):
+    """The same products from a matrix at hand."""
+
+    def __init__(self, matrix):
+        self.matrix, self.dims, self.passes = matrix, len(matrix), 0
+
+    def times(self, block):
+        self.passes += 1
+        return self.matrix @ block
+
+
+@pytest.mark.parametrize("kind", ["flat", "tied", "steep", "gapped", "low rank", "one", "cluster"])
+def test_components_of_many_spectra(kind):
+    rnd = np.random.default_rng(3)
+    d = 200
+    values = {
+        "flat": np.ones(d), "tied": np.r_[np.full(120, 2.0), np.ones(80)], "steep": 0.5 ** np.arange(d), "gapped": np.r_[1e6, 1e3, 5, 4, np.linspace(1.01, 1, d - 4)],
+        "low rank": np.r_[5.0, 4, 3, 2, 1, np.zeros(d - 5)], "one": np.r_[7.0, np.zeros(d - 1)], "cluster": np.r_[np.linspace(2, 1.9, 60), np.linspace(1.5, 0, d - 60)],
+    }[kind]
+    turn = np.linalg.qr(rnd.standard_normal((d, d)))[0]
+    matrix = (turn * values) @ turn.T
+    cov = Dense((matrix + matrix.T) / 2)
+    theta, vectors, residuals = whitening.leading(cov, 4)
+    assert np.abs(theta - values[:4]).max() < 1e-11 * values[0] and residuals.max() <= 1e-11 * values[0]
+    assert np.abs(vectors.T @ vectors - np.eye(4)).max() < 1e-12
+    assert cov.passes < 700
+
+
+def test_whitening_of_little(spark):
+    schema = "vec_id long, embedding array<float>"
+    for rows in ([], [(1, None)], [(1, [1.0, 2.0]), (2, [1.0, 2.0])], [(1, [])]):
+        made = spark.createDataFrame(rows, schema)
+        assert whitening.whiten(made, whitening.fit(made)).collect() == []
+    made = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], schema)
+    got = whitening.whiten(made, whitening.fit(made)).orderBy("vec_id").collect()
+    assert [(r["component"], r["n"], r["deviation"], abs(round(r["whitened"], 9)), r["explained"]) for r in got] == [(1, 2, 256**2, 1.0, 1.0)] * 3
+
+
+def test_deviations_beyond_a_long(spark):
+    made = spark.createDataFrame([(1, [0.0, 2.0**40]), (2, [1.0, -(2.0**40)]), (3, [2.0, 1e300])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["deviation"] for r in whitening.whiten(made, whitening.fit(made)).where("component = 1").collect()}
+    assert got == {1: None, 2: None, 3: None}
+
+
+# 13 ---------------------------------------------------------------------------------------------
+
+
+def check_packing(pieces, rows, length, ids):
+    """Every id in exactly one piece, sequences gapless and within the length, only longer documents cut."""
+    want = collections.Counter()
+    for (i, _), x in zip(rows, ids, strict=True):
+        first = len(x) % length or length
+        cuts = [0, *range(first, len(x), length), len(x)] if len(x) > length else [0, len(x)]
+        want.update((i, k, a, b - a, np.array(x[a:b], "<u4").tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in pieces) == want
+    places = collections.defaultdict(list)
+    for r in pieces:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in places.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1]] and sum(n for _, n in spans) <= length
+    return len(places), -(-sum(map(len, ids)) // length)
+
+
+@pytest.mark.parametrize("length", [1024, 16])
+def test_pattern_packing(docs, rows, length, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(pattern_packing, "MOST_BROADCAST", 1 << 24 if length == 16 else 0)
+    pieces = pattern_packing.pack(docs, path, 2, length=length).collect()
+    plain = Tokenizer.from_file(path)
+    ids = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows]
+    used, least = check_packing(pieces, rows, length, ids)
+    assert used <= least + max(2, 0.03 * least)
+
+
+def test_pattern_packing_of_nothing(docs):
+    assert pattern_packing.pack(docs.where("false"), public_tokenizers.path("byte_bpe_50k.json"), 2).collect() == []
+
+
+def test_the_query_packs_the_small_table(spark):
+    pieces = entry.queries()["op13_pattern_packing"](spark, SMALL).collect()
+    tokens = sum(r["length"] for r in pieces)
+    assert len({r["sequence_id"] for r in pieces}) <= -(-tokens // 1024) + 2
+
+
+def used_by(plan):
+    out = collections.Counter()
+    for way, repeats in plan:
+        for size in way:
+            out[size] += repeats
+    return out
+
+
+def test_patterns_fill_a_sequence_exactly():
+    ways = pattern_packing.patterns(np.array([1, 2, 3, 5, 7, 8]), 10)
+    assert sorted(tuple(w) for w in ways.tolist()) == [(0, 2, 8), (0, 3, 7), (0, 5, 5), (1, 1, 8), (1, 2, 7), (2, 3, 5)]
+
+
+def test_plans_use_every_piece_once():
+    rnd = np.random.default_rng(6)
+    for length in (10, 64, 257):
+        for scale in (1, 30, 5000):
+            histogram = rnd.integers(0, scale + 1, length + 1)
+            histogram[0] = 0
+            runs = pattern_packing.plan_runs(histogram, length)
+            ends = {tuple(r[:2]) for r in runs.tolist()}
+            assert len(ends) == len(runs)
+            left = histogram.copy()
+            left[length] = 0
+            ways = pattern_packing.patterns(np.flatnonzero(left), length)
+            made, rest = pattern_packing.rounded(ways, pattern_packing.fitted(ways, left), left)
+            plan = made + pattern_packing.best_fit(rest.copy(), length)
+            assert used_by(plan) == {k: int(n) for k, n in enumerate(left) if n}
+            assert all(sum(way) <= length and repeats > 0 for way, repeats in plan)
+            assert sum(c for _, c in plan) <= 1.01 * sum(c for _, c in pattern_packing.best_fit(left.copy(), length)) + 3
+
+
+def test_the_fit_finds_counts_that_exist():
+    ways = pattern_packing.patterns(np.arange(1, 40), 40)
+    rnd = np.random.default_rng(8)
+    x = np.where(rnd.random(len(ways)) < 0.1, rnd.integers(1, 50, len(ways)), 0)
+    histogram = sum(np.bincount(ways[:, k], weights=x, minlength=41) for k in range(3)).astype(np.int64)
+    histogram[0] = 0
+    found = pattern_packing.fitted(ways, histogram, 2000)
+    used = sum(np.bincount(ways[:, k], weights=found, minlength=41) for k in range(3))
+    assert (found >= 0).all() and np.abs(used - histogram)[1:].max() < 0.02 * histogram.max()

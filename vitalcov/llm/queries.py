@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalcov.llm import common, decontaminate, jaccard_join, langid, line_dedup, lm_score, packing, quality_crf, rules, substring_dedup, token_files
+from vitalcov.llm import common, decontaminate, fill_middle, jaccard_join, langid, line_dedup, lm_score, packing, pattern_packing, quality_crf, rules, substring_dedup, token_files, whitening
 
 #: Files of the public tokenizers that the two token queries use.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -79,6 +79,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(docs, "target")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = {"output_sha256": F.col("output"), "restored_sha256": fill_middle.restored(F.col("output"), F.col("form"))}
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(c.cast("binary"), 256).alias(name) for name, c in digests.items()])
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pattern_packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 2, length=1024, spaced=True)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -90,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_pattern_packing": op13_pattern_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +116,5 @@ ORACLES: dict[str, str] = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
     "op5_quality_rules": rules.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
