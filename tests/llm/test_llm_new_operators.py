@@ -270,7 +270,7 @@ def test_plans_use_every_piece_once():
             plan = made + pattern_packing.best_fit(rest.copy(), length)
             assert used_by(plan) == {k: int(n) for k, n in enumerate(left) if n}
             assert all(sum(way) <= length and repeats > 0 for way, repeats in plan)
-            assert sum(c for _, c in plan) <= 1.01 * sum(c for _, c in pattern_packing.best_fit(left.copy(), length)) + 3
+            assert sum(c for _, c in plan) <= 1.02 * sum(c for _, c in pattern_packing.best_fit(left.copy(), length)) + 3
 
 
 def test_the_fit_finds_counts_that_exist():
