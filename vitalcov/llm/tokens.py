@@ -7,6 +7,7 @@ So a text may be cut before such spaces, stops and commas and around such line f
 
 from __future__ import annotations
 
+import array
 import os
 import re
 
@@ -31,6 +32,11 @@ def _kind(code: int) -> str:
 
 
 KINDS = "".join(map(_kind, range(256))).encode("ascii")
+#: Single pre-tokens of a byte-level vocabulary, surely, one a line.
+LETTERS = re.compile("^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$", re.M)
+#: Bytes without a visible character of their own (but the line feed) are, in their order, the characters from 256 on.
+_HIDDEN = [b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)}]
+VISIBLE = [(chr(b), chr(256 + k)) for k, b in enumerate(_HIDDEN) if b == 32 or b > 126]
 
 
 def cut(text: str) -> list[str]:
@@ -53,7 +59,8 @@ class Pieces(dict):
     A piece seen for the first time waits among the `fresh` ones; seen again, it moves here. When `fresh` is full it starts anew, so memory is bounded
     and what stays are pieces that recur.
 
-    Unknown pieces are encoded many at a time: one text in which a mark of a single token stands between them.
+    With a byte-level vocabulary, an unknown piece of Latin letters with at most one space before them is a single pre-token, and the library's model takes it as it is.
+    Other unknown pieces are encoded many at a time: one text in which a mark of a single token stands between them.
     Pieces that hold the mark or white space at their end, and texts that do not come back with one token for each mark, go one by one.
     """
 
@@ -63,6 +70,21 @@ class Pieces(dict):
         self.between = mark if mark.isspace() else f" {mark} "
         ids = self.encoded(f"a{self.between}a")
         self.mark_id = int(ids[1]) if len(ids) == 3 else -1
+        # byte-level: the model knows each byte as a visible character, and nothing changes the text before
+        alphabet = tokenizer.pre_tokenizer.pre_tokenize_str("".join(map(chr, [32, *range(33, 127)]))) if tokenizer.pre_tokenizer else []
+        self.direct = tokenizer.normalizer is None and "".join(x for x, _ in alphabet)[:2] == "\u0120!" and self.same_directly()
+
+    def same_directly(self) -> bool:
+        """Whether the model gives the library's ids for some single pre-tokens."""
+        some = ["the", " of", " Straße", "éÀÿíà", " I", " unforeseeable"]
+        return self.directly(some) == [self.encoded(p).tobytes() for p in some]
+
+    def directly(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens, by the model alone."""
+        shown, tokenize = "\n".join(pieces).encode().decode("latin-1"), self.tokenizer.model.tokenize
+        for byte, char in VISIBLE:
+            shown = shown.replace(byte, char)
+        return [array.array("I", [t.id for t in tokenize(p)]).tobytes() for p in shown.split("\n")]
 
     def __missing__(self, piece: str) -> bytes:
         return self.fresh[piece]
@@ -84,6 +106,11 @@ class Pieces(dict):
                 new.append(piece)
         if len(fresh) + len(new) > self.limit * 3 // 4:
             self.fresh = fresh = {p: fresh[p] for p in wanted & fresh.keys()}
+        if self.direct:
+            letters = LETTERS.findall("\n".join(p for p in new if "\n" not in p))
+            if letters:
+                fresh.update(zip(letters, self.directly(letters), strict=True))
+                new = [p for p in new if p not in fresh]
         mark = self.mark
         easy = [p for p in new if mark not in p and p and not p[-1].isspace()] if self.mark_id >= 0 else []
         if len(easy) < len(new):
