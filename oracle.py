@@ -429,7 +429,160 @@ for _name, _body in CTES.items():
         by_sex, by_place = "JOIN e_open e ON a.sex = e.sex", "JOIN e_place e ON a.sex = e.sex AND a.geo_code = e.geo_code"
         LEVEL_CTES[_name] = _body.replace(by_sex, by_place)
 
+# the second census corrected, or both by half: the recursion on the rescaled counts
+def _rescaled(first: str, second: str) -> dict[str, str]:
+    return CTES | {
+        "rates_b": f"""SELECT a.geo_code, a.sex, a.age_band, a.deaths, e.e_open,
+      CASE WHEN a.pop1 > 0 AND a.pop2 > 0 THEN ln(a.pop2 * {second} / (a.pop1 * {first})) / 4 ELSE 0 END AS r,
+      CASE WHEN q.pop1 > 0 AND a.pop2 > 0 THEN sqrt(q.pop1 * {first} * a.pop2 * {second}) / 5 END AS arrivals
+    FROM ddm_input a JOIN e_open e ON a.sex = e.sex JOIN fit_r2 f ON a.geo_code = f.geo_code AND a.sex = f.sex
+    LEFT JOIN ddm_input q ON q.geo_code = a.geo_code AND q.sex = a.sex AND q.age_band = a.age_band - 5"""
+    }
+
+
+# a fit by the mean distance of the points from the line
+CUSTOM_CTES: dict[str, str] = {}
+for _name, _body in CTES.items():
+    if _name == "fit_r2":
+        CUSTOM_CTES["distances"] = """SELECT m.geo_code, m.sex, m.lo, m.hi, round(avg(abs(p.ggb_left - sqrt(vl) / sqrt(vr) * p.ggb_right
+        - (ml - sqrt(vl) / sqrt(vr) * mr))), 12) AS mad
+      FROM moments m JOIN points p ON p.geo_code = m.geo_code AND p.sex = m.sex AND p.age_band BETWEEN m.lo AND m.hi
+      WHERE vl > 0 AND vr > 0 AND p.ggb_left IS NOT NULL AND p.ggb_right IS NOT NULL GROUP BY 1, 2, 3, 4"""
+        _body = """SELECT geo_code, sex, lo, hi, ggb, delta FROM (
+      SELECT f.*, row_number() OVER (PARTITION BY f.geo_code, f.sex ORDER BY mad, f.lo, f.hi) AS rank
+      FROM fits f JOIN distances d ON d.geo_code = f.geo_code AND d.sex = f.sex AND d.lo = f.lo AND d.hi = f.hi
+      WHERE points >= 8 AND slope > 0) WHERE rank = 1"""
+    CUSTOM_CTES[_name] = _body
+
+# levels of each place: those by sex, moved by the last digit of its code
+PLACE_CTES = CTES | {
+    "place_levels": """SELECT k.geo_code, l.sex, l.ratio + k.shift AS ratio, l.e_open - k.shift AS e_open
+      FROM (SELECT DISTINCT geo_code, sex, coalesce(TRY_CAST(geo_code AS INTEGER), 0) % 4 / 10 AS shift
+            FROM population WHERE year IN (1996, 2000)) k JOIN levels l ON l.sex = k.sex""",
+    "read_levels": """SELECT d.geo_code, d.sex, d.death_ratio,
+      (SELECT max_by(e_open, ratio) FROM place_levels l WHERE l.geo_code = d.geo_code AND l.sex = d.sex AND l.ratio <= d.death_ratio) AS e0,
+      (SELECT max(ratio) FROM place_levels l WHERE l.geo_code = d.geo_code AND l.sex = d.sex AND l.ratio <= d.death_ratio) AS r0,
+      (SELECT min_by(e_open, ratio) FROM place_levels l WHERE l.geo_code = d.geo_code AND l.sex = d.sex AND l.ratio > d.death_ratio) AS e1,
+      (SELECT min(ratio) FROM place_levels l WHERE l.geo_code = d.geo_code AND l.sex = d.sex AND l.ratio > d.death_ratio) AS r1
+    FROM death_ratios d""",
+}
+
+# infants and children apart, and two bands of ten years
+_UNEVEN = (0, 1, 5, 10, 15, 20, 25, 30, 35, 45, 55, 60, 65, 70, 75, 80)
+_BREAKS = "[" + ", ".join(map(str, _UNEVEN)) + "]"
+_BAND = f"CAST(list_max(list_filter({_BREAKS}, lambda x: x <= age)) AS INTEGER)"
+
+
+def _uneven_counts(records: str) -> str:
+    banded = f"(SELECT year, geo_code, sex, CASE WHEN age >= 0 AND age < 125 THEN {_BAND} END AS age_band FROM {records})"
+    return f"""SELECT year, geo_code, sex, age_band, count(*) AS n FROM {banded} GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT year, 'BR', sex, age_band, count(*) FROM {banded} GROUP BY 1, 2, 3, 4"""
+
+
+def _uneven_rates(first: str, source: str) -> str:
+    """Growth and arrivals of the bands, the first count multiplied by ``first``."""
+    return f"""SELECT a.geo_code, a.sex, a.age_band, a.deaths, e.e_open, g.w, g.next_age,
+      CASE WHEN a.pop1 > 0 AND a.pop2 > 0 THEN ln(a.pop2 / (a.pop1 * {first})) / 4 ELSE 0 END AS r,
+      CASE WHEN q.pop1 > 0 AND a.pop2 > 0 THEN sqrt(q.pop1 * {first} / g.w_prev * (a.pop2 / g.w))
+        * CASE WHEN a.pop1 > 0 AND q.pop2 > 0 AND g.w <> g.w_prev
+          THEN pow(q.pop1 * {first} / g.w_prev / (a.pop2 / g.w)
+            * exp(2 * (ln(a.pop2 / (a.pop1 * {first})) / 4 + ln(q.pop2 / (q.pop1 * {first})) / 4)), g.w / (g.w + g.w_prev) - 0.5)
+          ELSE 1 END END AS arrivals
+    FROM ddm_input a JOIN grid g ON g.age_band = a.age_band JOIN e_open e ON a.sex = e.sex {source}
+    LEFT JOIN ddm_input q ON q.geo_code = a.geo_code AND q.sex = a.sex AND q.age_band = g.prev_age"""
+
+
+def _uneven_generations(rates: str) -> str:
+    return f"""SELECT geo_code, sex, age_band, deaths * (exp(r * e_open) - (r * e_open) * (r * e_open) / 6) AS v
+      FROM {rates} WHERE age_band = 80
+    UNION ALL
+    SELECT q.geo_code, q.sex, q.age_band, p.v * exp(q.w * q.r) + q.deaths * exp(q.w * q.r / 2)
+      FROM {rates}_gen p JOIN {rates} q ON p.geo_code = q.geo_code AND p.sex = q.sex AND q.next_age = p.age_band"""
+
+
+_PARTNER = """(SELECT sum(CASE WHEN gy.next_age IS NULL THEN y.{0}
+        ELSE y.{0} * (least({1} + g.w, gy.next_age) - greatest({1}, y.age_band)) / gy.w END)
+      FROM ddm_input y JOIN grid gy ON gy.age_band = y.age_band WHERE y.geo_code = x.geo_code AND y.sex = x.sex
+        AND {1} >= 0 AND {1} + g.w > y.age_band AND (gy.next_age IS NULL OR gy.next_age > {1}))"""
+
+UNEVEN_CTES: dict[str, str] = {}
+for _name, _body in CTES.items():
+    UNEVEN_CTES[_name] = {
+        "death_counts": _uneven_counts("death_records"),
+        "state_population": CTES["state_population"].replace("floor(least(floor((l_quantity - 1) * 1.8e0), 80) / 5) * 5", _BAND.replace("<= age", "<= floor((l_quantity - 1) * 1.8e0)")),
+        "bands": f"SELECT CAST(unnest({_BREAKS}) AS INTEGER) AS age_band",
+        "mid_population": f"""SELECT x.geo_code, x.sex, x.age_band,
+      CASE WHEN x.age_band < 75 THEN sqrt(x.pop1 * {_PARTNER.format('pop2', '(x.age_band + 10)')})
+           ELSE sqrt({_PARTNER.format('pop1', '(x.age_band - 10)')} * x.pop2) END AS pop_mid
+    FROM ddm_input x JOIN grid g ON g.age_band = x.age_band""",
+        "points": """SELECT c.geo_code, c.sex, c.age_band, r.arrivals, sqrt(c.pop1_cum * c.pop2_cum) AS exposure,
+      CASE WHEN c.pop1_cum > 0 AND c.pop2_cum > 0 THEN r.arrivals / sqrt(c.pop1_cum * c.pop2_cum) - g.rx END AS ggb_left,
+      CASE WHEN c.pop1_cum > 0 AND c.pop2_cum > 0 THEN c.deaths_cum / sqrt(c.pop1_cum * c.pop2_cum) END AS ggb_right
+    FROM cumulated c JOIN growth g ON c.geo_code = g.geo_code AND c.sex = g.sex AND c.age_band = g.age_band
+    JOIN rates_a r ON c.geo_code = r.geo_code AND c.sex = r.sex AND c.age_band = r.age_band""",
+        "spans": "SELECT a.age_band AS lo, b.age_band AS hi FROM bands a CROSS JOIN bands b WHERE a.age_band >= 15 AND b.age_band <= 75 AND b.age_band > a.age_band",
+        "rates_a_gen": _uneven_generations("rates_a"),
+        "rates_b": _uneven_rates("(1 / f.delta)", "JOIN fit_r2 f ON a.geo_code = f.geo_code AND a.sex = f.sex"),
+        "rates_b_gen": _uneven_generations("rates_b"),
+    }.get(_name, _body)
+    if _name == "bands":
+        UNEVEN_CTES["grid"] = """SELECT age_band, lead(age_band) OVER (ORDER BY age_band) AS next_age, lag(age_band) OVER (ORDER BY age_band) AS prev_age,
+      CAST(coalesce(lead(age_band) OVER (ORDER BY age_band) - age_band, age_band - lag(age_band) OVER (ORDER BY age_band)) AS DOUBLE) AS w,
+      CAST(age_band - lag(age_band) OVER (ORDER BY age_band) AS DOUBLE) AS w_prev FROM bands"""
+    if _name == "mid_population":  # growth of the bands comes before the points made of it
+        UNEVEN_CTES["e_open"] = CTES["e_open"]
+        UNEVEN_CTES["rates_a"] = _uneven_rates("1.0", "")
+UNEVEN_CTES["rates_a"] = _uneven_rates("1.0", "")
+
+DIRTY = f"""SELECT l_orderkey + l_linenumber AS key, o_orderdate, CAST(11 + n_regionkey AS VARCHAR) || lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS code,
+      l_linenumber, l_linestatus, l_returnflag, l_quantity {_PLACED}"""
+HIERARCHY_CTES = CTES | {
+    "placed_records": f"""SELECT CASE WHEN key % 14 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year,
+      CASE WHEN key % 11 NOT IN (0, 1, 3) THEN code END AS code,
+      CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linestatus = 'F' THEN 'Feminino' ELSE 'Masculino' END AS sex,
+      CASE WHEN l_linenumber < 6 OR l_returnflag <> 'R' THEN CAST(floor((l_quantity - 1) * 1.8e0) AS INTEGER) END AS age FROM ({DIRTY})""",
+    "placed_cells": """SELECT year, code, sex, CASE WHEN age >= 85 THEN 85 ELSE age - age % 5 END AS age_band FROM placed_records""",
+    "faulty_deaths": DIRTY,
+}
+
+_LEVELS = {"municipality": "left(code, 6)", "state": "left(code, 2)", "region": "left(code, 1)", "country": "'BR'"}
+MORE: dict[str, tuple[dict[str, str], str]] = {
+    "age_band_breaks": (CTES, f"""SELECT r.year, r.geo_code, r.sex, b.lo AS age_band, CAST(b.hi - b.lo AS INTEGER) AS band_width FROM death_records r
+      LEFT JOIN (SELECT CAST(unnest({_BREAKS}) AS INTEGER) AS lo, unnest([*({_BREAKS})[2:], NULL]) AS hi) b
+        ON r.age >= b.lo AND r.age < coalesce(b.hi, 125)""".replace("[*(", "list_concat((").replace(")[2:], NULL]", ")[2:], [NULL])")),
+    "tabulate_breaks": (UNEVEN_CTES, "SELECT * FROM death_counts"),
+    "ggb_points_uneven": (UNEVEN_CTES, FINAL["ggb_points"]),
+    "ggb_fit_uneven": (UNEVEN_CTES, FINAL["ggb_fit"]),
+    "seg_uneven": (UNEVEN_CTES, FINAL["seg"]),
+    "ggb_seg_uneven": (UNEVEN_CTES, FINAL["ggb_seg"]),
+    "mid_population_uneven": (UNEVEN_CTES, FINAL["mid_population"]),
+    "birth_coverage_uneven": (UNEVEN_CTES, FINAL["birth_coverage"]),
+    "ggb_seg_second": (_rescaled("1", "f.delta"), FINAL["ggb_seg"]),
+    "ggb_seg_both": (_rescaled("(1 / sqrt(f.delta))", "sqrt(f.delta)"), FINAL["ggb_seg"]),
+    "ggb_fit_custom": (CUSTOM_CTES, FINAL["ggb_fit"]),
+    "tabulate_hierarchy": (HIERARCHY_CTES, " UNION ALL ".join(
+        f"SELECT year, sex, age_band, '{level}' AS level, {code} AS geo_code, count(*) AS n FROM placed_cells GROUP BY ALL" for level, code in _LEVELS.items())),
+    "population_hierarchy": (CTES, " UNION ALL ".join(
+        f"SELECT year, sex, age_band, '{level}' AS level, {code} AS geo_code, CAST(sum(pop) AS BIGINT) AS pop FROM state_population GROUP BY ALL"
+        for level, code in {"state": "geo_code", "zone": "CASE WHEN CAST(geo_code AS INTEGER) % 2 = 0 THEN 'even' ELSE 'odd' END", "country": "'BR'"}.items())),
+    "record_quality": (HIERARCHY_CTES, """SELECT 'deaths' AS kind, unnest(['records', 'no_age', 'bad_age', 'age_outside', 'bad_sex', 'bad_place', 'undated', 'filed_elsewhere']) AS metric,
+        unnest([count(*), 0, count(*) FILTER (l_linenumber >= 6 AND l_returnflag = 'R'), 0, count(*) FILTER (l_linenumber = 7), count(*) FILTER (key % 11 IN (0, 1, 3)),
+          count(*) FILTER (key % 7 = 0), count(*) FILTER (key % 7 <> 0 AND key % 17 = 0)]) AS n FROM faulty_deaths
+      UNION ALL SELECT 'births', unnest(['records', 'no_age', 'bad_age', 'age_outside', 'bad_sex', 'bad_place']),
+        unnest([count(*), 0, count(*) FILTER (mother_age = 'ign'), 0, count(*) FILTER (sex_code NOT IN ('1', '2')), 0]) FROM raw_births"""),
+    "e_open_levels_by_place": (PLACE_CTES, f"""SELECT geo_code, sex, {_r(6, 'death_ratio', 'e_open')} FROM (SELECT geo_code, sex, death_ratio,
+        CASE WHEN r0 IS NULL THEN e1 WHEN r1 IS NULL THEN e0 ELSE e0 + (e1 - e0) * (death_ratio - r0) / (r1 - r0) END AS e_open FROM read_levels)"""),
+    "stored_deaths": (CTES, "SELECT *, CAST(year(death_date) AS INTEGER) AS year FROM raw_deaths WHERE year(death_date) IN (1996, 2000)"),
+    "stored_births": (CTES, "SELECT * FROM raw_births WHERE year IN (1996, 2000)"),
+    "stored_population": (CTES, """SELECT year, geo_code, CASE sex WHEN 'Feminino' THEN 'Female' ELSE 'Male' END AS sex_label,
+        CASE WHEN age_band IS NULL THEN 'Total' WHEN age_band = 80 THEN 'From 80 years or more' ELSE 'From ' || age_band || ' to ' || (age_band + 4) || ' years' END AS age_label,
+        CAST(sum(pop) AS BIGINT) AS pop
+      FROM (SELECT * FROM state_population UNION ALL SELECT year, geo_code, sex, NULL, pop FROM state_population) WHERE year IN (1996, 2000) GROUP BY 1, 2, 3, 4"""),
+    "stored_counts": (CTES, "SELECT * FROM death_counts WHERE year = 1996"),
+}
+
 ORACLES: dict[str, str] = {name: sql_for(final, CTES) for name, final in FINAL.items()}
 ORACLES["birth_coverage_smoothed"] = sql_for(FINAL["birth_coverage"], SMOOTH_CTES)
 ORACLES["birth_coverage_median"] = sql_for(FINAL["birth_coverage"], MEDIAN_CTES)
 ORACLES["birth_coverage_levels"] = sql_for(FINAL["birth_coverage"], LEVEL_CTES)
+ORACLES |= {name: sql_for(final, blocks) for name, (blocks, final) in MORE.items()}

@@ -15,9 +15,11 @@ from vitalcov.operators import checks, coverage as C, ddm as D, redistribute as
 from vitalcov.operators.cumulate import cohort_mid_population, growth_rates
 from vitalcov.plans import estimate as E
 from vitalcov.plans import pipeline as P
-from vitalcov.sources import dims, order_tables as O
+from vitalcov.sources import dims, order_tables as O, scratch, tables
 
 YEARS = (1996, 2000)
+#: Infants and children apart, and two bands of ten years.
+UNEVEN = (0, 1, 5, 10, 15, 20, 25, 30, 35, 45, 55, 60, 65, 70, 75, 80)
 E_OPEN = {"Feminino": 8.0, "Masculino": 7.0}
 # an illustrative table: any (ratio, e_open) steps do, the real ones come from the user's life tables
 E_OPEN_LEVELS = {
@@ -51,6 +53,18 @@ def births(spark, d, years=None):
     return R.redistribute_unknown(birth_counts(spark, d, years))
 
 
+def uneven_deaths(spark, d):
+    return R.redistribute_unknown(T.tabulate_events(T.slim_deaths(O.raw_deaths(spark, d, YEARS), dims.SEX_LABELS), breaks=UNEVEN))
+
+
+def uneven_population(spark, d):
+    return T.population_counts(O.raw_population(spark, d, YEARS, breaks=UNEVEN), YEARS)
+
+
+def uneven_input(spark, d):
+    return D.ddm_input(uneven_deaths(spark, d), uneven_population(spark, d), *YEARS, UNEVEN)
+
+
 def population(spark, d, years=None):
     return T.population_counts(O.raw_population(spark, d, years), years)
 
@@ -92,6 +106,14 @@ def age_band(spark, d):
     return T.with_age_band(scan_slim(spark, d))
 
 
+def age_band_breaks(spark, d):
+    return T.with_breaks(scan_slim(spark, d), UNEVEN)
+
+
+def tabulate_breaks(spark, d):
+    return T.tabulate_events(scan_slim(spark, d), breaks=UNEVEN)
+
+
 def decode_labels(spark, d):
     codebook = spark.sql("SELECT * FROM VALUES ('1', 'Masculino'), ('2', 'Feminino') AS t(sex_code, sex)")
     counted = T.count_by(T.slim_births(O.raw_births(spark, d), codebook), ["geo_code", "sex"])
@@ -110,6 +132,10 @@ def tabulate_births(spark, d):
 
 def tabulate_dirty(spark, d):
     """Codes of other lengths, with blanks, and records without a date of which some have their file's year."""
+    return T.tabulate_events(T.slim_deaths(_dirty_deaths(spark, d), dims.SEX_LABELS))
+
+
+def _dirty_deaths(spark, d):
     key = F.col("l_orderkey") + F.col("l_linenumber")
     raw = O.raw_deaths(spark, d, extra={"_key": key})
     code = F.col("mun_code")
@@ -118,14 +144,32 @@ def tabulate_dirty(spark, d):
         .when(key_is(11, 2), F.concat(F.lit(" "), code, F.lit(" "))).when(key_is(11, 3), F.concat(F.lit("x"), F.substring(code, 2, 6))).otherwise(code)
     )
     undated = key_is(7, 0)
-    filed = raw.withColumns(
+    return raw.withColumns(
         {
             "mun_code": broken,
             "year": F.when(~key_is(14, 0), F.year("death_date")),
             "death_date": F.when(~undated, F.col("death_date")),
         }
     )
-    return T.tabulate_events(T.slim_deaths(filed, dims.SEX_LABELS))
+
+
+def tabulate_hierarchy(spark, d):
+    """Municipality, state, region and country in one pass, some codes being no codes."""
+    records = T.slim_deaths(_dirty_deaths(spark, d), dims.SEX_LABELS, place=T.place_levels())
+    return T.tabulate_hierarchy(records, ["municipality", "state", "region"])
+
+
+def population_hierarchy(spark, d):
+    zone = F.when(F.col("geo_code").cast("int") % 2 == 0, "even").otherwise("odd")
+    return T.population_hierarchy(O.raw_population(spark, d, all_ages=True), {"state": F.col("geo_code"), "zone": zone})
+
+
+def record_quality(spark, d):
+    """Faults of death records, of which some are filed a year late, and of birth records."""
+    late = _dirty_deaths(spark, d).withColumn("year", F.col("year") + F.when(key_is(17, 0), 1).otherwise(0))
+    kinds = {"deaths": late, "births": O.raw_births(spark, d)}
+    faults = [checks.record_quality(raw, kind, dims.SEX_LABELS) for kind, raw in kinds.items()]
+    return faults[0].unionByName(faults[1])
 
 
 def key_is(modulus, rest):
@@ -211,6 +255,35 @@ def ddm_input(spark, d):
     return _rounded(method_input(spark, d), 6, "deaths")
 
 
+# storage ---------------------------------------------------------------------------------------
+
+
+def _stored(df, name, schema):
+    path = scratch.shared_folder(df.sparkSession, name)
+    tables.write_table(df, path, schema, rebalance=schema.endswith("_raw"))
+    return path
+
+
+def stored_deaths(spark, d):
+    """All records written in folders of years, two years read back."""
+    raw = O.raw_deaths(spark, d).withColumn("year", F.year("death_date"))
+    return tables.read_deaths(spark, _stored(raw, "deaths", "deaths_raw"), YEARS)
+
+
+def stored_births(spark, d):
+    return tables.read_births(spark, _stored(O.raw_births(spark, d), "births", "births_raw"), YEARS)
+
+
+def stored_population(spark, d):
+    return tables.read_population(spark, _stored(O.raw_population(spark, d, all_ages=True), "population", "population_raw"), YEARS)
+
+
+def stored_counts(spark, d):
+    """Counts saved by one step and loaded by the next, which wants one year of them."""
+    counts = tables.read_table(spark, _stored(death_counts(spark, d), "deaths_counts", "counts"), "counts")
+    return counts.where(F.col("year") == YEARS[0])
+
+
 # windows ---------------------------------------------------------------------------------------
 
 
@@ -271,6 +344,78 @@ def ggb_seg(spark, d):
     return _rounded(combined.where(F.col("age_band") == 0).select("geo_code", "sex", "ggbseg"), 9, "ggbseg")
 
 
+def ggb_fit_custom(spark, d):
+    """The run with the smallest mean distance from its line: a criterion that the library does not have."""
+
+    def distance(ages, x, y, slope, intercept):
+        return float(abs(y - slope * x - intercept).mean())
+
+    return _ggb(spark, d, D.FitSearch(criterion=distance))
+
+
+def _rescaled(spark, d, rescale):
+    rows = D.attach_e_open(method_input(spark, d), e_open(spark))
+    combined = D.ggb_seg(D.ggb(D.method_points(rows)), rescale=rescale)
+    return _rounded(combined.where(F.col("age_band") == 0).select("geo_code", "sex", "ggbseg"), 9, "ggbseg")
+
+
+def ggb_seg_second(spark, d):
+    return _rescaled(spark, d, "second")
+
+
+def ggb_seg_both(spark, d):
+    return _rescaled(spark, d, "both")
+
+
+def uneven_points(spark, d):
+    rows = D.attach_e_open(uneven_input(spark, d), e_open(spark))
+    return D.method_points(rows, bands=UNEVEN)
+
+
+def ggb_points_uneven(spark, d):
+    cols = ["arrivals", "exposure", "ggb_left", "ggb_right"]
+    return _rounded(uneven_points(spark, d), 6, *cols).select("geo_code", "sex", "age_band", *cols)
+
+
+def ggb_fit_uneven(spark, d):
+    fitted = D.ggb(uneven_points(spark, d), bands=UNEVEN)
+    one = fitted.where(F.col("age_band") == 0).select("geo_code", "sex", "fit_lo", "fit_hi", "ggb", "delta")
+    return _rounded(one, 9, "ggb", "delta")
+
+
+def seg_uneven(spark, d):
+    rows = D.seg(uneven_points(spark, d))
+    return _rounded(rows.where(F.col("age_band") == 0).select("geo_code", "sex", "seg"), 6, "seg")
+
+
+def ggb_seg_uneven(spark, d):
+    combined = D.ggb_seg(D.ggb(uneven_points(spark, d), bands=UNEVEN))
+    return _rounded(combined.where(F.col("age_band") == 0).select("geo_code", "sex", "ggbseg"), 9, "ggbseg")
+
+
+def mid_population_uneven(spark, d):
+    mid = cohort_mid_population(uneven_input(spark, d), years=10)
+    return _rounded(mid, 6, "pop_mid").select("geo_code", "sex", "age_band", "pop_mid")
+
+
+def place_levels(spark, d):
+    """Levels of their own for every place and sex, derived from the table by sex."""
+    places = population(spark, d, YEARS).select("geo_code", "sex").distinct()
+    shift = F.coalesce(F.col("geo_code").try_cast("int"), F.lit(0)) % 4 / 10
+    steps = F.lit(None).cast("array<struct<ratio:double,e_open:double>>")
+    for sex, known in E_OPEN_LEVELS.items():
+        table = F.array(*[F.struct(F.lit(r).alias("ratio"), F.lit(e).alias("e_open")) for r, e in known])
+        steps = F.when(F.col("sex") == sex, table).otherwise(steps)
+    rows = places.select("geo_code", "sex", F.inline(steps))
+    return rows.select("geo_code", "sex", (F.col("ratio") + shift).alias("ratio"), (F.col("e_open") - shift).alias("e_open"))
+
+
+def e_open_levels_by_place(spark, d):
+    read = D.with_e_open(D.method_points(method_input(spark, d)), place_levels(spark, d))
+    one = read.where(F.col("age_band") == 0).select("geo_code", "sex", "death_ratio", "e_open")
+    return _rounded(one, 6, "death_ratio", "e_open")
+
+
 def e_open_levels(spark, d):
     read = D.e_open_from_levels(D.method_points(method_input(spark, d)), dims.e_open_levels_table(spark, E_OPEN_LEVELS))
     one = read.where(F.col("age_band") == 0).select("geo_code", "sex", "death_ratio", "e_open")
@@ -355,6 +500,12 @@ def birth_coverage_levels(spark, d):
     return _with_settings(spark, d, dims.e_open_levels_table(spark, E_OPEN_LEVELS), D.Settings())
 
 
+def birth_coverage_uneven(spark, d):
+    cols = ["cbr", "birth_rate_implied", "coverage_b", "completeness"]
+    counts = [uneven_deaths(spark, d), births(spark, d, YEARS), uneven_population(spark, d)]
+    return _rounded(E.estimate_birth_coverage(*counts, e_open(spark), YEARS, D.Settings(bands=UNEVEN)), 6, *cols)
+
+
 def compare_years(spark, d):
     return _rounded(C.compare_years(estimates(spark, d), *YEARS), 6, "coverage_y1", "coverage_y2")
 
@@ -436,4 +587,23 @@ QUERIES: dict[str, Query] = {
     "region_result": region_result,
     "display_order": display_order,
     "state_names": state_names,
+    "age_band_breaks": age_band_breaks,
+    "tabulate_breaks": tabulate_breaks,
+    "ggb_points_uneven": ggb_points_uneven,
+    "ggb_fit_uneven": ggb_fit_uneven,
+    "seg_uneven": seg_uneven,
+    "ggb_seg_uneven": ggb_seg_uneven,
+    "mid_population_uneven": mid_population_uneven,
+    "birth_coverage_uneven": birth_coverage_uneven,
+    "ggb_seg_second": ggb_seg_second,
+    "ggb_seg_both": ggb_seg_both,
+    "ggb_fit_custom": ggb_fit_custom,
+    "tabulate_hierarchy": tabulate_hierarchy,
+    "population_hierarchy": population_hierarchy,
+    "record_quality": record_quality,
+    "e_open_levels_by_place": e_open_levels_by_place,
+    "stored_deaths": stored_deaths,
+    "stored_births": stored_births,
+    "stored_population": stored_population,
+    "stored_counts": stored_counts,
 }

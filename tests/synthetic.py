@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-BANDS = range(0, 85, 5)
+BANDS = tuple(range(0, 85, 5))
 DDL = (
     "geo_code string, sex string, age_band int, year1 int, year2 int, "
     "pop1 double, pop2 double, deaths double, e_open double"
@@ -25,14 +25,20 @@ def _integral(f, lo: float, hi: float, steps: int = 400) -> float:
     return h * sum(f(lo + (i + 0.5) * h) for i in range(steps))
 
 
-def stable_rows(geo: str, sex: str, death_share: float, first_count_share: float, growth=0.02, years=10, births=1e6):
-    """Age rows with ``death_share`` of the deaths registered and the first count scaled."""
+def stable_population(bands, geo: str, sex: str, death_share: float, first_count_share: float, growth=0.02, years=10, births=1e6, density=False):
+    """Age rows on any grid, with ``death_share`` of the deaths registered and the first count scaled; with ``density`` (place, sex, age, people per year of age)."""
+    if density:
+        return [(geo, sex, x, births * math.exp(-growth * x) * _survivors(x)) for x in bands]
     rows = []
-    for x in BANDS:
-        top = 130 if x == 80 else x + 5
+    for x, top in zip(bands, (*bands[1:], 130)):
         size = births * _integral(lambda a: math.exp(-growth * a) * _survivors(a), x, top)
         dying = births * _integral(lambda a: math.exp(-growth * a) * _survivors(a) * _hazard(a), x, top)
         mean_factor = (math.exp(growth * years) - 1) / (growth * years)
         rows.append((geo, sex, x, 2000, 2000 + years, size * first_count_share, size * math.exp(growth * years),
-                     death_share * dying * mean_factor, _integral(_survivors, 80, 130) / _survivors(80)))
+                     death_share * dying * mean_factor, _integral(_survivors, bands[-1], 130) / _survivors(bands[-1])))
     return rows
+
+
+def stable_rows(geo: str, sex: str, death_share: float, first_count_share: float, growth=0.02, years=10, births=1e6):
+    """Age rows in bands of five years."""
+    return stable_population(BANDS, geo, sex, death_share, first_count_share, growth, years, births)

@@ -8,7 +8,7 @@ every later branch.
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +39,12 @@ def number(col: Column, dtype: str = "double") -> Column:
     return col.try_cast(dtype)
 
 
+def municipality_code(mun_code: Column) -> Column:
+    """Municipality code of six digits, whether it came with a check digit or without; anything else gives NULL."""
+    code = F.trim(mun_code)
+    return F.when(code.rlike(r"^\d{6,7}$"), F.substring(code, 1, 6))
+
+
 def code_prefix(code: Column, end: int) -> Column:
     """Leading part of a code up to the ``end``-th character from its right (``end`` negative).
 
@@ -63,6 +69,52 @@ def age_band(age: Column, width: int = 5, limit: int = 125) -> Column:
     return F.when((age >= 0) & (age < limit), (F.floor(age / width) * width).cast("int"))
 
 
+def check_breaks(breaks: Iterable[int]) -> tuple[int, ...]:
+    """The breaks as a tuple; they must rise and be at least one."""
+    found = tuple(breaks)
+    if not found or any(a >= b for a, b in zip(found, found[1:])):
+        raise ValueError(f"breaks must rise: {found}")
+    return found
+
+
+def _search(value: Column, values: tuple[tuple[int, Column], ...]) -> Column:
+    """The second of the last pair whose first is not above ``value``: a balanced tree of comparisons."""
+    if len(values) == 1:
+        return values[0][1]
+    middle = len(values) // 2
+    return F.when(value < values[middle][0], _search(value, values[:middle])).otherwise(_search(value, values[middle:]))
+
+
+def band_of(age: Column, breaks: Iterable[int], limit: int | None = 125) -> Column:
+    """Lower bound of the band holding ``age``: band i is ``[breaks[i], breaks[i + 1])``, the last one ends at ``limit``, or never.
+
+    NULL for no age, one that is not a number, and one outside. One expression of binary search in the literal breaks: a row
+    costs the logarithm of their number in comparisons, and no table of breaks is joined.
+    """
+    breaks = check_breaks(breaks)
+    if limit is not None and limit <= breaks[-1]:
+        raise ValueError(f"the last band must begin below {limit}")
+    inside = (age >= breaks[0]) & ~F.isnan(age.cast("double"))
+    if limit is not None:
+        inside = inside & (age < limit)
+    return F.when(inside, _search(age, tuple((b, F.lit(b)) for b in breaks))).cast("int")
+
+
+def on_breaks(band: Column, breaks: Iterable[int], values: Sequence[int | None]) -> Column:
+    """The value that belongs to the lower bound ``band``, one of ``values`` for each of ``breaks``; NULL for what is no lower bound."""
+    breaks = check_breaks(breaks)
+    if set(values) == {values[0]}:
+        return F.when(band.isin(*breaks), F.lit(values[0])).cast("int")
+    pairs = tuple(zip(breaks, (F.lit(v).cast("int") for v in values), strict=True))
+    return F.when(band.isin(*breaks), _search(band, pairs)).cast("int")
+
+
+def band_width(band: Column, breaks: Iterable[int]) -> Column:
+    """Years from the lower bound ``band`` to the next of ``breaks``; NULL for the open band and for what is no lower bound."""
+    breaks = check_breaks(breaks)
+    return on_breaks(band, breaks, [*(b - a for a, b in zip(breaks, breaks[1:])), None])
+
+
 def top_code(band: Column, open_age: int) -> Column:
     """Fold every band from ``open_age`` on into the open band; NULL stays NULL."""
     return F.when(band >= open_age, F.lit(open_age)).otherwise(band).cast("int")
@@ -70,10 +122,7 @@ def top_code(band: Column, open_age: int) -> Column:
 
 def onto_grid(band: Column, bands: Iterable[int]) -> Column:
     """The largest of ``bands`` that is not above ``band``; NULL below all of them."""
-    out = F.lit(None).cast("int")
-    for low in sorted(set(bands)):
-        out = F.when(band >= low, F.lit(low)).otherwise(out)
-    return out
+    return band_of(band, sorted(set(bands)), None)
 
 
 def yearly_mean(total: Column, n_years: int) -> Column:

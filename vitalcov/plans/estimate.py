@@ -16,6 +16,11 @@ from vitalcov.operators.tabulate import CELL, densify
 EVENT_BANDS = tuple(range(0, 90, 5))
 
 
+def event_bands(bands: Sequence[int] = D.BANDS) -> tuple[int, ...]:
+    """The bands that counts of events are kept in beside a grid: the grid's, and the open one of the import, from 85 on."""
+    return tuple(sorted({*bands, EVENT_BANDS[-1]}))
+
+
 def neighbour_years(years: Sequence[int], span: int = 3) -> tuple[int, ...]:
     """All years that the centred means of ``years`` draw on."""
     half = span // 2
@@ -68,9 +73,12 @@ def age_rows(
     table is joined back to the rows it came from. ``e_open`` is a table of values or of levels.
     """
     s = settings
-    rows = cohort_mid_population(D.ddm_input(deaths, pop, year1, year2, s.bands), s.shift, s.switch_age)
-    points = D.with_e_open(D.method_points(rows), e_open)
-    return C.adjusted_deaths(D.with_death_coverage(points, s.search, s.seg_ages, s.ggbseg_ages, s.summary))
+    widths = {b - a for a, b in zip(s.bands, s.bands[1:])}
+    years = None if len(widths) == 1 else s.shift * D.common_width(s.bands)
+    rows = cohort_mid_population(D.ddm_input(deaths, pop, year1, year2, s.bands), s.shift, s.switch_age, years=years)
+    points = D.with_e_open(D.method_points(rows, bands=s.bands), e_open)
+    covered = D.with_death_coverage(points, s.search, s.seg_ages, s.ggbseg_ages, s.summary, bands=s.bands, rescale=s.rescale)
+    return C.adjusted_deaths(covered)
 
 
 def estimate_birth_coverage(

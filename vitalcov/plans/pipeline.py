@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from vitalcov.functions import scalars as S
 from vitalcov.operators import coverage as C
 from vitalcov.operators import ddm as D
-from vitalcov.operators.checks import missing_bands, unmatched_keys
+from vitalcov.operators.checks import missing_bands, observe_records, quality_rows, unmatched_keys
 from vitalcov.operators.redistribute import redistribute_unknown, redistribution_mass
-from vitalcov.operators.tabulate import CELL, population_counts, slim_births, slim_deaths, tabulate_events
-from vitalcov.plans.estimate import age_rows, neighbour_years, smooth_counts
+from vitalcov.operators.tabulate import CELL, code_lookup, population_counts, slim_births, slim_deaths, tabulate_events
+from vitalcov.plans.estimate import age_rows, event_bands, neighbour_years, smooth_counts
 from vitalcov.schemas import SCHEMAS
 from vitalcov.sources.dims import SEX_LABELS
 from vitalcov.sources.tables import read_table, write_table
@@ -65,14 +65,20 @@ def count_records(
     place: Column | None = None,
 ) -> None:
     """Step 1: records and population to counts. With ``keep_records`` the slim records are saved
-    too, and the counts are then made from the saved files. ``place``: the expression of a record's place, its state if not given."""
-    codebook = SEX_LABELS if codebook is None else codebook
-    records = {"deaths": slim_deaths(deaths_raw, codebook, place), "births": slim_births(births_raw, codebook, place)}
-    for kind, rows in records.items():
+    too, and the counts are then made from the saved files. ``place``: the expression of a record's place, its state if not given.
+
+    The pass that counts the records also counts their faults (bad ages, codes and dates), saved as ``record_quality``."""
+    codebook = code_lookup(SEX_LABELS if codebook is None else codebook, "sex_code", "sex")
+    observed = {}
+    for kind, raw, slim in (("deaths", deaths_raw, slim_deaths), ("births", births_raw, slim_births)):
+        watched, observed[kind] = observe_records(raw, kind, codebook)
+        rows = slim(watched, codebook, place)
         if keep_records:
             job.save(rows, f"{kind}_records", "records", rebalance=True)
             rows = job.load(rows.sparkSession, f"{kind}_records", "records")
         job.save(tabulate_events(rows), f"{kind}_counts", "counts")
+    found = quality_rows({kind: seen.get for kind, seen in observed.items()})
+    write_table(deaths_raw.sparkSession.createDataFrame(found, SCHEMAS["record_quality"]), job.path(job.pair("record_quality")), "record_quality")
     job.save(population_counts(population_raw, job.years), "population", "population")
 
 
@@ -124,7 +130,7 @@ def estimate(
         told = []
         for kind, df in wanted.items():
             held = sorted(r["year"] for r in df.select("year").distinct().collect())
-            smooth = smooth_counts(df, held, job.years, span=job.span)
+            smooth = smooth_counts(df, held, job.years, event_bands(settings.bands), job.span)
             job.save(smooth, job.pair(f"{kind}_smoothed"), "spread_counts")
             wanted[kind] = job.load(spark, job.pair(f"{kind}_smoothed"), "spread_counts")
             told += [(kind, year, len([y for y in held if abs(y - year) <= job.span // 2])) for year in job.years]

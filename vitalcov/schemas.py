@@ -29,6 +29,7 @@ SCHEMAS: dict[str, str] = {
     "spread_mass": "kind string, year int, geo_code string, n_before double, n_after double, n_lost double",
     "unmatched": f"{_CELL}, side string, n double",
     "missing_bands": f"kind string, {_CELL}",
+    "record_quality": "kind string, metric string, n bigint",
     "smoothed_years": "kind string, year int, n_years int",
     "estimates": (
         "geo_code string, sex string, year int, cbr double, "

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalcov.functions.scalars import in_years
+from vitalcov.functions.scalars import band_of, band_width, in_years
 
 # the years the order tables hold
 ALL_YEARS = tuple(range(1995, 2002))
@@ -89,10 +89,10 @@ def raw_births(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = N
 
 
 def raw_population(
-    spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None, all_ages: bool = False
+    spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None, all_ages: bool = False, breaks: Sequence[int] = tuple(range(0, 85, 5))
 ) -> DataFrame:
     """Population rows per labelled age band; with ``all_ages`` also the total rows of a published table."""
-    band = F.when(_age() >= 80, 80).otherwise((F.floor(_age() / 5) * 5).cast("int"))
+    band = band_of(_age(), breaks, None)
     keys = {
         "year": F.year("o_orderdate"),
         "geo_code": _state(),
@@ -101,10 +101,10 @@ def raw_population(
     }
     lines = _placed_lines(spark, sf_dir, years).select(*[c.alias(name) for name, c in keys.items()])
     cells = lines.groupBy(*keys).agg(F.count("*").alias("pop"))
-    first, last = F.col("b").cast("string"), (F.col("b") + 4).cast("string")
+    first, last = F.col("b").cast("string"), (F.col("b") + band_width(F.col("b"), breaks) - 1).cast("string")
     label = (
         F.when(F.col("b").isNull(), "Total")
-        .when(F.col("b") == 80, "From 80 years or more")
+        .when(F.col("b") == breaks[-1], f"From {breaks[-1]} years or more")
         .otherwise(F.concat(F.lit("From "), first, F.lit(" to "), last, F.lit(" years")))
     )
     if all_ages:

@@ -33,6 +33,16 @@ def read_deaths(
     return filed.where(F.col("death_date").isNull() | S.in_years(F.col("death_date"), years))
 
 
+def misfiled_deaths(spark: SparkSession, path: str, years: Sequence[int], fmt: str = "parquet", **options: str) -> DataFrame:
+    """Number ``n`` of death records per year they are ``filed`` under and year they are ``dated`` in, where the two differ and one of them is among ``years``.
+
+    Those dated in such a year but filed under another are what ``read_deaths`` leaves out unseen, as it does not open other years' folders. Two columns of all years are read for it.
+    """
+    raw = _scan(spark, path, "deaths_raw", fmt, options).select(F.col("year").alias("filed"), F.year("death_date").alias("dated"))
+    apart = raw.where((F.col("filed") != F.col("dated")) & (F.col("filed").isin(*years) | F.col("dated").isin(*years)))
+    return apart.groupBy("filed", "dated").agg(F.count("*").alias("n"))
+
+
 def read_births(
     spark: SparkSession, path: str, years: Sequence[int], fmt: str = "parquet", **options: str
 ) -> DataFrame:
