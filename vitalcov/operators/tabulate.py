@@ -147,11 +147,11 @@ def with_levels(
 ) -> DataFrame:
     """Sum ``value`` per cell on every level of a hierarchy of places: one row per level, place and the columns ``by``.
 
-    ``levels`` are the columns of place codes, narrowest first, each place lying in one place of the next; all places together are the
+    ``levels`` are the columns of place codes, narrowest first; a code names one place of its level, whatever lies around it. All places together are the
     level and code ``top``. Columns ``level`` and ``geo_code`` take their place. All levels come out of one aggregation, as grouping sets over the
     cells, told apart by their grouping id: a NULL code is an unknown place of its level, never a sum. Rows that carry the
     code of ``top`` on a level are the source's own totals and are left out, or each cell would count twice.
-    A place of which only a wider one is known is part of an unknown place on the levels below, and of the known ones above.
+    A record of which only a wider place is known is part of the unknown place on the levels below, and of the known ones above.
     """
     levels = list(levels)
     taken = {*levels, *by} & {"level", "geo_code", value}
@@ -161,12 +161,12 @@ def with_levels(
         cells = cells.where(F.col(code).isNull() | (F.col(code) != top[1]))
     keys = [F.col(c) for c in by]
     places = [F.col(c) for c in levels]
-    sets = [[*keys, *places[k:]] for k in range(len(levels) + 1)]
-    # bits of the id stand for the columns in this order, first one highest: level k has its first k places summed over
+    sets = [*([*keys, place] for place in places), keys]
+    # bits of the id stand for the columns in this order, first one highest: level k has all places but its own summed over
     summed = cells.groupingSets(sets, *keys, *places).agg(F.sum(value).alias("_value"), F.grouping_id().alias("_id"))
     level, geo = F.lit(top[0]), F.lit(top[1])
     for k in reversed(range(len(levels))):
-        here = F.col("_id") == sum(1 << (len(levels) - 1 - j) for j in range(k))
+        here = F.col("_id") == (1 << len(levels)) - 1 - (1 << (len(levels) - 1 - k))
         level, geo = F.when(here, F.lit(levels[k])).otherwise(level), F.when(here, places[k].cast("string")).otherwise(geo)
     return summed.select(*by, level.alias("level"), geo.alias("geo_code"), F.col("_value").alias(value))
 

@@ -63,10 +63,13 @@ def count_records(
     codebook: Mapping[str, str] | DataFrame | None = None,
     keep_records: bool = False,
     place: Column | None = None,
+    breaks: Sequence[int] | None = None,
 ) -> None:
     """Step 1: records and population to counts. With ``keep_records`` the slim records are saved
     too, and the counts are then made from the saved files. ``place``: the expression of a record's place, its state if not given.
 
+    ``breaks`` are the lower bounds of the bands that deaths are counted in, for a grid of ages other than five-year ones; the labels of the population tell its own.
+
     The pass that counts the records also counts their faults (bad ages, codes and dates), saved as ``record_quality``."""
     codebook = code_lookup(SEX_LABELS if codebook is None else codebook, "sex_code", "sex")
     observed = {}
@@ -76,7 +79,7 @@ def count_records(
         if keep_records:
             job.save(rows, f"{kind}_records", "records", rebalance=True)
             rows = job.load(rows.sparkSession, f"{kind}_records", "records")
-        job.save(tabulate_events(rows), f"{kind}_counts", "counts")
+        job.save(tabulate_events(rows, breaks=breaks if kind == "deaths" else None), f"{kind}_counts", "counts")
     found = quality_rows({kind: seen.get for kind, seen in observed.items()})
     write_table(deaths_raw.sparkSession.createDataFrame(found, SCHEMAS["record_quality"]), job.path(job.pair("record_quality")), "record_quality")
     job.save(population_counts(population_raw, job.years), "population", "population")
