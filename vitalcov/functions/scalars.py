@@ -77,6 +77,14 @@ def check_breaks(breaks: Iterable[int]) -> tuple[int, ...]:
     return found
 
 
+def _search_text(name: str, breaks: tuple[int, ...]) -> str:
+    """The last of ``breaks`` that is not above a column: a balanced tree of comparisons."""
+    if len(breaks) == 1:
+        return str(breaks[0])
+    middle = len(breaks) // 2
+    return f"CASE WHEN {name} < {breaks[middle]} THEN {_search_text(name, breaks[:middle])} ELSE {_search_text(name, breaks[middle:])} END"
+
+
 def _search(value: Column, values: tuple[tuple[int, Column], ...]) -> Column:
     """The second of the last pair whose first is not above ``value``: a balanced tree of comparisons."""
     if len(values) == 1:
@@ -85,7 +93,7 @@ def _search(value: Column, values: tuple[tuple[int, Column], ...]) -> Column:
     return F.when(value < values[middle][0], _search(value, values[:middle])).otherwise(_search(value, values[middle:]))
 
 
-def band_of(age: Column, breaks: Iterable[int], limit: int | None = 125) -> Column:
+def band_of(age: Column | str, breaks: Iterable[int], limit: int | None = 125) -> Column:
     """Lower bound of the band holding ``age``: band i is ``[breaks[i], breaks[i + 1])``, the last one ends at ``limit``, or never.
 
     NULL for no age, one that is not a number, and one outside. One expression of binary search in the literal breaks: a row
@@ -94,17 +102,26 @@ def band_of(age: Column, breaks: Iterable[int], limit: int | None = 125) -> Colu
     breaks = check_breaks(breaks)
     if limit is not None and limit <= breaks[-1]:
         raise ValueError(f"the last band must begin below {limit}")
+    if isinstance(age, str):
+        name = f"`{age.replace('`', '``')}`"
+        below = "" if limit is None else f" AND {name} < {limit}"
+        return F.expr(f"CAST(CASE WHEN {name} >= {breaks[0]} AND NOT isnan({name}){below} THEN {_search_text(name, breaks)} END AS INT)")
     inside = (age >= breaks[0]) & ~F.isnan(age.cast("double"))
     if limit is not None:
         inside = inside & (age < limit)
     return F.when(inside, _search(age, tuple((b, F.lit(b)) for b in breaks))).cast("int")
 
 
-def on_breaks(band: Column, breaks: Iterable[int], values: Sequence[int | None]) -> Column:
-    """The value that belongs to the lower bound ``band``, one of ``values`` for each of ``breaks``; NULL for what is no lower bound."""
+def on_breaks(band: Column | str, breaks: Iterable[int], values: Sequence[int | None]) -> Column:
+    """The value that belongs to the lower bound ``band``, one of ``values`` for each of ``breaks``; NULL for what is no lower bound.
+
+    Of a column given by name it is one parsed text; made node by node it costs several calls into the JVM for each break.
+    """
     breaks = check_breaks(breaks)
-    if set(values) == {values[0]}:
-        return F.when(band.isin(*breaks), F.lit(values[0])).cast("int")
+    if isinstance(band, str):
+        name = f"`{band.replace('`', '``')}`"
+        cases = " ".join(f"WHEN {b} THEN {'NULL' if v is None else v}" for b, v in zip(breaks, values, strict=True))
+        return F.expr(f"CAST(CASE {name} {cases} END AS INT)")
     pairs = tuple(zip(breaks, (F.lit(v).cast("int") for v in values), strict=True))
     return F.when(band.isin(*breaks), _search(band, pairs)).cast("int")
 
@@ -120,7 +137,7 @@ def top_code(band: Column, open_age: int) -> Column:
     return F.when(band >= open_age, F.lit(open_age)).otherwise(band).cast("int")
 
 
-def onto_grid(band: Column, bands: Iterable[int]) -> Column:
+def onto_grid(band: Column | str, bands: Iterable[int]) -> Column:
     """The largest of ``bands`` that is not above ``band``; NULL below all of them."""
     return band_of(band, sorted(set(bands)), None)
 

@@ -145,7 +145,7 @@ def ddm_input(
     the years side by side, averaging and filling gaps are then one aggregation in that partition,
     and the age windows of the methods that follow need no further exchange.
     """
-    band = S.onto_grid(F.col("age_band"), bands).alias("age_band")
+    band = S.onto_grid("age_band", bands).alias("age_band")
     pop_rows = pop.select("year", *by, band, F.lit(True).alias("_people"), F.col("pop").cast("double").alias("_value"))
     death_rows = deaths.select("year", *by, band, F.lit(False).alias("_people"), F.col("n").cast("double").alias("_value"))
     stacked = pop_rows.unionByName(death_rows).where(F.col("year").isin(year1, year2) & F.col("age_band").isNotNull()).repartition(*by)
@@ -181,8 +181,7 @@ def _grid_widths(bands: Sequence[int]) -> tuple[Column, Column]:
     """Width of the band of a row and of the one below it; the open band is as wide as the one below."""
     grid = check_grid(bands)
     widths = _widths(grid)
-    own, age = [*widths, widths[-1]], F.col("age_band")
-    own_width, before = S.on_breaks(age, grid, own), S.on_breaks(age, grid, [None, *widths])
+    own_width, before = (S.on_breaks("age_band", grid, w) for w in ([*widths, widths[-1]], [None, *widths]))
     return own_width.cast("double"), before.cast("double")
 
 
@@ -246,15 +245,17 @@ def ggb(df: DataFrame, search: FitSearch = FitSearch(), by: Sequence[str] = BY,
     if callable(search.criterion):
         return fit_search(df, search, by)
     reaches = search.reaches(bands)
-    order = by_age(by)
+    group = ", ".join(f"`{c.replace('`', '``')}`" for c in by)
+    frame = f"PARTITION BY {group} ORDER BY age_band RANGE BETWEEN CURRENT ROW AND"
+    # given as text, parsed at once: made column by column they cost some hundred calls into the JVM
     moments = {
-        f"_{name}_{reach}": getattr(F, f"regr_{name}")("ggb_left", "ggb_right").over(order.rangeBetween(Window.currentRow, reach))
+        f"_{name}_{reach}": f"regr_{name}(ggb_left, ggb_right) OVER ({frame} {reach} FOLLOWING) AS _{name}_{reach}"
         for reach in reaches
         for name in ("count", "avgx", "avgy", "sxx", "syy", "sxy")
     }
-    best = F.min(F.array_min(F.array(*[_fit(reach, search, bands) for reach in reaches]))).over(whole_group(by))
+    best = F.min(F.expr(f"array_min(array({', '.join(_fit(reach, search, bands) for reach in reaches)}))")).over(whole_group(by))
     return (
-        df.withColumns(moments)
+        df.selectExpr("*", *moments.values())
         .withColumn("_fit", best)
         .withColumns(
             {
@@ -330,7 +331,7 @@ def fit_search(df: DataFrame, search: FitSearch, by: Sequence[str] = BY) -> Data
     return df.groupBy(*by).applyInArrow(fitted, StructType([*df.schema.fields, *new]))
 
 
-def _fit(reach: int, search: FitSearch, bands: Sequence[int]) -> Column:
+def _fit(reach: int, search: FitSearch, bands: Sequence[int]) -> str:
     """The line through the run of ages starting here, as ``(score, lo, hi, ggb, delta)``; the lowest
     struct is the best fit. NULL if the run is not allowed or has no line.
 
@@ -344,13 +345,11 @@ def _fit(reach: int, search: FitSearch, bands: Sequence[int]) -> Column:
         "r2": f"-{sxy} * {sxy} / ({sxx} * {syy})",
         "rms": f"({syy} - 2 * {slope} * {sxy} + {slope} * {slope} * {sxx}) / ({n} - 1)",
     }[search.criterion]
-    return F.expr(
-        f"""CASE WHEN age_band IN ({', '.join(map(str, starts))})
+    return f"""CASE WHEN age_band IN ({', '.join(map(str, starts))})
                   AND {n} >= {search.min_ages} AND {sxx} > 0 AND {syy} > 0 AND {sxx} * {syy} > 0
             THEN named_struct('score', round({score}, 12), 'lo', age_band, 'hi', age_band + {reach},
                               'ggb', sqrt({sxx} / {syy}),
                               'delta', exp(({y} - {slope} * {x}) * (year2 - year1))) END"""
-    )
 
 
 def _extinct_generations(

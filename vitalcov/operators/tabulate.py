@@ -80,7 +80,7 @@ def with_age_band(
 def with_breaks(df: DataFrame, breaks: Sequence[int], age: str = "age", limit: int | None = 125) -> DataFrame:
     """Replace the age column by its band between any rising ``breaks``, such as 0, 1, 5, 10, ..., the last one open up to ``limit``,
     with ``band_width``, the band's own number of years (NULL for the open one)."""
-    banded = df.withColumn("age_band", S.band_of(F.col(age), breaks, limit)).drop(age)
+    banded = df.withColumn("age_band", S.band_of(age, breaks, limit)).drop(age)
     return banded.withColumn("band_width", S.band_width(F.col("age_band"), breaks))
 
 
@@ -135,7 +135,7 @@ def tabulate_events(
 def _banded(records: DataFrame, age: str, width: int, open_age: int, breaks: Sequence[int] | None) -> DataFrame:
     if breaks is None:
         return with_age_band(records, age, width, open_age=open_age)
-    return records.withColumn("age_band", S.band_of(F.col(age), breaks)).drop(age)
+    return records.withColumn("age_band", S.band_of(age, breaks)).drop(age)
 
 
 def with_levels(

@@ -107,7 +107,7 @@ def lost_deaths(deaths: DataFrame, pop: DataFrame, years: Sequence[int], bands:
 
     Bands are folded onto the grid first, as the method input does.
     """
-    band = S.onto_grid(F.col("age_band"), bands)
+    band = S.onto_grid("age_band", bands)
     died = deaths.where(_of(years)).withColumn("age_band", band).groupBy(*CELL).agg(F.sum(F.col("n").cast("double")).alias("n"))
     people = pop.where(_of(years)).withColumn("age_band", band).select(*CELL).distinct()
     return unmatched_keys(died, people, CELL).join(died, list(CELL), "left").withColumn("n", F.when(F.col("side") == "left", F.col("n")))
