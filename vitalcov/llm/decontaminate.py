@@ -211,7 +211,6 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*keep, text[at:]])
 
 
-FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 FOUND_ARROW = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
 
 
@@ -222,18 +221,18 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, id_col: str
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-size // most_bytes))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    kind = rows.schema["id"].dataType.simpleString()
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
         listed = [(r.item, r.text.encode()) for r in part.collect()]  # at most about `most_bytes`
-        shared = spark.sparkContext.broadcast(phrases_of(listed, window))
+        shared = common.Shared(spark, phrases_of(listed, window))
 
         with_text = keep_text or k < slices - 1
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, with_text=with_text) -> Iterator[pa.RecordBatch]:
+            phrases = shared.value
             for batch in common.pieces(batches, "text", SHARD_BYTES):
                 words = [words_of(t) for t in common.byte_texts(batch, "text")]
-                spans, found = search_shard(words, shared.value)
+                spans, found = search_shard(words, phrases)
                 spans = [merged([(x["start"], x["end"]) for x in old or []] + new) for old, new in zip(batch.column("spans").to_pylist(), spans, strict=True)]
                 found = [sorted({*(old or []), *new}) for old, new in zip(batch.column("items").to_pylist(), found, strict=True)]
                 named = [[{"start": a, "end": b} for a, b in x] for x in spans]
@@ -241,7 +240,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, id_col: str
                 columns |= zip(("n_words", "spans", "items"), (pa.array(x, kind) for x, kind in zip(([len(w) for w in words], named, found), FOUND_ARROW, strict=True)), strict=True)
                 yield pa.RecordBatch.from_pydict(columns)
 
-        rows = rows.mapInArrow(search, f"id {kind}, {'text string, ' if with_text else ''}{FOUND}")
+        kept = ["id", "text", "n_words", "spans", "items"] if with_text else ["id", "n_words", "spans", "items"]
+        rows = rows.mapInArrow(search, StructType([StructField(c, rows.schema[c].dataType) for c in kept]))
     return rows.withColumnRenamed("id", id_col)
 
 

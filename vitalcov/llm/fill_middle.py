@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from vitalcov.llm import common
 
@@ -120,11 +120,11 @@ def fill_in_middle(docs: DataFrame, *, seed: str = "42", rate: int = RATE, suffi
     rest = [c for c in docs.columns if c.lower() not in lost]
     if id_col.lower() in {c.lower() for c in NEW}:
         raise ValueError(f"{id_col} is the name of a new column")
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[_quoted(id_col)].cast("string"), F.lit(""))), 256)
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[common.quoted(id_col)].cast("string"), F.lit(""))), 256)
     draws = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k + 1}") for k in range(4)]
     # the untouched columns travel as one struct with plain names, so that none can clash
-    row = F.struct(*[docs[_quoted(c)].alias(f"c{k}") for k, c in enumerate(rest)]).alias("row")
-    rows = docs.select(row, docs[_quoted(text_col)].cast("string").alias("text"), *draws)
+    row = F.struct(*[docs[common.quoted(c)].alias(f"c{k}") for k, c in enumerate(rest)]).alias("row")
+    rows = docs.select(row, docs[common.quoted(text_col)].cast("string").alias("text"), *draws)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
@@ -135,10 +135,6 @@ def fill_in_middle(docs: DataFrame, *, seed: str = "42", rate: int = RATE, suffi
     return made.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(rest)], *NEW)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def restored(output: Column, form: Column) -> Column:
     """The text that `output` was made from. Exact: a cut text holds no marker, and no marker's end is another one's beginning, so the marks are found where they were put."""
     parts = F.split(F.substring(output, len(PREFIX) + 1, 2**31 - 1), "<[PSM]>", -1)

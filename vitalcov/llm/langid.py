@@ -97,7 +97,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """Per row: `id_col`, lang_pred and score, the posterior probability of that language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.Shared(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
