@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalcov.llm import common
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -150,9 +152,12 @@ def apply_rules(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, .
         base = failed(BASE_RULES, lambda name: m[name])
         return F.struct(*[m[n].alias(n) for n in names], base.alias("base_failed"), (~base & ~failed(rules, lambda name: m[name])).alias("kept"))
 
-    rest = [c for c in docs.columns if c not in {*names, "base_failed", "kept", "_rules"}]
-    judged = docs.select(*rest, let(measures(F.col(text_col)), verdicts).alias("_rules"))
-    return judged.select(*rest, "_rules.*")
+    made = {*names, "base_failed", "kept"}
+    rest = [c for c in docs.columns if c.lower() not in made]
+    held = common.free_name(rest, "_rules")
+    kept = [F.col(common.quoted(c)) for c in rest]
+    judged = docs.select(*kept, let(measures(F.col(text_col)), verdicts).alias(held))
+    return judged.select(*kept, f"{held}.*")
 
 
 def _sql_failed(rules: tuple[Rule, ...]) -> str:
