@@ -94,25 +94,38 @@ def trimmed(a: Column, b: Column, rounds: int = 3, least: int = 16) -> Column:
     return out
 
 
-def _segment(line: Column, length: Column, own: Column, i: int, parts: int, shift: int = 0) -> Column:
-    """Key of the characters of `line`, `own` long, where segment `i` of a text of `length` lies, moved by `shift`; null if that leaves the line."""
-    start = F.call_function("div", length * i, F.lit(parts)).cast("int") if i else F.lit(0)
-    end = F.call_function("div", length * (i + 1), F.lit(parts)).cast("int")
+def _share(length: Column, i: int, parts: int) -> Column:
+    return F.call_function("div", length * i, F.lit(parts)).cast("int") if i else F.lit(0)
+
+
+def _stretch_begin(own: Column, i: int, distance: int) -> Column:
+    return F.greatest(F.lit(0), _share(own, i, distance + 1) - 2 * distance) if i else F.lit(0)
+
+
+def stretches(line: Column, own: Column, distance: int) -> list[Column]:
+    """For each segment the part of the line that all its keys lie in, so that taking a key's characters does not walk the whole line: a segment of a text shorter by up to
+    `distance` begins that much earlier at most, and moves by as much."""
+    return [F.substring(line, _stretch_begin(own, i, distance) + 1, _share(own, i + 1, distance + 1) + distance - _stretch_begin(own, i, distance)).alias(f"s{i}") for i in range(distance + 1)]
+
+
+def _segment(length: Column, own: Column, i: int, distance: int, shift: int = 0) -> Column:
+    """Key of the characters, in stretch `s{i}` of a line `own` long, where segment `i` of a text of `length` lies, moved by `shift`; null if that leaves the line."""
+    start, end = (_share(length, k, distance + 1) for k in (i, i + 1))
     inside = (start + shift >= 0) & (end + shift <= own)
-    return F.when(inside, F.xxhash64(F.lit(i), length, F.substring(line, start + (shift + 1), end - start)))
+    return F.when(inside, F.xxhash64(F.lit(i), length, F.substring(F.col(f"s{i}"), start + (shift + 1) - _stretch_begin(own, i, distance), end - start)))
 
 
-def index_keys(line: Column, own: Column, distance: int) -> Column:
-    return F.array(*[_segment(line, own, own, i, distance + 1) for i in range(distance + 1)])
+def index_keys(own: Column, distance: int) -> Column:
+    return F.array(*[_segment(own, own, i, distance) for i in range(distance + 1)])
 
 
-def probe_keys(line: Column, own: Column, distance: int) -> Column:
+def probe_keys(own: Column, distance: int) -> Column:
     """For each length difference and segment the shifts at which both the text before and the text behind can still be within the distance."""
     keys = []
     for less in range(distance + 1):
         for i in range(distance + 1):
             low, high = max(-i, less - (distance - i)), min(i, less + (distance - i))
-            keys += [_segment(line, own - less, own, i, distance + 1, shift) for shift in range(low, high + 1)]
+            keys += [_segment(own - less, own, i, distance, shift) for shift in range(low, high + 1)]
     return F.array(*keys)
 
 
@@ -148,6 +161,7 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
         own.select("k", F.explode(let(_lines(F.col("text")), lambda x: F.transform("mine", lambda f: F.struct(f["at"].alias("at"), F.get(x, f["at"]).alias("line"))))).alias("l"))
         .select("k", "l.at", "l.line", F.length("l.line").alias("own"))  # counted once for all keys
         .where(F.col("own") >= least)
+        .select("k", "at", "own", *stretches(F.col("line"), F.col("own"), distance))
     )
 
     def keyed(keys: Column) -> DataFrame:  # in the order in which explode puts them, so that both uses of a shuffle are one
@@ -156,7 +170,7 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
     def order(side: str) -> Column:
         return F.struct(*[F.col(f"{side}.{c}") for c in ("id", "k", "k2", "at")])
 
-    probes, index = keyed(probe_keys(F.col("line"), F.col("own"), distance)).alias("p"), keyed(index_keys(F.col("line"), F.col("own"), distance)).alias("i")
+    probes, index = keyed(probe_keys(F.col("own"), distance)).alias("p"), keyed(index_keys(F.col("own"), distance)).alias("i")
     paired = (F.col("p.key") == F.col("i.key")) & ((F.col("p.k") != F.col("i.k")) | (F.col("p.at") != F.col("i.at")))
     # dealt out once more, being few, so that the large join is not made again for its second use
     found = probes.join(index, paired, "left_semi").select("p.*").repartition("key").alias("p")
