@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from vitalcov.llm import common
 
 BLOCK_TOKENS, BUCKET_TOKENS, PRIOR = 1 << 19, 1 << 21, 50.0
+#: Keys of a bucket that are unpacked together.
+FOLD_KEYS = 1 << 19
 #: In the place of a hash: the start of a document, and words that are not in the vocabulary.
 START, UNKNOWN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -173,7 +175,8 @@ def score_documents(docs: DataFrame, target: str, *, vocabulary: int | None = No
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = bucket_bounds(word_buckets), bucket_bounds(gram_buckets)
         for batch in batches:
-            for part, serial, flags, lengths, words, places in zip(*(batch.column(c).to_pylist() for c in ("part", "serial", "flags", "lengths", "words", "places")), strict=True):
+            for at_row in range(batch.num_rows):
+                part, serial, flags, lengths, words, places = (batch.column(c)[at_row].as_py() for c in ("part", "serial", "flags", "lengths", "words", "places"))
                 known, grams, own, place, _ = keys_of(words, places, lengths)
                 flag = np.repeat(np.array(flags, bool), lengths)
                 out: list[tuple[int, bytes, bytes]] = []
@@ -188,27 +191,43 @@ def score_documents(docs: DataFrame, target: str, *, vocabulary: int | None = No
                 )
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the rows of a bucket stay packed; their keys and counts are folded into one sorted table of sums a few at a time, and looked up there in a second walk
         bucket, held = None, []
 
-        def settle() -> pa.RecordBatch:
-            keys = [np.cumsum(from_planes(h[2], "<u8"), dtype=np.uint64) for h in held]
-            found, place = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = np.concatenate([from_planes(h[3], "<u4") for h in held]).reshape(-1, 2)
-            sums = np.column_stack([np.bincount(place, weights=counts[:, k], minlength=len(found)) for k in (0, 1)]).astype(wide)
-            ends = np.cumsum([len(k) for k in keys])
-            data = [planes(sums[place[e - len(k) : e]]) for e, k in zip(ends.tolist(), keys, strict=True)]
-            new = [len(found) if bucket < word_buckets else 0] + [0] * (len(held) - 1)
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.int32()), pa.array([bucket] * len(held), pa.int64()), pa.array(data, pa.binary()), pa.array(new, pa.int64())], names=["part", "serial", "bucket", "sums", "new_words"])
+        def settle() -> Iterator[pa.RecordBatch]:
+            found, sums = np.empty(0, np.uint64), np.empty((0, 2), wide)
+            some: list[tuple[np.ndarray, np.ndarray]] = []
+            for k, (_, _, keys, counts) in enumerate(held):
+                some.append((unpacked(keys), from_planes(counts, "<u4").reshape(-1, 2)))
+                if sum(len(x) for x, _ in some) >= FOLD_KEYS or k == len(held) - 1:
+                    found, sums = folded(found, sums, some)
+                    some = []
+            for k, (part, serial, keys, _) in enumerate(held):
+                data = planes(sums[np.searchsorted(found, unpacked(keys))])
+                new = len(found) if k == 0 and bucket < word_buckets else 0
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([serial], pa.int32()), pa.array([bucket], pa.int64()), pa.array([data], pa.binary()), pa.array([new], pa.int64())], names=["part", "serial", "bucket", "sums", "new_words"])
 
         for batch in batches:
             for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "serial", "keys", "counts")), strict=True):
                 if b != bucket and held:
-                    yield settle()
+                    yield from settle()
                     held = []
                 bucket = b
                 held.append(row)
         if held:
-            yield settle()
+            yield from settle()
+
+    def unpacked(keys: bytes) -> np.ndarray:
+        return np.cumsum(from_planes(keys, "<u8"), dtype=np.uint64)
+
+    def folded(found: np.ndarray, sums: np.ndarray, some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and their sums, with those of `some` rows added."""
+        keys = np.concatenate([found, *(x for x, _ in some)])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        counts = np.concatenate([sums, *(c for _, c in some)])[order]
+        return keys[begins], np.add.reduceat(counts, begins, axis=0, dtype=wide) if len(begins) else sums
 
     seen = blocks.select("part", "serial", "flags", "lengths", "words", "places").mapInArrow(count, "bucket long, part int, serial int, keys binary, counts binary")
     # a row of a bucket is a block's share of it: as many go to a task's Python together as hold some 16 MB
