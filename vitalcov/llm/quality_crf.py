@@ -160,11 +160,14 @@ def _odds(p: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, words: np.ndarray, starts: np.ndarray, labels: np.ndarray, *, steps: int = 150, l2: float = 1e-3) -> Model:
-    """Maximum conditional likelihood by Adam on all chains; `x` windowed line features, `labels` one per chain."""
+    """Maximum conditional likelihood by Adam on all chains; `x` windowed line features (scaled in place), `labels` one per chain."""
     lengths = np.diff(np.append(starts, len(x)))
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    # column by column, so that no second matrix of this size stands beside the first
+    mean, scale = (np.array([of(x[:, k]) for k in range(x.shape[1])]) for of in (np.mean, np.std))
     mean, scale = np.where(scale > 0, mean, 0), np.where(scale > 0, scale, 1)
-    z = (x - mean) / scale
+    z = x
+    z -= mean
+    z /= scale
     truth = np.repeat(labels, lengths).astype(np.float64)
     seen = np.zeros((2, 2))
     for y in (0, 1):
@@ -230,11 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, *, fold: Column | None = None, id_
     if len(set(y.tolist())) < 2:
         empty = np.zeros(3 * N_FEATURES)
         return Model(empty, empty + 1, empty, np.zeros((2, 2)), 1.0, 0.0, float(y.mean()) if len(y) else 0.5)
-    blocks = [np.frombuffer(r["data"], "<f4").reshape(-1, N_FEATURES + 1).astype(np.float64) for r in chosen]
-    everything = np.vstack(blocks)
-    ends = np.cumsum([len(b) for b in blocks])
+    ends = np.cumsum([len(r["data"]) // (4 * (N_FEATURES + 1)) for r in chosen])
     starts = np.concatenate([[0], ends[:-1]])
-    return fit(windowed(everything[:, :-1], starts, ends), everything[:, -1], starts, y)
+    everything = np.frombuffer(b"".join([r["data"] for r in chosen]), "<f4").reshape(-1, N_FEATURES + 1).astype(np.float64)
+    del chosen, measured  # the matrix of windows is three times as large: nothing else is held beside it
+    words, lines = everything[:, -1].copy(), windowed(everything[:, :-1], starts, ends)
+    del everything
+    return fit(lines, words, starts, y)
 
 
 def scored(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,8 +272,15 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def with_scores(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "_score") -> DataFrame:
     """`docs` with all its columns and a score."""
 
+    if score_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {score_col} already")
+    # columns travel under plain names, whatever theirs are
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text, plain = names[docs.columns.index(text_col)], docs.select(*[F.col(common.quoted(c)).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, text_col):
-            yield batch.append_column(score_col, pa.array(scored(common.byte_texts(batch, text_col), model)[0]))
+        for batch in common.pieces(batches, text):
+            yield batch.append_column("score", pa.array(scored(common.byte_texts(batch, text), model)[0]))
 
-    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    made = plain.mapInArrow(judge, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
+    return made.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], F.col("score").alias(score_col))
