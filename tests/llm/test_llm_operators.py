@@ -86,8 +86,61 @@ def test_jaccard_join(docs, rows):
     assert got[100][0] == 3 and got[104][1] == 3 and got[104][2] == 2 and got[200] == (200, 200, 0, 0)
 
 
-def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("threshold", "recall"), [((4, 5), 0.999), ((4, 5), 0.99), ((1, 2), 0.999), ((19, 20), 0.999), ((1, 4), 0.9)])
+def test_bands_and_rows_meet_the_recall(threshold, recall):
+    bands, rows = jaccard_join.band_plan(threshold, recall)
+    similarity = threshold[0] / threshold[1]
+
+    def found(b, r):
+        return 1 - (1 - similarity**r) ** b
+
+    assert found(bands, rows) >= recall > found(bands - 1, rows) and bands * rows <= jaccard_join.HASHES
+    assert found(jaccard_join.HASHES // (rows + 1), rows + 1) < recall  # no plan with more rows would do
+
+
+def test_band_plans_that_cannot_be():
+    assert jaccard_join.band_plan() == (38, 8) and jaccard_join.band_plan((1, 1)) == (1, 1)
+    for threshold, recall in [((1, 100), 0.999), ((0, 1), 0.9), ((5, 4), 0.9), ((4, 5), 1.0), ((4, 5), 0.0)]:
+        with pytest.raises(ValueError):
+            jaccard_join.band_plan(threshold, recall)
+
+
+@pytest.mark.parametrize("threshold", [(4, 5), (1, 2)])
+def test_the_recall_at_the_threshold_as_measured(threshold):
+    # pairs of sets whose similarity is the threshold itself
+    rnd, plan = np.random.default_rng(5), jaccard_join.band_plan(threshold)
+    met, pairs, union = 0, 3000, 40 * threshold[1]
+    for _ in range(pairs):
+        values = np.unique(rnd.integers(0, 2**63, union, dtype=np.uint64))
+        rnd.shuffle(values)
+        shared, rest = values[: 40 * threshold[0]], values[40 * threshold[0] :]
+        a, b = (np.sort(np.concatenate([shared, part])) for part in (rest[::2], rest[1::2]))
+        x, y = jaccard_join.band_hashes([a, b], *plan)
+        met += bool((x == y).any())
+    assert met >= 0.9965 * pairs
+
+
+def test_jaccard_join_at_half(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):  # every fourth word changed or a tail put on: between 0.3 and 0.8
+        w = [f"v{i}_{k}" for k in range(60)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w + [f"t{rnd.randrange(9999)}" for _ in range(rnd.randrange(10, 90))])), (3 * i + 2, " ".join(w[: rnd.randrange(20, 60)]))]
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), threshold=(1, 2))
+    sets = {i: jaccard_join.shingle_set(t.encode(), 5, common.WordHashes()) for i, t in rows}
+    want = {i: 0 for i in sets}
+    for i in sets:
+        for j in range(i - i % 3, i - i % 3 + 3):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            want[i] += j != i and 2 * both >= len(sets[i]) + len(sets[j]) - both and both < max(len(sets[i]), len(sets[j]))
+    assert sum(want.values()) > 50
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("size", [1 << 24, 2000])
+def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch, size):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
     rnd = random.Random(3)
     base = [f"w{rnd.randrange(400)}" for _ in range(120)]
     rows = []
@@ -103,6 +156,15 @@ def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert all(got[i][3] <= want[i][3] for i in want)
 
 
+def test_very_long_near_copies(spark):
+    words = [f"w{(k * k) % 99991}_{k % 7}" for k in range(150_000)]
+    other = list(words)
+    other[70_000:70_500] = ["changed"] * 500
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:20_000])), (4, "short")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1, 0, 1), 2: (1, 2, 0, 1), 3: (3, 3, 0, 0), 4: (4, 4, 0, 0)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(jaccard_join.components(edges, "bigint").collect())

@@ -1,11 +1,11 @@
 """Similarity join on word shingles: every document whose set of n-grams has a Jaccard similarity of `threshold` or more with another document's.
 
 Documents with equal n-gram sets form a copy class; its smallest id stands for it, and only representatives take part in the rest, so copies make no pairs.
-MinHash signatures of `bands` x `rows` values are made in one pass; with 32 bands of 8 rows a pair at similarity 0.8 shares a band with probability 0.997.
-Representatives are shuffled on their band hashes. Buckets with the same members, as a pair makes in most of its bands, are kept once.
+MinHash signatures are made in one pass. The numbers of bands and rows follow from the threshold and a target recall (`band_plan`): a pair exactly at the threshold
+shares a band with at least that probability, a more similar one with more; at 0.8 and 0.999 these are 38 bands of 8 rows. Representatives are shuffled on their band hashes. Buckets with the same members, as a pair makes in most of its bands, are kept once.
 
 Verification is exact, on the full n-gram sets, and yields counts and a spanning forest instead of pairs: a bucket's members travel as compressed texts, a bucket of more
-than BLOCK members as pairs of blocks, so no task holds more than two blocks. A pair is verified and counted only in the first of its common buckets, which
+than BLOCK members or BLOCK_BYTES of text as pairs of blocks, so no task holds the n-grams of more than two blocks, and one text open at a time. A pair is verified and counted only in the first of its common buckets, which
 both signatures tell. Groups are the connected components of verified links, found by passing on the smallest id along the forest's edges.
 
 Words are [^\\x20\\x09-\\x0D]+; a text of fewer words than `n`, but not none, is one shingle. A null or empty text has none, is never linked and is its own group.
@@ -14,6 +14,7 @@ Rows with one id are one document, whose text is the one with the smallest hash;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,33 @@ from pyspark.sql import functions as F
 
 from vitalcov.llm import common
 
-N, THRESHOLD, BANDS, ROWS, SEED = 5, (4, 5), 32, 8, 7
-#: Members of a bucket that are compared in one block.
-BLOCK = 256
+N, THRESHOLD, RECALL, SEED = 5, (4, 5), 0.999, 7
+#: Hashes of a signature, at most. More make narrower bands, hence fewer pairs to verify in vain, and cost more to draw.
+HASHES = 320
+#: Members of a bucket, and bytes of their texts, that are compared in one block.
+BLOCK, BLOCK_BYTES = 256, 1 << 24
+
+
+def band_plan(threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
+    """Bands and rows by which a pair at the threshold shares a band with a probability of `recall` or more: of all such plans within `hashes` that with the most rows.
+
+    A band of r rows agrees with probability s^r at similarity s, and one of b bands with 1 - (1 - s^r)^b.
+    """
+    up, down = threshold
+    if not 0 < up <= down or not 0 < recall < 1:
+        raise ValueError("the threshold lies in (0, 1], the recall between 0 and 1")
+    best = None
+    for rows in range(1, hashes + 1):
+        alike = (up / down) ** rows
+        bands = 1 if alike == 1 else max(1, math.ceil(math.log1p(-recall) / math.log1p(-alike)))
+        if bands * rows > hashes:
+            break
+        best = bands, rows
+        if alike == 1:  # equal sets are one class before bands are made
+            break
+    if best is None:
+        raise ValueError(f"{hashes} hashes are too few for a recall of {recall} at {up}/{down}")
+    return best
 
 
 def shingle_set(text: bytes | None, n: int, hashes: common.WordHashes) -> np.ndarray:
@@ -64,8 +89,8 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return mixed
 
 
-def signatures(texts: DataFrame, *, n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Of id, t and text: id, t, digest of the n-gram set (null if empty) and the band hashes as bytes."""
+def signatures(texts: DataFrame, bands: int, rows: int, *, n: int = N) -> DataFrame:
+    """Of id, t and text: id, t, size (bytes of the text), digest of the n-gram set (null if empty) and the band hashes as bytes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -78,18 +103,20 @@ def signatures(texts: DataFrame, *, n: int = N, bands: int = BANDS, rows: int =
             for k, row in zip(some, band_hashes([sets[k] for k in some], bands, rows) if some else [], strict=True):
                 made[k] = row.astype("<u8").tobytes()
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(digests, pa.binary()), pa.array(made, pa.binary())], names=["id", "t", "digest", "bands"])
+            made_columns = [batch.column("id"), batch.column("t"), batch.column("size"), pa.array(digests, pa.binary()), pa.array(made, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made_columns, names=["id", "t", "size", "digest", "bands"])
 
-    return texts.mapInArrow(sign, f"id {texts.schema['id'].dataType.simpleString()}, t long, digest binary, bands binary")
+    sized = texts.select("id", "t", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    return sized.mapInArrow(sign, f"id {texts.schema['id'].dataType.simpleString()}, t long, size long, digest binary, bands binary")
 
 
-def verify_block(left: list[tuple], right: list[tuple], bucket: int, same: bool, threshold: tuple[int, int], n: int, hashes: common.WordHashes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def verify_block(left: list[tuple], right: list[tuple], bucket: int, same: bool, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Link counts of both sides and forest edges (places; those of `right` follow those of `left`).
 
-    Members are (id, bands, text). A pair counts here if no earlier band of theirs agrees (`bucket` is this one's band).
+    Members are (id, bands, n-gram set). A pair counts here if no earlier band of theirs agrees (`bucket` is this one's band).
     """
     members = left if same else left + right
-    sets = [shingle_set(m[2], n, hashes) for m in members]
+    sets = [m[2] for m in members]
     sizes = np.array([len(s) for s in sets])
     bands = np.vstack([np.frombuffer(m[1], "<u8") for m in members])
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -97,13 +124,15 @@ def verify_block(left: list[tuple], right: list[tuple], bucket: int, same: bool,
     often = np.bincount(column, minlength=len(values)) > 1
     keep = often[column]
     owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
+    walk = np.argsort(column, kind="stable")
+    owner, column = owner[walk], column[walk]
     cut = len(members) if same else len(left)
     rows = np.arange(cut)
     others = np.arange(len(members)) if same else np.arange(cut, len(members))
     common_count = np.zeros((len(rows), len(others)), np.float32)
     width = int(often.sum())
     for at in range(0, width, 2048):  # a slice of the shingles at a time
-        inside = (column >= at) & (column < at + 2048)
+        inside = slice(*np.searchsorted(column, [at, at + 2048]))
         grid = np.zeros((len(members), min(2048, width - at)), np.float32)
         grid[owner[inside], column[inside] - at] = 1
         common_count += grid[rows] @ grid[others].T
@@ -153,36 +182,39 @@ def components(edges: DataFrame, id_type: str) -> DataFrame:
             return labels
 
 
-def similar_documents(docs: DataFrame, *, n: int = N, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, *, n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: `id_col`, class_id (smallest id of its group of linked documents), copy_of (smallest id with an equal n-gram set),
-    n_copies (other documents with that set) and n_links (other sets with a similarity of at least the threshold)."""
+    n_copies (other documents with that set) and n_links (other sets with a similarity of at least the threshold). `recall`: of the links exactly at the threshold, the share that is expected to be found."""
+    bands, rows = band_plan(threshold, recall)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     kind = source.schema["id"].dataType.simpleString()
-    signed = signatures(source, n=n, bands=bands, rows=rows).groupBy("id").agg(F.min(F.struct("t", "digest", "bands")).alias("s")).select("id", "s.*")
+    signed = signatures(source, bands, rows, n=n).groupBy("id").agg(F.min(F.struct("t", "digest", "size", "bands")).alias("s")).select("id", "s.*")
     signed = common.written(signed, "signatures")
     classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("copy_of"), F.count("*").alias("members"))
     member = common.written(
-        signed.join(classes, "digest", "left").select("id", "t", F.coalesce("copy_of", "id").alias("copy_of"), (F.coalesce("members", F.lit(1)) - 1).alias("n_copies"), F.when(F.col("id") == F.col("copy_of"), F.col("bands")).alias("bands")),
+        signed.join(classes, "digest", "left").select("id", "t", "size", F.coalesce("copy_of", "id").alias("copy_of"), (F.coalesce("members", F.lit(1)) - 1).alias("n_copies"), F.when(F.col("id") == F.col("copy_of"), F.col("bands")).alias("bands")),
         "members",
     )
-    kept = member.where(F.col("bands").isNotNull()).select("id", "t", "bands")
+    kept = member.where(F.col("bands").isNotNull()).select("id", "t", "size", "bands")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 grid = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<u8").reshape(batch.num_rows, -1)
                 place = np.repeat(np.arange(batch.num_rows), grid.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(place)), pa.array(np.tile(np.arange(grid.shape[1], dtype=np.int32), batch.num_rows)), pa.array(grid.ravel().view(np.int64))], names=["id", "band", "h"])
+                own = [batch.column(c).take(pa.array(place)) for c in ("id", "size")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.tile(np.arange(grid.shape[1], dtype=np.int32), batch.num_rows)), pa.array(grid.ravel().view(np.int64))], names=["id", "size", "band", "h"])
 
-    entries = kept.mapInArrow(spread, f"id {kind}, band int, h long")
+    entries = kept.select("id", "size", "bands").mapInArrow(spread, f"id {kind}, size long, band int, h long")
     # sums of a mixed hash tell sets of members apart without gathering them
     mixed = F.xxhash64("id")
-    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.sum(F.shiftright(mixed, 34)).alias("s1"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 34)).alias("s2"))
-    chosen = buckets.where("members > 1").groupBy("members", "least", "s1", "s2").agg(F.min(F.struct("band", "h")).alias("b")).select("b.band", "b.h", "members")
+    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("members"), F.sum("size").alias("size"), F.min("id").alias("least"), F.sum(F.shiftright(mixed, 34)).alias("s1"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 34)).alias("s2"))
+    chosen = buckets.where("members > 1").groupBy("members", "least", "s1", "s2").agg(F.min(F.struct("band", "h", "size")).alias("b")).select("b.band", "b.h", "b.size", "members")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.least(F.ceil(F.col("size") / BLOCK_BYTES), F.col("members"))).cast("int")
+    chosen = chosen.select("band", "h", blocks.alias("blocks"))
     chosen = common.written(chosen, "buckets")
     # the number of a member in its bucket is drawn, not counted: blocks are even enough and nothing is gathered
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    joined = entries.join(chosen, ["band", "h"]).select("id", "band", "h", blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(2)), blocks.cast("long")).cast("int").alias("block"))
+    joined = entries.drop("size").join(chosen, ["band", "h"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks").cast("long")).cast("int"))
     wanted = joined.groupBy("id").agg(F.collect_list(F.struct("band", "h", "blocks", "block")).alias("buckets"))
     carried = kept.join(wanted, "id").join(source, ["id", "t"]).select("id", "bands", "buckets", "text")
 
@@ -222,7 +254,7 @@ def similar_documents(docs: DataFrame, *, n: int = N, threshold: tuple[int, int]
             if len(left) + len(right) < 2 or not (same or (left and right)):
                 return None
             members = left if same else left + right
-            counts, more, edges = verify_block(left, [] if same else right, key[0], same, threshold, n, hashes)
+            counts, more, edges = verify_block(left, [] if same else right, key[0], same, threshold)
             linked = [(members[i][0], int(c), None) for i, c in enumerate([*counts.tolist(), *more.tolist()]) if c]
             linked += [(members[i][0], 0, members[j][0]) for i, j in edges]
             if not linked:
@@ -239,7 +271,7 @@ def similar_documents(docs: DataFrame, *, n: int = N, threshold: tuple[int, int]
                 if ident in seen:  # a row that stands twice in the input
                     continue
                 seen.add(ident)
-                (left if is_left else right).append((ident, bands_, open_up(data)))
+                (left if is_left else right).append((ident, bands_, shingle_set(open_up(data), n, hashes)))
         if key is not None and (found := settle()) is not None:
             yield found
 
