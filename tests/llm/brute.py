@@ -79,8 +79,13 @@ def is_blank(line):
     return not line.strip(" \t\n\x0b\x0c\r")
 
 
-def line_dedup(rows, distance=2, least=20):
+def line_dedup(rows, classes=((10, 1), (20, 2))):
     """Per row (text, lines, exact, near); rows that are equal are one document."""
+    distance = classes[-1][1]
+
+    def allowed(a, b):
+        return max([d for least, d in classes if min(len(a), len(b)) >= least], default=0)
+
     seen, near_texts, done, out = set(), collections.defaultdict(list), {}, {}
     for key in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         keep, n, exact, near = [], 0, 0, 0
@@ -93,8 +98,8 @@ def line_dedup(rows, distance=2, least=20):
                 exact += 1
                 continue
             seen.add(line)
-            if len(line) >= least:
-                close = any(edits(line, x, distance) <= distance for d in range(-distance, distance + 1) for x in near_texts[len(line) + d])
+            if len(line) >= classes[0][0]:
+                close = any(edits(line, x, distance) <= allowed(line, x) for d in range(-distance, distance + 1) for x in near_texts[len(line) + d])
                 near_texts[len(line)].append(line)
                 if close:
                     near += 1

@@ -460,6 +460,29 @@ def test_line_dedup(spark):
     assert {"id", "k", "row"} <= set(got[0].asDict())
 
 
+@pytest.mark.parametrize("classes", [((10, 1), (20, 2)), ((20, 2),), ((6, 1), (9, 2), (14, 3))])
+def test_line_dedup_by_classes_of_length(spark, classes):
+    rnd, rows = random.Random(17), []
+    base = ["".join(rnd.choice("abcé") for _ in range(5 + k % 21)) for k in range(60)]
+    for i in range(300):
+        line = list(base[i % 60])
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            k, o = rnd.randrange(len(line)), rnd.random()
+            line[k : k + (o >= 0.4)] = [rnd.choice("abx")] if o < 0.7 else []
+        rows.append((i, "".join(line)))
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_exact"], r["n_near"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), classes=classes).collect()}
+    want = brute.line_dedup(rows, classes)
+    assert got == {r[0]: want[r] for r in rows}
+    shortest = [len(t) for (_, t), w in want.items() if w[3]]
+    assert min(shortest) in (classes[0][0], classes[0][0] + 1) and len(shortest) > 20
+
+
+@pytest.mark.parametrize("classes", [(), ((3, 2),), ((20, 2), (10, 1)), ((10, 2), (20, 2)), ((10, 0), (20, 1))])
+def test_classes_that_cannot_be(none, classes):
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(none, classes=classes)
+
+
 def test_documents_with_one_id_keep_one_of_equal_lines(spark):
     rows = [(1, "one line of some length\nonly here"), (1, "one line of some length\nonly there"), (None, "one line of some length")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()

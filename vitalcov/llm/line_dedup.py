@@ -1,11 +1,12 @@
 """Lines that occur before, exactly or within an edit distance, in DataFrame functions only.
 
-A line is removed if it equals an earlier line, or if its text is within `distance` edits (code points put in, left out or changed) of an earlier text; both of
-these at least `least` characters long for near matches. Earlier: by document id, then by place in the document. Blank lines stay. A text of which no line is
+A line is removed if it equals an earlier line, or if its text is within some edits (code points put in, left out or changed) of an earlier text. How many the shorter of the
+two texts tells, by classes of length: by default one edit from 10 characters on and two from 20 on, so never more than a tenth of it.
+Earlier: by document id, then by place in the document. Blank lines stay. A text of which no line is
 left becomes a text of its blank lines, or empty; no row is dropped.
 
-Near matches by segments: an index text is cut into distance + 1 segments, of which one must reappear unchanged in any text within the distance, shifted by so little
-that each length difference leaves few places to look (for distance 2: three index keys and twelve probes a text). Keys carry length, segment number and
+Near matches by segments: an index text is cut into as many segments as its class has edits, plus one, of which one must reappear unchanged in any text within the distance, shifted by so little
+that each length difference leaves few places to look (for distance 2: three index keys and twelve probes a text). A probe looks for texts of its own length and of shorter ones, each with the segments of that length's class. Keys carry length, segment number and
 segment. Probes and index rows without a partner on the other side are dropped by two semi-joins over the same shuffle; only the rest fetch their texts, and
 a last semi-join verifies them by a banded bit-parallel edit distance behind a count filter that loses nothing. Semi-joins return a row at most once, so a large
 group of like lines makes no pairs, and skewed keys can be split by the engine.
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DISTANCE, LEAST = 2, 20
+#: Least length of each class and the edits within which its texts are near, rising.
+CLASSES = ((10, 1), (20, 2))
 #: Letters whose counts are compared before the edit distance: an edit changes their sum of differences by two at most.
 COUNTED = "etaoinshrdlu"
 
@@ -119,14 +121,40 @@ def index_keys(own: Column, distance: int) -> Column:
     return F.array(*[_segment(own, own, i, distance) for i in range(distance + 1)])
 
 
-def probe_keys(own: Column, distance: int) -> Column:
-    """For each length difference and segment the shifts at which both the text before and the text behind can still be within the distance."""
-    keys = []
+def probes_of(distance: int) -> list[tuple[int, int, int]]:
+    """Length difference, segment and shift of each probe: the shifts at which both the text before and the text behind can still be within the distance."""
+    places = []
     for less in range(distance + 1):
         for i in range(distance + 1):
             low, high = max(-i, less - (distance - i)), min(i, less + (distance - i))
-            keys += [_segment(own - less, own, i, distance, shift) for shift in range(low, high + 1)]
-    return F.array(*keys)
+            places += [(less, i, shift) for shift in range(low, high + 1)]
+    return places
+
+
+def probe_keys(own: Column, distance: int) -> Column:
+    return F.array(*[_segment(own - less, own, i, distance, shift) for less, i, shift in probes_of(distance)])
+
+
+def edits_allowed(length: Column, classes: tuple[tuple[int, int], ...]) -> Column:
+    """Edits within which a text of this length is near a longer one; 0 below the classes."""
+    out = F.lit(0)
+    for least, distance in classes:
+        out = F.when(length >= least, F.lit(distance)).otherwise(out)
+    return out
+
+
+def keys_across(line: Column, own: Column, classes: tuple[tuple[int, int], ...], probing: bool) -> Column:
+    """Keys of a line whose own length, or one that it probes for, is in a class before the last. The same keys as `index_keys` and `probe_keys` make, read from a list of places."""
+    places = [(d, *p) for d in sorted({d for _, d in classes}) for p in (probes_of(d) if probing else [(0, i, 0) for i in range(d + 1)])]
+    listed = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("d", "less", "i", "shift"), p, strict=True)]) for p in places])
+
+    def key(p: Column) -> Column:
+        length = own - p["less"]
+        start, end = (F.call_function("div", length * k, p["d"] + 1).cast("int") for k in (p["i"], p["i"] + 1))
+        inside = (start + p["shift"] >= 0) & (end + p["shift"] <= own)
+        return F.when(inside, F.xxhash64(p["i"], length, F.substring(line, start + p["shift"] + 1, end - start)))
+
+    return F.transform(F.filter(listed, lambda p: edits_allowed(own - p["less"], classes) == p["d"]), key)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,23 +182,31 @@ def first_lines(texts: DataFrame) -> DataFrame:
     return first.groupBy(F.col("o.k").alias("k")).agg(F.collect_list(F.struct("o.k2", "o.at")).alias("firsts"))
 
 
-def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int) -> DataFrame:
-    """Per k the places (k2, at), of those in `firsts`, whose text is within `distance` of an earlier one."""
+def near_repeats(texts: DataFrame, firsts: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Per k the places (k2, at), of those in `firsts`, whose text is near an earlier one."""
+    last, distance = classes[-1]
+    # from here on every probe stays in the last class, where keys are compiled expressions; the few shorter lines go by a list of places
+    plain = last + distance if len(classes) > 1 else 0
     own = texts.join(firsts, "k", "left").withColumn("k2", _k2()).withColumn("mine", F.filter("firsts", lambda f: f["k2"] == F.col("k2")))
     distinct = (
         own.select("k", F.explode(let(_lines(F.col("text")), lambda x: F.transform("mine", lambda f: F.struct(f["at"].alias("at"), F.get(x, f["at"]).alias("line"))))).alias("l"))
         .select("k", "l.at", "l.line", F.length("l.line").alias("own"))  # counted once for all keys
-        .where(F.col("own") >= least)
-        .select("k", "at", "own", *stretches(F.col("line"), F.col("own"), distance))
+        .where(F.col("own") >= classes[0][0])
+        .select("k", "at", "own", F.when(F.col("own") < plain, F.col("line")).alias("short"), *stretches(F.col("line"), F.col("own"), distance))
     )
 
     def keyed(keys: Column) -> DataFrame:  # in the order in which explode puts them, so that both uses of a shuffle are one
         return distinct.select("k", "at", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
+    def keys(probing: bool) -> Column:
+        own = F.col("own")
+        most = (probe_keys if probing else index_keys)(own, distance)
+        return F.when(own < plain, keys_across(F.col("short"), own, classes, probing)).otherwise(most) if plain else most
+
     def order(side: str) -> Column:
         return F.struct(*[F.col(f"{side}.{c}") for c in ("id", "k", "k2", "at")])
 
-    probes, index = keyed(probe_keys(F.col("own"), distance)).alias("p"), keyed(index_keys(F.col("own"), distance)).alias("i")
+    probes, index = keyed(keys(True)).alias("p"), keyed(keys(False)).alias("i")
     paired = (F.col("p.key") == F.col("i.key")) & ((F.col("p.k") != F.col("i.k")) | (F.col("p.at") != F.col("i.at")))
     # dealt out once more, being few, so that the large join is not made again for its second use
     found = probes.join(index, paired, "left_semi").select("p.*").repartition("key").alias("p")
@@ -188,21 +224,24 @@ def near_repeats(texts: DataFrame, firsts: DataFrame, distance: int, least: int)
     change = F.lit(0)
     for c in range(len(COUNTED)):
         change = change + F.abs(F.get("p.counts", F.lit(c)) - F.get("i.counts", F.lit(c)))
-    near = (F.col("p.key") == F.col("i.key")) & (F.abs(F.length("p.line") - F.length("i.line")) <= distance) & (change <= 2 * distance)
-    close = let(trimmed(F.col("p.line"), F.col("i.line")), lambda t: let(F.split(t["a"], ""), lambda a: let(F.split(t["b"], ""), lambda b: edit_distance(a, b, distance)))) <= distance
+    allowed = edits_allowed(F.least(F.length("p.line"), F.length("i.line")), classes)
+    near = (F.col("p.key") == F.col("i.key")) & (F.abs(F.length("p.line") - F.length("i.line")) <= allowed) & (change <= 2 * allowed)
+    close = let(trimmed(F.col("p.line"), F.col("i.line")), lambda t: let(F.split(t["a"], ""), lambda a: let(F.split(t["b"], ""), lambda b: edit_distance(a, b, distance)))) <= allowed
     later = probes.join(index, near & (order("i") < order("p")) & close, "left_semi").select("p.k", "p.k2", "p.at")
     shorter = near & (F.length("i.line") < F.length("p.line"))
     later = later.unionByName(index.join(probes, shorter & (order("p") < order("i")) & close, "left_semi").select("i.k", "i.k2", "i.at"))
     return later.groupBy("k").agg(F.collect_set(F.struct("k2", "at")).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", classes: tuple[tuple[int, int], ...] = CLASSES) -> DataFrame:
     """`docs` with the kept lines as text, and n_lines (lines with a word), n_exact and n_near removed."""
-    if least <= distance + 1:
+    if not classes or any(a[0] >= b[0] or a[1] >= b[1] for a, b in zip(classes, classes[1:], strict=False)) or classes[0][1] < 1:
+        raise ValueError("classes of length must rise, and their edits from 1 on with them")
+    if classes[0][0] <= classes[-1][1] + 1:
         raise ValueError("texts compared within a distance must be longer than its segments' number")
     texts = _texts(docs, id_col, text_col)
     firsts = first_lines(texts)
-    near = near_repeats(texts, firsts, distance, least)
+    near = near_repeats(texts, firsts, classes)
     rest = [c for c in docs.columns if c not in {id_col, text_col, "n_lines", "n_exact", "n_near"}]
     whole = texts if not rest else docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"), F.struct(*rest).alias("rest"))
 

@@ -53,7 +53,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.dedup_lines(docs, distance=line_dedup.DISTANCE, least=line_dedup.LEAST)
+    kept = line_dedup.dedup_lines(docs, classes=line_dedup.CLASSES)
     return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
