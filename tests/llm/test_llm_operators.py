@@ -301,6 +301,18 @@ def test_rules(docs, rows):
     assert {"id", "k", "row"} <= set(rules.apply_rules(docs).columns)
 
 
+def test_stop_words_of_the_caller(spark):
+    """Sixty different words of a language that the fixed list lacks: kept with its own stop words, at the beginning of a sentence too."""
+    text = " ".join(f"{'Och' if k % 40 == 0 else 'och' if k % 10 == 0 else 'ord' + chr(97 + k % 26) + chr(97 + k // 26)}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    fixed = {r["doc_id"]: r for r in rules.apply_rules(docs).collect()}
+    own = {r["doc_id"]: r for r in rules.apply_rules(docs, stop_words=["och", "och"]).collect()}
+    assert (fixed[1]["n_stop_words"], fixed[1]["kept"]) == (0, False)
+    assert (own[1]["n_stop_words"], own[1]["kept"]) == (6, True)
+    assert not any(own[i]["kept"] or own[i]["n_stop_words"] for i in (2, 3))
+    assert [r["n_stop_words"] for r in rules.apply_rules(docs, stop_words=[]).collect()] == [0, 0, 0]
+
+
 def test_rules_of_nothing(none):
     assert rules.apply_rules(none).collect() == []
 

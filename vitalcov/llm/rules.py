@@ -11,6 +11,7 @@ sorted as strings instead, so the count is exact.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from vitalcov.llm import common
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
-#: Frequent words of four languages. A fixed list.
+#: Frequent words of four languages. A fixed list, and the default of parameter `stop_words`: for texts in other languages pass theirs.
 STOP_WORDS = (
     "the of and to in a is that it for was on are as with be by at or from this an not "
     "le la les de des du et un une en est que qui dans par pour sur au aux ne pas "
@@ -112,7 +113,12 @@ def _count(items: Column) -> Column:
     return F.size(items).cast("long")
 
 
-def measures(text: Column) -> Column:
+def _spellings(stop_words: Sequence[str]) -> list[str]:
+    """Stop words as they stand within a sentence and at its beginning."""
+    return list(dict.fromkeys([*stop_words, *[s.capitalize() for s in stop_words]]))
+
+
+def measures(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """All measures of a text as one struct."""
 
     def of(words: Column, lines: Column) -> Column:
@@ -122,7 +128,7 @@ def measures(text: Column) -> Column:
             F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
             (_count(lines) - _count(F.array_distinct(lines))).alias("n_dup_lines"),
             repeat_words(words).alias("n_repeat_words"),
-            _count(F.filter(words, lambda w: w.isin(STOP_WORDS + [s.capitalize() for s in STOP_WORDS]))).alias("n_stop_words"),
+            _count(F.filter(words, lambda w: w.isin(_spellings(stop_words)))).alias("n_stop_words"),
             _count(lines).alias("n_lines"),
             _count(F.filter(lines, lambda x: x.contains(" | "))).alias("n_list_lines"),
             _count(F.filter(lines, lambda x: (F.upper(x) == x) & (F.lower(x) != x))).alias("n_loud_lines"),
@@ -144,8 +150,8 @@ def failed(rules: tuple[Rule, ...], measure) -> Column:
     return out
 
 
-def apply_rules(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with the measures, base_failed and kept."""
+def apply_rules(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """`docs` with the measures, base_failed and kept. Without any stop words, leave their rules out too, or every text fails them."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_list_lines", "n_loud_lines"]
 
     def verdicts(m: Column) -> Column:
@@ -156,7 +162,7 @@ def apply_rules(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, .
     rest = [c for c in docs.columns if c.lower() not in made]
     held = common.free_name(rest, "_rules")
     kept = [F.col(common.quoted(c)) for c in rest]
-    judged = docs.select(*kept, let(measures(F.col(text_col)), verdicts).alias(held))
+    judged = docs.select(*kept, let(measures(F.col(text_col), stop_words), verdicts).alias(held))
     return judged.select(*kept, f"{held}.*")
 
 
@@ -166,7 +172,7 @@ def _sql_failed(rules: tuple[Rule, ...]) -> str:
     return " OR ".join(tests)
 
 
-_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS + [s.capitalize() for s in STOP_WORDS])
+_STOPS = ", ".join(f"'{w}'" for w in _spellings(STOP_WORDS))
 ORACLE = rf"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, coalesce(text, '') AS t FROM documents),
 grams AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
