@@ -592,12 +592,13 @@ def plain_scores(rows, target, size, prior):
     return out
 
 
-def test_lm_scores(spark, rows, none, monkeypatch):
+@pytest.mark.parametrize("vocabulary", [30, None])
+def test_lm_scores(spark, rows, none, monkeypatch, vocabulary):
     monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 500)
     target = [None if k % 3 == 0 else k % 2 == 0 for k in range(len(rows))]
     made = spark.createDataFrame([(i, t, g) for (i, t), g in zip(rows, target, strict=True)], "doc_id long, text string, wanted boolean").withColumns({c: F.lit("x") for c in CLASHING if c != "wanted"})
-    got = lm_score.score_documents(made.repartition(3), "wanted", vocabulary=30, block_tokens=300).collect()
-    want = plain_scores(rows, target, 30, lm_score.PRIOR)
+    got = lm_score.score_documents(made.repartition(3), "wanted", vocabulary=vocabulary, block_tokens=300).collect()
+    want = plain_scores(rows, target, vocabulary, lm_score.PRIOR)
     key = lambda r: (str(r[0]), r[1], round(r[2], 6), round(r[3], 6))
     for r, w in zip(sorted((tuple(r) for r in got), key=key), sorted(want, key=key), strict=True):
         assert r[:2] == w[:2] and r[2:4] == pytest.approx(w[2:4], rel=1e-9) and r[4] == pytest.approx(r[2] - r[3])
